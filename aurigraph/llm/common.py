@@ -36,12 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow of a function of one batch; batches are small, so a worker holds few texts at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = rows_within(batch)
+            step = rows_within(batch, most_bytes)
             for start in range(0, batch.num_rows, step):
                 yield work(batch.slice(start, step))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, jpeg, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,5 +17,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+_OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT r, item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM sized)),
+sizes AS (SELECT DISTINCT k FROM windows),
+grams AS (SELECT r, k, p, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes WHERE len(w) >= k)),
+hits AS (SELECT g.r, g.k, g.p, x.item_id FROM grams g JOIN windows x ON g.s = x.s AND g.k = x.k),
+words AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hits) GROUP BY r),
+owners AS (SELECT r, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(owners.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(owners.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN owners USING (r)
+""".replace("\\\\", "\\")
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jpeg.media_features(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op6_decontaminate": op6_decontaminate, "op9_media": op9_media}
+ORACLES: dict[str, str] = {"op6_decontaminate": _OP6_SQL}
