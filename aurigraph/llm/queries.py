@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jpeg, simhash
+from . import decontaminate, jpeg, pii, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +37,14 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN owners USING (r)
 """.replace("\\\\", "\\")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jpeg.media_features(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op6_decontaminate": op6_decontaminate, "op9_media": op9_media}
+QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op6_decontaminate": op6_decontaminate, "op8_pii": op8_pii, "op9_media": op9_media}
 ORACLES: dict[str, str] = {"op6_decontaminate": _OP6_SQL}
