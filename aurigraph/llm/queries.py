@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jpeg, pii, simhash
+from . import decontaminate, jpeg, langid, mixing, pii, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "component_id")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -46,5 +54,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op6_decontaminate": op6_decontaminate, "op8_pii": op8_pii, "op9_media": op9_media}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixture(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+
+
+QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op8_pii": op8_pii, "op9_media": op9_media, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op6_decontaminate": _OP6_SQL}
