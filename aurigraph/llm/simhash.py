@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, stored, utf8
@@ -83,15 +83,20 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): links between distinct fingerprints whose components are those of all pairs within max_bits (2 or 3)."""
+    """(a, b): links between distinct fingerprints whose components are those of all pairs within max_bits (2 or 3).
+
+    The variants are shuffled once; a window over each bucket keeps the few that are not alone, which are stored.
+    """
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves find fingerprints that differ in 3 bits at most")
-    sizes = stored(variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-buckets")
-    twos = sizes.filter("n = 2").filter(_apart("a", "b") <= max_bits).select("a", "b")
-    large = variants(fps).join(sizes.filter("n > 2").select("key", "n"), "key")
-    small = large.filter(F.col("n") <= DENSE).select("key", "fp")
+    pieces = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = Window.partitionBy("key")
+    counted = variants(fps.repartition(pieces, "fp")).withColumn("n", F.count("*").over(bucket)).filter("n > 1").withColumn("a", F.min("fp").over(bucket))
+    shared = stored(counted, "simhash-buckets")
+    twos = shared.filter("n = 2 AND fp > a").select("a", F.col("fp").alias("b")).filter(_apart("a", "b") <= max_bits)
+    small = shared.filter((F.col("n") > 2) & (F.col("n") <= DENSE)).select("key", "fp")
     pairs = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").filter(F.col("a") < F.col("b")).filter(_apart("a", "b") <= max_bits).select("a", "b")
-    return twos.unionByName(pairs).unionByName(_dense_links(large.filter(F.col("n") > DENSE).select("key", "fp"), max_bits)).distinct()
+    return twos.unionByName(pairs).unionByName(_dense_links(shared.filter(F.col("n") > DENSE).select("key", "fp"), max_bits)).distinct()
 
 
 def _dense_links(rows: DataFrame, max_bits: int) -> DataFrame:
