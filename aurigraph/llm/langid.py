@@ -15,20 +15,29 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_within, utf8
+from .common import rows_within
 
 #: The bounded sample that the dictionaries are fitted on: so many labelled texts a language, read as far as SAMPLE_BYTES each.
-SAMPLE_TEXTS = 64
+SAMPLE_TEXTS = 96
 SAMPLE_BYTES = 16_384
 #: Bytes of one dictionary, and of all together however many languages there are.
-DICTIONARY_BYTES = 112_640
+DICTIONARY_BYTES = 262_144
 ALL_BYTES = 32 << 20
 PIECE_BYTES = 2048
-LEVEL = 3
+LEVEL = 6
+#: Texts of at most SHORT_BYTES are packed at a level that seeks shorter matches; longer ones have enough of the long.
+SHORT_BYTES = 256
+SHORT_LEVEL = 13
 #: The best size must be smaller than the second by this share to be accepted.
 MARGIN = 0.02
 
 _LETTER = re.compile(r"[^\W\d_]")
+_FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def folded(text: str) -> bytes:
+    """Lower-case words without digits and ASCII punctuation, so that loud or noisy prose packs as its language does."""
+    return b" ".join(text.lower().encode().translate(_FOLD).split())
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -43,27 +52,34 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = keyed.join(chosen, ["lang", "long", "h"], "left_semi").groupBy("lang", "h").agg(F.min(F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES)).alias("data"))
     texts: dict[str, list[bytes]] = {}
     for lang, _, data in rows.orderBy("lang", "h").toLocalIterator():
-        texts.setdefault(lang, []).append(bytes(data).lower())
+        texts.setdefault(lang, []).append(folded(bytes(data).decode(errors="ignore")))
     each = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(texts)))
     return {lang: b"\n".join(own)[-each:] for lang, own in sorted(texts.items())}
 
 
+def _compressors(dictionaries: dict[str, bytes], langs: list[str], level: int) -> list[zstandard.ZstdCompressor]:
+    out = []
+    for lang in langs:
+        content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=level)
+        out.append(zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_dict_id=False))
+    return out
+
+
 class Packer:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
-        self.compressors = []
-        for lang in self.langs:
-            content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False))
+        self.usual = _compressors(dictionaries, self.langs, LEVEL)
+        self.short = _compressors(dictionaries, self.langs, SHORT_LEVEL)
 
-    def __call__(self, data: bytes | None) -> tuple[str, float, bool]:
+    def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, share by which the best is smaller than the second, accepted)."""
-        if not data or not self.langs or not _LETTER.search(data.decode()):
+        if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0, False
-        data = data.lower()
-        pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-        sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for c, lang in zip(self.compressors, self.langs))
+        data = folded(text)
+        pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)] or [b""]
+        compressors = self.short if len(data) <= SHORT_BYTES else self.usual
+        sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for c, lang in zip(compressors, self.langs))
         if len(sizes) == 1:
             return sizes[0][1], 1.0, True
         score = 1 - sizes[0][0] / sizes[1][0]
@@ -84,7 +100,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
             step = rows_within(batch)
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                langs, scores, accepted = zip(*map(pack, utf8(part.column("text"))))
+                langs, scores, accepted = zip(*map(pack, part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
