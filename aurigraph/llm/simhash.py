@@ -28,6 +28,8 @@ SEED = 42
 MAX_BITS = 2
 #: Buckets with more distinct fingerprints than this are split by a second wildcard instead of being paired.
 DENSE = 128
+#: Ids that are broadcast at most.
+BROADCAST_ROWS = 4_000_000
 
 
 def fingerprint(data: bytes | None, words: int = WORDS, step: int = 1 << 16) -> int:
@@ -137,3 +139,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = named.join(least, "component").select(F.col("node").alias("fp"), "component_id")
     known = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return marks.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """docs with one row of each group of near duplicates, all columns kept: the one with the smallest id, nulls last.
+
+    Where ids repeat or are null, rows are numbered first and the number settles what the id leaves open. The rows that go, of
+    one number each, are broadcast as far as BROADCAST_ROWS of them, so that texts stay where they are, and shuffled beyond.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
+        rows, key = docs, id_col
+        losers = near_duplicates(docs, id_col, text_col, words, max_bits).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    else:
+        key = "__aurigraph_row"
+        rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
+        found = near_duplicates(rows, key, text_col, words, max_bits).join(rows.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")), "doc_id")
+        winners = found.groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.col("id").isNull(), "id", "doc_id")).alias("winner"))
+        losers = found.join(winners.select(F.col("winner").alias("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias(key))
+    losers = stored(losers, "simhash-losers")
+    return rows.join(F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers, key, "left_anti").select(*docs.columns)
