@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = groups.join(nodes.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of = named.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    known = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # stored, so that both sides of the last join are plain shuffles and a fingerprint that very many rows share can be split
+    known = stored(nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-known")
     return marks.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
