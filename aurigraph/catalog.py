@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import registry, scoring, verification
+from .plans import planning, registry, scoring, verification
 
-MODULES = (scoring, verification)
+MODULES = (planning, scoring, verification)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -95,3 +95,9 @@ def ablation_of(with_numbers: Column, without: Column, measured: Column) -> Colu
 
     kept, alone = passes(with_numbers), without.isNotNull() & passes(without)
     return F.when(with_numbers.isNotNull(), F.struct(with_numbers.alias("claimed_with"), without.alias("claimed_without"), kept.alias("with_passed"), alone.alias("without_passed"), (kept & ~alone).alias("relied_on_numbers")))
+
+
+def listed(df: DataFrame, checks: str = "checks") -> DataFrame:
+    """A row for each check. The outer form keeps Spark from testing the array's size, and so building it, before a join as well."""
+    rest = [c for c in df.columns if c != checks]
+    return df.select(*rest, F.inline_outer(checks)).filter("quantity IS NOT NULL")

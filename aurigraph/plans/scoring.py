@@ -66,7 +66,7 @@ def score_by_instrument(v):
 
 @query("extract_azimuths", "WITH texts AS (SELECT item_id, answer FROM {answers}),\n" + CLAIMS + " SELECT item_id, s AS start_pos, e AS end_pos, magnitude, side FROM claims")
 def extract_azimuths(v):
-    return v.answers.select("item_id", F.inline(T.azimuth_claims(F.col("answer")))).select("item_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "magnitude", "side")
+    return v.answers.select("item_id", F.inline_outer(T.azimuth_claims(F.col("answer")))).filter("magnitude IS NOT NULL").select("item_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "magnitude", "side")
 
 
 @query("extract_final_azimuth", "WITH texts AS (SELECT item_id, answer FROM {answers}),\n" + CLAIMS + " SELECT item_id, predicted FROM finals")

@@ -82,7 +82,7 @@ def _verified(v):
 
 @query("verify_checks", CHECKS + "SELECT item_id, quantity, passed, kind FROM checks")
 def verify_checks(v):
-    return _verified(v).select("item_id", F.inline("checks")).select("item_id", "quantity", "passed", "kind")
+    return V.listed(_verified(v).select("item_id", "checks")).select("item_id", "quantity", "passed", "kind")
 
 
 @query("verify_summary", CHECKS + "SELECT item_id, count(*) AS n_checks, bool_and(passed) AS all_passed, bool_and(CASE WHEN kind = 'inference' THEN passed END) AS inference_passed FROM checks GROUP BY item_id")
@@ -92,13 +92,13 @@ def verify_summary(v):
 
 @query("verify_rates", CHECKS + "SELECT quantity, kind, count(*) AS n, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM checks GROUP BY quantity, kind")
 def verify_rates(v):
-    return _verified(v).select(F.inline("checks")).groupBy("quantity", "kind").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"))
+    return V.listed(_verified(v).select("checks")).groupBy("quantity", "kind").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"))
 
 
 @query("unparseable_sentences")
 def unparseable_sentences(v):
     """Sentences with figures that no check read; the counterpart of the splitter is a test, not SQL."""
-    return _verified(v).select("item_id", F.explode("unparseable").alias("sentence"))
+    return _verified(v).select("item_id", F.explode_outer("unparseable").alias("sentence")).filter("sentence IS NOT NULL")
 
 
 _PAIR = """WITH a AS (SELECT item_id, CASE WHEN azimuth >= 0 THEN 1.0 ELSE -1.0 END * (CAST(abs(azimuth) AS BIGINT) + item_id % 8) + 0.0 AS claimed, estimated_azimuth_deg AS measured FROM {evidence}),
