@@ -259,8 +259,9 @@ def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HI
     rows = _plain(docs, id_col, text_col, lang_col)
     ids = stored(trusted_ids(labels), "quality-ids")
     scores = stored(_scored(rows, Tables(_of(rows, ids)), broadcast_rows), "quality-scores")
-    bounds = _bounds(scores, ids, low, high)
-    return scores.join(bounds, "lang").select("doc_id", "lang", "perplexity", "low", "high", _judged(F.col("perplexity"), F.col("low"), F.col("high")).alias("accepted"))
+    bounds = stored(_bounds(scores, ids, low, high), "quality-bounds")
+    # a language may hold most rows; the bounds of as many languages as there can be are broadcast
+    return scores.join(F.broadcast(bounds) if bounds.count() <= 10_000 else bounds, "lang").select("doc_id", "lang", "perplexity", "low", "high", _judged(F.col("perplexity"), F.col("low"), F.col("high")).alias("accepted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
