@@ -34,11 +34,11 @@ VIEWS: dict[str, str] = {
         WHEN 3 THEN 'somewhere central' ELSE concat('the ', CASE WHEN azimuth > 0 THEN 'LEFT' ELSE 'right' END, ' side') END AS answer
         FROM {items} WHERE item_id % 4 <> 0""",
     "evidence": """SELECT item_id, azimuth, azimuth + (item_id % 5 - 2) * 1.5 AS estimated_azimuth_deg,
-        azimuth * 0.75 AS ild_db, azimuth * 0.7 AS high_frequency_ild_db, (item_id % 6) * 0.5 AS ild_flatness_db, (item_id % 7) * 15.0 AS itd_us,
-        (90 + item_id % 11) * 0.01 AS coherence,
-        CASE WHEN item_id % 4 = 0 THEN NULL ELSE 220.0 + item_id % 100 END AS f0_hz,
+        azimuth * 0.75 AS ild_db, azimuth * 0.7 AS high_frequency_ild_db, CAST((item_id % 6) * 0.5 AS DOUBLE) AS ild_flatness_db, CAST((item_id % 7) * 15 AS DOUBLE) AS itd_us,
+        CAST((90 + item_id % 11) * 0.01 AS DOUBLE) AS coherence,
+        CASE WHEN item_id % 4 = 0 THEN NULL ELSE CAST(220 + item_id % 100 AS DOUBLE) END AS f0_hz,
         CASE WHEN (item_id % 7) * 15.0 > 30.0 THEN 'delayed' WHEN (item_id % 6) * 0.5 > 2.0 THEN 'ambiguous' ELSE 'amplitude' END AS estimated_regime,
-        (item_id % 9) * 0.15 AS peak, -30.0 - (item_id % 25) AS rms_db
+        CAST((item_id % 9) * 0.15 AS DOUBLE) AS peak, CAST(-30 - item_id % 25 AS DOUBLE) AS rms_db
         FROM {items}""",
     "transcripts": """SELECT item_id, concat('The level difference is ', CAST(item_id % 20 AS STRING), '.', CAST(item_id % 10 AS STRING), ' dB, ', side, ' louder. ',
         CASE item_id % 3 WHEN 0 THEN 'There is no inter-channel delay. ' WHEN 1 THEN concat('Delay: ', CAST((item_id % 7) * 15 AS STRING), ' microseconds, ', side, ' channel later. ') ELSE '' END,
@@ -55,8 +55,8 @@ VIEWS: dict[str, str] = {
         FROM (SELECT vec_id, label, embedding, {positions} AS pos FROM {embeddings}) x""",
     "mix_items": """SELECT o_custkey AS item_id, o_orderkey AS source, CAST(((o_orderkey * 13 + o_custkey) % 11) * 5 - 25 AS DOUBLE) AS azimuth, n
         FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}) x WHERE n <= 4""",
-    "frames": """SELECT event_id, user_id, CAST({seconds} AS BIGINT) AS t, 200.0 + event_id % 300 AS f0 FROM {events} WHERE event_type = 'click'""",
-    "reference": """SELECT event_id, user_id, CAST({seconds} AS BIGINT) AS t, 210.0 + event_id % 300 AS f0 FROM {events} WHERE event_type = 'view'""",
+    "frames": """SELECT event_id, user_id, CAST({seconds} AS BIGINT) AS t, CAST(200 + event_id % 300 AS DOUBLE) AS f0 FROM {events} WHERE event_type = 'click'""",
+    "reference": """SELECT event_id, user_id, CAST({seconds} AS BIGINT) AS t, CAST(210 + event_id % 300 AS DOUBLE) AS f0 FROM {events} WHERE event_type = 'view'""",
     "windows": """SELECT user_id AS track_id, CAST(floor(CAST({seconds} AS DOUBLE) / 86400.0) AS BIGINT) AS w, avg(value * value) AS power, min(event_id) AS first_event, count(*) AS n
         FROM {events} WHERE value IS NOT NULL GROUP BY 1, 2""",
 }
@@ -88,6 +88,8 @@ def duck(body: str) -> str:
     body = put(body).strip()
     if not views:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     return f"WITH {views},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views}\n{body}"
 
 
