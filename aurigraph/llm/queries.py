@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, jpeg, langid, mixing, pii, quality, sharding, simhash
+from . import chat, decontaminate, htmltext, jpeg, langid, mixing, pii, quality, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN owners USING (r)
 """.replace("\\\\", "\\")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
@@ -67,5 +71,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_htmltext": op4_htmltext, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op8_pii": op8_pii, "op9_media": op9_media, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_htmltext": op4_htmltext, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_pii": op8_pii, "op9_media": op9_media, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op6_decontaminate": _OP6_SQL}
