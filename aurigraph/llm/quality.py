@@ -29,6 +29,8 @@ BEGIN = 2
 LOW, HIGH = 0.0005, 0.995
 #: A language with fewer trusted texts takes the quantiles of all.
 LEAST_TRUSTED = 50
+#: Bytes of text that a worker turns into grams at once; a gram takes eight bytes and a few copies.
+BATCH_BYTES = 2 << 20
 #: Rows of the model (16 bytes each), and trusted ids, that are broadcast at most.
 BROADCAST_ROWS = 4_000_000
 
@@ -59,7 +61,7 @@ def _grams(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = rows_within(batch)
+        step = rows_within(batch, BATCH_BYTES)
         for start in range(0, batch.num_rows, step):
             grams, counts = np.unique(_grams(*_codes(batch.column("text").slice(start, step).to_pylist())), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], names=["g", "c"])
@@ -203,7 +205,7 @@ def _scored(rows: DataFrame, tables: Tables, broadcast_rows: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = Lookup(held.value)
             for batch in batches:
-                step = rows_within(batch)
+                step = rows_within(batch, BATCH_BYTES)
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
                     found = model.perplexities(part.column("text").to_pylist())
@@ -282,7 +284,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float
             arrays, ends = held.value
             model = Lookup(arrays)
             for batch in batches:
-                step = rows_within(batch)
+                step = rows_within(batch, BATCH_BYTES)
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
                     found = model.perplexities(part.column(text_col).to_pylist())
