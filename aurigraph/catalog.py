@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import generalization, planning, registry, scoring, signals, verification
+from .plans import generalization, kernels, planning, registry, scoring, signals, verification
 
-MODULES = (generalization, planning, scoring, signals, verification)
+MODULES = (generalization, kernels, planning, scoring, signals, verification)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
