@@ -104,6 +104,7 @@ def expected_cues(azimuth: Column, processing: Column) -> Column:
     itd_us, regime, coherence_stays_high. Width rescales the coordinate, a delay sets delay and regime, wet reverb leaves neither
     azimuth nor regime; compression and equalisation change nothing; an unknown kind is an error."""
     start = F.struct(azimuth.alias("azimuth_deg"), F.lit(0.0).alias("itd_us"), F.lit("amplitude").alias("regime"), F.lit(True).alias("coherence_stays_high"))
+    start = start.cast("struct<azimuth_deg: double, itd_us: double, regime: string, coherence_stays_high: boolean>")  # all may become null
 
     def step(s: Column, p: Column) -> Column:
         def value(name: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,7 +147,6 @@ def fit_quality(predicted: DataFrame) -> DataFrame:
 
 def register(spark, rate: int = 48_000) -> None:
     """Make the cue estimators callable from SQL: cue_measure(left, right) gives a struct, cue_tracks is a table function."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf, udtf
 
     @pandas_udf("struct<ild_db: double, itd_us: double, coherence: double, azimuth_deg: double>")

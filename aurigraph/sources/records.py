@@ -35,7 +35,7 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
 
 def build_id(spark: SparkSession, path: str) -> str | None:
     """Of the first line that is not blank."""
-    first = spark.read.text(path).filter("trim(value) <> ''").select(F.get_json_object("value", "$.build_id").alias("b")).first()
+    first = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", "build_id string")["build_id"].alias("b")).first()
     return first["b"] if first else None
 
 
