@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_within
+from .common import rows_within, stored
 
 #: The bounded sample that the dictionaries are fitted on: so many labelled texts a language, read as far as SAMPLE_BYTES each.
 SAMPLE_TEXTS = 96
@@ -48,8 +48,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """A dictionary for each language from a bounded sample: different texts in order of their hashes, short ones before long."""
     plain = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     keyed = plain.withColumn("long", F.octet_length("text") > SAMPLE_BYTES).withColumn("h", F.xxhash64("text"))
-    chosen = keyed.select("lang", "long", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))).filter(F.col("n") <= SAMPLE_TEXTS)
-    rows = keyed.join(chosen, ["lang", "long", "h"], "left_semi").groupBy("lang", "h").agg(F.min(F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES)).alias("data"))
+    order = ("long", "h")
+    parts = keyed.select("lang", *order).distinct().withColumn("part", F.pmod("h", F.lit(64)))  # a language may hold most texts
+    first = parts.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("n") <= SAMPLE_TEXTS)
+    chosen = stored(first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("n") <= SAMPLE_TEXTS).select("lang", *order), "langid-sample")
+    # SAMPLE_TEXTS rows a language: they go to the texts, not the texts to them
+    some = F.broadcast(chosen) if chosen.count() <= 100_000 else chosen
+    rows = keyed.join(some, ["lang", *order], "left_semi").groupBy("lang", "h").agg(F.min(F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES)).alias("data"))
     texts: dict[str, list[bytes]] = {}
     for lang, _, data in rows.orderBy("lang", "h").toLocalIterator():
         texts.setdefault(lang, []).append(folded(bytes(data).decode(errors="ignore")))
