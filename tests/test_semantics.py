@@ -400,3 +400,24 @@ def test_random_baseline_draws_the_grid(spark):
     angles = [float(a) for a in range(-25, 30, 5)]
     got = S.random_baseline(grid(spark), angles, random.Random(1).randrange(100)).select("predicted").collect()
     assert all(r.predicted in angles for r in got)
+
+
+def test_collection(spark):
+    from aurigraph.operators import collect as C
+
+    groups = spark.createDataFrame([(i, n) for i, n in enumerate([2, 3, 4, 5, 5, 9])], "piece int, n int")
+    found = {r.piece: (r.n, r.angles) for r in C.separated_angles(groups, "piece", "n", [float(a) for a in range(-25, 30, 5)], 3).collect()}
+    for n, angles in found.values():
+        assert (angles is None) == (n == 9)
+        assert angles is None or (len(angles) == n and all(b - a >= 10 for a, b in zip(angles, angles[1:])))
+    dense = C.dense_examples(C.dense_angles(spark, 40, [0.0, 10.0], 1), ["a", "b"]).withColumn("back", T.signed_azimuth(F.col("target"))).collect()
+    assert len(dense) == 40 and all(abs(r.back - r.azimuth) <= 1.1 and abs(r.azimuth) > 0.2 and r.audio_path == "ab"[r.id % 2] for r in dense)
+    assert max(C.round_trip_error(a / 4) for a in range(-100, 101)) < 0.5
+    got = [x for (x,) in values(spark, [("plain",), ('{"text": "t"}',), ('[{"output": "o"}]',), ('["s"]',)], "o string", C.provider_text(F.col("o")))]
+    assert got == ["plain", "t", "o", "s"]
+    assert values(spark, [("1, -2.5,x",)], "t string", C.number_list(F.col("t"))) == [([1.0, -2.5, None],)]
+    clip = spark.createDataFrame([(1, [0.0] * 50, [1.0] * 50)], "id long, left array<double>, right array<double>")
+    one, two = (C.dithered(clip, "id", 4).first() for _ in range(2))
+    assert one == two and one.left != [0.0] * 50 and abs(np.mean(one.right) - 1) < 0.05
+    vote = lambda l, r: C.regime_vote(l, r, RATE)["regime"]
+    assert vote(*dsp.pan(noise(), 20.0)) == "amplitude" and vote(*dsp.binaural(noise(), RATE, 45.0)) == "delayed"
