@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored, unit
+from .common import cut, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3.0
@@ -22,6 +22,12 @@ def words_in(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def draw(doc_id, seed: int = SEED) -> F.Column:
+    """0 to 1 from the first 48 bits of sha256 of "seed:id", which any engine can repeat."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def _ranked(sources: DataFrame) -> DataFrame:
     """sources with a position from 0 by name in code point order, null last; counted by ranges of names, then within each."""
     spark = sources.sparkSession
@@ -75,7 +81,7 @@ def mixture(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col:
     """
     sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col).cast("string")).alias("size")), "mixing-sizes")
     rate = F.col("rate")
-    copies = (F.floor(rate) + F.when(unit("doc_id", seed=seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    copies = (F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
     return _rates(sized).select("doc_id", "size", "source_size", "target", copies.alias("copies"))
 
 
@@ -90,7 +96,7 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str
     rates = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).select("source", "rate"), "mixing-rates")
     salts = 64
     packed = F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
-    rows = docs.select(packed.alias("row"), F.col(source_col).cast("string").alias("of"), unit(id_col, seed=seed).alias("draw"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
+    rows = docs.select(packed.alias("row"), F.col(source_col).cast("string").alias("of"), draw(F.col(id_col).cast("long"), seed).alias("draw"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
     salted = rates.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rate = F.col("rate")
     copies = (F.floor(rate) + F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0)).cast("int")

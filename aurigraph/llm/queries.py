@@ -68,8 +68,25 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixture(table(spark, sf_dir, "documents"))
-    return found.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+    return found.selectExpr("doc_id", "size", "source_size", "round(target, 6) AS target", "size * copies AS taken")
+
+
+#: Sources in the order of ceiling over weight: one is at its ceiling if that is below the level which those before leave.
+_OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS weight FROM s),
+o AS (SELECT *, 3.0::DOUBLE * source_size AS ceiling, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST) AS k FROM w),
+c AS (SELECT *, sum(ceiling) OVER (ORDER BY k) - ceiling AS held, sum(weight) OVER () - (sum(weight) OVER (ORDER BY k) - weight) AS spread, sum(source_size) OVER ()::DOUBLE AS whole FROM o),
+f AS (SELECT *, weight * ((whole - held) / spread) > ceiling AS is_full FROM c),
+l AS (SELECT (any_value(whole) - coalesce(sum(ceiling) FILTER (WHERE is_full), 0)) / sum(weight) FILTER (WHERE NOT is_full) AS level FROM f),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN ceiling ELSE weight * level END AS target FROM f, l),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+  CAST(('0x' || substr(sha256('SEED:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::UBIGINT AS DOUBLE) / 281474976710656.0 AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+""".replace("SEED", str(mixing.SEED))
 
 
 QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_htmltext": op4_htmltext, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_pii": op8_pii, "op9_media": op9_media, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {"op6_decontaminate": _OP6_SQL}
+ORACLES: dict[str, str] = {"op6_decontaminate": _OP6_SQL, "op10_mixing": _OP10_SQL}
