@@ -149,9 +149,9 @@ def mixture_constant_count(v):
     return M.report(M.constant_count(_mix(v), 2)).select("items", "answered", "count_rate")
 
 
-@query("event_windows", "SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("event_windows", "SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def event_windows(v):
-    return v.events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).select(F.col("w.start").alias("day"), "event_type", "n", "mean")
+    return v.events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("day"), "event_type", "n", "total")
 
 
 @query("item_prose", "SELECT item_id, CASE WHEN azimuth = 0 THEN concat('The ', instrument, ' is centred, 0 degrees to the left.') ELSE concat('The ', instrument, ' is at ', printf('%.1f', abs(azimuth)), ' degrees to the ', CASE WHEN azimuth > 0 THEN 'left' ELSE 'right' END, '.') END AS prose FROM {items}")
