@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which every executor sees; a new one only where it is unset (tests)."""
+    small_batches(spark)
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
@@ -36,9 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python in batches of a few MB instead of 10,000 rows, which may be gigabytes of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow of a function of one batch; batches are small, so a worker holds few texts at once."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = rows_within(batch, most_bytes)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_within, stored, utf8
+from .common import rows_within, small_batches, stored, utf8
 
 WINDOW = 10
 #: UTF-8 bytes of items in one automaton, at most (a longer item has a block of its own); an automaton takes about 200 bytes a byte of it.
@@ -190,6 +190,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     With items beyond one block the documents are read once for each block, and what is hit is united by document row.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = _blocks(items, item_col, item_text, block_bytes)
 
     def work(batch: pa.RecordBatch, automaton: Automaton) -> pa.RecordBatch:
@@ -249,6 +250,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, span_
     All columns of docs stay; n_chars, where there is one, follows the text. Clean rows keep their text, nulls included, byte for byte.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names, size_col = docs.columns, "n_chars" if "n_chars" in docs.columns else None
     kept = docs
     for block in _blocks(items, item_col, item_text, block_bytes):

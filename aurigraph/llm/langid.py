@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_within, stored
+from .common import rows_within, small_batches, stored
 
 #: The bounded sample that the dictionaries are fitted on: so many labelled texts a language, read as far as SAMPLE_BYTES each.
 SAMPLE_TEXTS = 96
@@ -98,6 +98,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
     language that is first by name, with score 0. Repeated rows give repeated rows; a null id counts as an empty one for held_out.
     """
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # ALL_BYTES at most
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(held.value)
