@@ -54,6 +54,13 @@ def spans(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, add, lambda s: s["out"])
 
 
+def first_span(text: Column, pattern: str) -> Column:
+    """The first of spans(), or null; without listing the others. No pattern here matches the empty text."""
+    match = F.regexp_extract(text, pattern, 0)
+    start = F.length(F.split(text, pattern, 2)[0])
+    return F.when(match != "", F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match")))
+
+
 def near(text: Column, span: Column) -> Column:
     """The text from WINDOW characters before a span to as many after it."""
     first = F.greatest(span["start"] - WINDOW, F.lit(0))
@@ -79,7 +86,7 @@ def azimuth_claims(text: Column) -> Column:
 def final_azimuth(text: Column, claims: Column | None = None) -> Column:
     """struct<start, end, magnitude, side> of the last claim, or of the first word for the centre, or null."""
     claims = azimuth_claims(text) if claims is None else claims
-    centre = let(_first(spans(text, CENTRE)), lambda c: F.when(c.isNotNull(), F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(0.0).alias("magnitude"), F.lit("center").alias("side"))))
+    centre = let(first_span(text, CENTRE), lambda c: F.when(c.isNotNull(), F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(0.0).alias("magnitude"), F.lit("center").alias("side"))))
     return F.coalesce(F.try_element_at(claims, F.lit(-1)), centre)
 
 
@@ -111,8 +118,8 @@ def itd_claim(text: Column) -> Column:
     def value(hit: Column) -> Column:
         return F.when(F.lower(group(near(text, hit), LATER, 1)) == "left", -_number(hit["match"])).otherwise(_number(hit["match"]))
 
-    none = let(_first(spans(text, NO_DELAY)), lambda hit: _of(hit, F.lit(0.0)))
-    return F.coalesce(none, let(_first(spans(text, MICROSECOND)), lambda hit: _of(hit, value(hit))))
+    none = let(first_span(text, NO_DELAY), lambda hit: _of(hit, F.lit(0.0)))
+    return F.coalesce(none, let(first_span(text, MICROSECOND), lambda hit: _of(hit, value(hit))))
 
 
 def _of(span: Column, value: Column) -> Column:
@@ -120,22 +127,22 @@ def _of(span: Column, value: Column) -> Column:
 
 
 def coherence_claim(text: Column) -> Column:
-    stated = let(_first(spans(text, COHERENCE)), lambda hit: _of(hit, F.regexp_extract(hit["match"], COHERENCE, 1).cast("double")))
+    stated = let(first_span(text, COHERENCE), lambda hit: _of(hit, F.regexp_extract(hit["match"], COHERENCE, 1).cast("double")))
 
     def as_word(word: str, value: float) -> Column:
-        return let(_first(spans(text, rf"(?i)\b{word}\b")), lambda hit: _of(hit, F.lit(value)))
+        return let(first_span(text, rf"(?i)\b{word}\b"), lambda hit: _of(hit, F.lit(value)))
 
     words = [as_word(*pair) for pair in COHERENCE_WORDS]
     return F.coalesce(stated, *words)
 
 
 def regime_claim(text: Column) -> Column:
-    return F.coalesce(let(_first(spans(text, DELAYED)), lambda hit: _of(hit, F.lit("delayed"))), let(_first(spans(text, AMPLITUDE)), lambda hit: _of(hit, F.lit("amplitude"))))
+    return F.coalesce(let(first_span(text, DELAYED), lambda hit: _of(hit, F.lit("delayed"))), let(first_span(text, AMPLITUDE), lambda hit: _of(hit, F.lit("amplitude"))))
 
 
 def f0_claim(text: Column) -> Column:
     """Hz in this very case."""
-    return let(_first(spans(text, HERTZ)), lambda hit: _of(hit, _number(hit["match"])))
+    return let(first_span(text, HERTZ), lambda hit: _of(hit, _number(hit["match"])))
 
 
 def premise_claim(text: Column) -> Column:
@@ -145,7 +152,7 @@ def premise_claim(text: Column) -> Column:
         x, y = (F.regexp_extract(hit["match"], PREMISE, i).cast("double") for i in (1, 2))
         return F.when(hit.isNotNull(), F.struct(hit["start"].alias("start"), hit["end"].alias("end"), x.alias("x"), y.alias("y")))
 
-    return let(_first(spans(text, PREMISE)), parts)
+    return let(first_span(text, PREMISE), parts)
 
 
 def unparsed_sentences(text: Column, consumed: Column) -> Column:

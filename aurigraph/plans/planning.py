@@ -64,9 +64,9 @@ def render_plan_expand(v):
     return _plans(v).select("stem_id", "split", "azimuth", "render_id")
 
 
-@query("opaque_ids", PLANS + "SELECT render_id, concat('smq_test_', lpad(CAST(row_number() OVER (ORDER BY sha256(concat('2026:', render_id)), render_id) - 1 AS VARCHAR), 5, '0')) AS public_id FROM plans WHERE split = 'test'")
+@query("opaque_ids", PLANS + "SELECT render_id, concat('item_test_', lpad(CAST(row_number() OVER (ORDER BY sha256(concat('2026:', render_id)), render_id) - 1 AS VARCHAR), 5, '0')) AS public_id FROM plans WHERE split = 'test'")
 def opaque_ids(v):
-    return P.opaque_ids(_plans(v).filter("split = 'test'"), "render_id", SEED, "smq_test_").select("render_id", "public_id")
+    return P.opaque_ids(_plans(v).filter("split = 'test'"), "render_id", SEED, "item_test_").select("render_id", "public_id")
 
 
 @query("expected_cues", PLANS + """SELECT render_id, round(CASE WHEN r = 2 THEN degrees(atan(1.2 * tan(radians(azimuth)))) ELSE azimuth END, 6) + 0.0 AS azimuth_deg, CASE WHEN r = 3 THEN 300.0 ELSE 0.0 END AS itd_us, CASE WHEN r = 3 THEN 'delayed' ELSE 'amplitude' END AS regime, true AS coherence_stays_high FROM plans""")
