@@ -12,6 +12,7 @@ wildcards into cliques, each of which is one star. No link between components is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -142,20 +143,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, groups: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """docs with one row of each group of near duplicates, all columns kept: the one with the smallest id, nulls last.
 
     Where ids repeat or are null, rows are numbered first and the number settles what the id leaves open. The rows that go, of
     one number each, are broadcast as far as BROADCAST_ROWS of them, so that texts stay where they are, and shuffled beyond.
+    groups finds (doc_id, component_id) of rows by a column of distinct ids; near_duplicates where it is not given.
     """
+    groups = groups or (lambda rows, key: near_duplicates(rows, key, text_col, words, max_bits))
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     if ids.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
         rows, key = docs, id_col
-        losers = near_duplicates(docs, id_col, text_col, words, max_bits).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+        losers = groups(docs, id_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
     else:
         key = "__aurigraph_row"
         rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
-        found = near_duplicates(rows, key, text_col, words, max_bits).join(rows.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")), "doc_id")
+        found = groups(rows, key).join(rows.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")), "doc_id")
         winners = found.groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.col("id").isNull(), "id", "doc_id")).alias("winner"))
         losers = found.join(winners.select(F.col("winner").alias("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias(key))
     losers = stored(losers, "simhash-losers")
