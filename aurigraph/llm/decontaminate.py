@@ -24,7 +24,10 @@ BLOCK_BYTES = 1 << 20
 #: Limits of the cleaning operator: spans of more words than this are removed; a document with more of its words hit than this share goes.
 SPAN_WORDS = 10
 COVERAGE = 0.5
+#: Rows of hit spans that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
+_ROW, _HITS = "__aurigraph_row", "__aurigraph_hits"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -248,34 +251,64 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, span_
     each leaving one space; a document with more than the share `coverage` of its words hit, or with no word left, goes.
 
     All columns of docs stay; n_chars, where there is one, follows the text. Clean rows keep their text, nulls included, byte for byte.
+    With items beyond one block the hits of all blocks on the text as it came are united by row before anything is cut or judged.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names, size_col = docs.columns, "n_chars" if "n_chars" in docs.columns else None
-    kept = docs
-    for block in _blocks(items, item_col, item_text, block_bytes):
-        held = spark.sparkContext.broadcast(Automaton(block, window))
+    blocks = _blocks(items, item_col, item_text, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        held = spark.sparkContext.broadcast(Automaton(first, window))
 
-        def run(batches, held=held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = held.value
             for batch in batches:
                 step = rows_within(batch)
                 for start in range(0, batch.num_rows, step):
-                    yield _cleaned(batch.slice(start, step), automaton, span_words, coverage, text_col, size_col)
+                    part = batch.slice(start, step)
+                    found = [_merged(automaton.scan(words_of(data))[0]) for data in utf8(part.column(text_col))]
+                    yield _cleaned(part, found, min(span_words, automaton.least), coverage, text_col, size_col)
+
+        return docs.mapInArrow(run, docs.schema)
+    rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontaminate-docs")
+
+    def hits_work(batch: pa.RecordBatch, automaton: Automaton) -> pa.RecordBatch:
+        found = [_merged(automaton.scan(words_of(data))[0]) for data in utf8(batch.column(text_col))]
+        spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in found], _SPANS)
+        return pa.RecordBatch.from_arrays([batch.column(_ROW), spans], names=[_ROW, _HITS]).filter(pa.array([bool(s) for s in found], pa.bool_()))
+
+    hits, least = None, window
+    for block in (first, second, *blocks):
+        automaton = Automaton(block, window)
+        least = min(least, automaton.least)
+        held = spark.sparkContext.broadcast(automaton)
+        part = stored(_scanned(rows, held, [_ROW, text_col], hits_work, f"{_ROW} long, {_HITS} array<struct<start: long, end: long>>"), "decontaminate-hits")
+        held.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    hits = stored(hits.groupBy(_ROW).agg(F.flatten(F.collect_list(_HITS)).alias(_HITS)), "decontaminate-hits")
+    joined = rows.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, _ROW, "left")
+
+    def cut_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = rows_within(batch)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                found = [_merged([(s["start"], s["end"]) for s in spans or ()]) for spans in part.column(_HITS).to_pylist()]
+                yield _cleaned(part.select(names), found, min(span_words, least), coverage, text_col, size_col)
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept.select(*names)
+    return joined.select(*names, _HITS).mapInArrow(cut_run, docs.schema)
 
 
-def _cleaned(batch: pa.RecordBatch, automaton: Automaton, span_words: int, coverage: float, text_col: str, size_col: str | None) -> pa.RecordBatch:
+def _cleaned(batch: pa.RecordBatch, found: list[list[tuple[int, int]]], least: int, coverage: float, text_col: str, size_col: str | None) -> pa.RecordBatch:
+    """The batch after its rows' merged hit spans of at least `least` words are cut."""
     texts, stay, sizes = [], [], []
     old_sizes = batch.column(size_col).to_pylist() if size_col else [None] * batch.num_rows
-    for data, size in zip(utf8(batch.column(text_col)), old_sizes):
-        words = words_of(data)
-        spans, _ = automaton.scan(words)
+    for data, spans, size in zip(utf8(batch.column(text_col)), found, old_sizes):
         if spans:
-            cut = [(a, b) for a, b in _merged(spans) if b - a >= min(span_words, automaton.least)]
-            stay.append(sum(b - a for a, b in cut) <= coverage * len(words))
+            cut = [(a, b) for a, b in spans if b - a >= least]
+            stay.append(sum(b - a for a, b in cut) <= coverage * len(words_of(data)))
             data = _without(data, cut)
             size = len(data.decode())
         else:
