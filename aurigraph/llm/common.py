@@ -11,12 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Of the groups that one key joins, those with more than this part of all rows go by broadcast: there can't be more than HOT of them.
+HOT = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which every executor sees; a new one only where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir, which every executor sees. Where it is unset, a new one in local mode, where
+    driver and executors are one machine; elsewhere an error, as files on one machine's disk would be lost to the others."""
     small_batches(spark)
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="aurigraph-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -28,7 +35,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/aurigraph/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.__dict__["_stored_at"] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote, once everything that reads it is written itself."""
+    for t in tables:
+        if path := t.__dict__.pop("_stored_at", None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it, such that df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups, one row for each key, of which `count` says how many of the `total` rows have it. The few that
+    are a hot key go by broadcast, whose size is bounded (fewer than HOT rows), the others by a shuffle join."""
+    hot = F.col(count) > F.lit(total / HOT)
+    few, rest = groups.filter(hot), groups.filter(~hot)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(others.join(rest, key, how))
 
 
 def cut(df: DataFrame) -> DataFrame:

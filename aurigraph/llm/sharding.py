@@ -1,6 +1,7 @@
 """Balanced label propagation into shards, on DataFrame functions only.
 
-Documents with equal texts are linked. Labels (shards) start from a hash of the row. In each round every linked document asks
+Documents with equal texts are linked. Labels (shards) start from a hash of id and text, and draws and orders go by them too, so
+reruns and other partitions of the same rows agree. In each round every linked document asks
 to move to the shard that holds most of its neighbours; per shard and size of pull the requests are counted, and the share that
 the shard's quota leaves room for is admitted, large pulls first. Documents without links never move for a neighbour: they are
 the ballast that fills each shard to its quota at the end. The law is `rows`: the shards' counts are at most one apart.
@@ -13,21 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, unit
+from .common import meet, stored, unit
 
 SHARDS = 40
 ROUNDS = 8
 SEED = 5
-#: Groups with more than this part of all rows are joined by broadcast: there can't be more than HOT of them.
-HOT = 1000
-
-
-def _meet(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """rows joined with groups (one row for each g, with its size n). The few groups that are a hot key go by broadcast, whose
-    size is bounded (fewer than HOT rows), the others by a shuffle join."""
-    hot = F.col("n") > F.lit(total / HOT)
-    few = F.broadcast(groups.filter(hot))
-    return rows.join(few, "g").unionByName(rows.join(F.broadcast(groups.filter(hot).select("g")), "g", "left_anti").join(groups.filter(~hot), "g"))
 
 
 def _bin(column) -> F.Column:
@@ -35,11 +26,11 @@ def _bin(column) -> F.Column:
 
 
 def _round(linked: DataFrame, quotas: list[int], total: int, number: int) -> DataFrame:
-    """linked (row, g, label) with the labels after one round, and whether the row moved."""
+    """linked (row, doc_id, g, label) with the labels after one round, and whether the row moved."""
     shards = len(quotas)
     counts = linked.groupBy("g", "label").agg(F.count("*").alias("c"))
     best = counts.groupBy("g").agg(F.max(F.struct("c", F.xxhash64("g", "label").alias("tie"), "label")).alias("top"), F.sum("c").alias("n")).select("g", "n", F.col("top.label").alias("best"), F.col("top.c").alias("pull"))
-    wish = stored(_meet(linked.select("row", "g", "label"), best, total), "sharding-wishes")
+    wish = stored(meet(linked.select("row", "doc_id", "g", "label"), best, "g", "n", total), "sharding-wishes")
     asks = wish.filter("label <> best").groupBy("label", "best", _bin(F.col("pull")).alias("bin")).agg(F.count("*").alias("asked"))
     load = {r["label"]: r["n"] for r in wish.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one number for each shard
     leaving = {r["label"]: r["n"] for r in asks.groupBy("label").agg(F.sum("asked").alias("n")).collect()}
@@ -48,10 +39,10 @@ def _round(linked: DataFrame, quotas: list[int], total: int, number: int) -> Dat
     larger = F.coalesce(F.sum("asked").over(Window.partitionBy("best").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     admitted = wanted.select("best", "bin", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (room - larger) / F.col("asked"))).alias("share"))
     # a group that is small beside a shard moves as one, a larger one by rows
-    draw = F.when(F.col("n") > F.lit(max(1, min(quotas) // 4)), unit("row", seed=SEED + number)).otherwise(unit("g", seed=SEED + number))
+    draw = F.when(F.col("n") > F.lit(max(1, min(quotas) // 4)), unit("doc_id", "g", seed=SEED + number)).otherwise(unit("g", seed=SEED + number))
     moved = (F.col("label") != F.col("best")) & (draw < F.coalesce("share", F.lit(0.0)))
     after = wish.withColumn("bin", _bin(F.col("pull"))).join(F.broadcast(admitted), ["best", "bin"], "left")
-    return after.select("row", "g", F.when(moved, F.col("best")).otherwise(F.col("label")).alias("label"), moved.alias("moved"))
+    return after.select("row", "doc_id", "g", F.when(moved, F.col("best")).otherwise(F.col("label")).alias("label"), moved.alias("moved"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -60,12 +51,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
     Rows are dealt by ranges of the sort key, numbered in each range and shifted by what the label has in ranges before.
     """
     pieces = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = ["label", F.col("ballast"), "g", "row"]
+    key = ["label", F.col("ballast"), "g", "doc_id", "row"]  # rows of one id and text are alike, so `row` settles nothing that shows
     dealt = stored(rows.repartitionByRange(pieces, *key).withColumn("piece", F.spark_partition_id()), "sharding-places")
     counts = dealt.groupBy("label", "piece").agg(F.count("*").alias("n"))  # a label's ranges meet in few rows
     shift = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("label", "piece", shift.alias("shift"))
-    within = F.row_number().over(Window.partitionBy("label", "piece").orderBy("ballast", "g", "row")) - 1
+    within = F.row_number().over(Window.partitionBy("label", "piece").orderBy("ballast", "g", "doc_id", "row")) - 1
     return dealt.join(offsets, ["label", "piece"]).withColumn("place", (within + F.col("shift")).cast("long"))
 
 
@@ -105,15 +96,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
 
     Counts of shards are at most one apart, the first shards having the one more. Null texts count as empty ones, so all null
     and empty texts are one group; repeated rows are linked rows as any others; with fewer rows than shards the last shards are
-    empty; an empty table gives no rows. Ids play no part but as output, so null ids are kept. Other columns play no part.
+    empty; an empty table gives no rows. Ids need not be distinct, and null ids are kept. Equal rows get different slots, and
+    which of them gets which does not show. At most `rounds` rounds are run; groups that have not gathered by then stay divided,
+    and the quotas hold in any case. Other columns play no part.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g")).withColumn("row", F.monotonically_increasing_id()), "sharding-base")
     total = base.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     groups = stored(base.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "sharding-groups")
-    start = F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(shards)).cast("int")
-    linked = stored(_meet(base.select("row", "g"), groups, total).select("row", "g", start.alias("label")), "sharding-labels")
+    start = F.pmod(F.xxhash64("doc_id", "g", F.lit(SEED)), F.lit(shards)).cast("int")
+    linked = stored(meet(base.select("row", "doc_id", "g"), groups, "g", "n", total).select("row", "doc_id", "g", start.alias("label")), "sharding-labels")
     for number in range(rounds if not linked.isEmpty() else 0):
         linked = stored(_round(linked, quotas, total, number), "sharding-labels")
         if linked.filter("moved").isEmpty():

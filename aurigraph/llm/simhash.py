@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, stored, utf8
+from .common import by_batch, fresh, meet, stored, utf8
 from .components import connected_components
 
 WORDS = 3
@@ -131,16 +131,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no rows. Other columns of docs play no part.
     """
     marks = stored(fingerprints(docs, id_col, text_col, words), "simhash-marks")
-    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = links(nodes.select("fp"), max_bits)
-    groups = connected_components(edges)
-    # the component's least doc_id, not its least fingerprint
-    named = groups.join(nodes.withColumnRenamed("fp", "node"), "node")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    # stored, so that both sides of the last join are plain shuffles and a fingerprint that very many rows share can be split
-    known = stored(nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-known")
-    return marks.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
+    groups = stored(connected_components(links(nodes.select("fp"), max_bits)), "simhash-groups")
+    # the component's least doc_id, not its least fingerprint; a component of very many fingerprints is a hot key
+    named = groups.join(nodes.select(F.col("fp").alias("node"), "first"), "node")
+    least = stored(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size")), "simhash-least")
+    of = meet(groups, least, "component", "size", groups.count()).select(F.col("node").alias("fp"), "component_id")
+    known = stored(nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "simhash-known")
+    return meet(marks, known, "fp", "n", marks.count()).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, groups: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
@@ -156,7 +154,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows, key = docs, id_col
         losers = groups(docs, id_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
     else:
-        key = "__aurigraph_row"
+        key = fresh(docs, "row_number")
         rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
         found = groups(rows, key).join(rows.select(F.col(key).alias("doc_id"), F.col(id_col).alias("id")), "doc_id")
         winners = found.groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.col("id").isNull(), "id", "doc_id")).alias("winner"))
