@@ -116,42 +116,71 @@ class Model:
         return self.start + self.marks[:, mark] + self.emit[:, symbol]
 
 
-def train(lined: DataFrame) -> Model:
-    """Counts over all lines whose role is known; order of roles within pieces, and over their ends."""
-    n = len(ROLES)
-    schema = "kind int, i int, j int, n long"
+_COUNTED = "kind int, i int, j int, n long, piece int, first long, last long, one boolean"
+#: Kinds of counted rows, and what a piece's edge may be besides a role: a line of unknown role, or nothing that tells.
+EMITS, FOLLOWS, STARTS, EDGES = range(4)
+UNKNOWN, NOTHING = -1, -2
 
-    def count(t: pa.Table) -> pa.Table:
-        t, starts = _ordered(t)
-        known, begins, symbol = (t.column(c).to_pylist() for c in ("known", "begins", "symbol"))
-        emit, turn, start = np.zeros((n, SYMBOLS), int), np.zeros((n, n), int), np.zeros(n, int)
-        opens, last = set(starts.tolist()), None
-        for i, (k, b, s) in enumerate(zip(known, begins, symbol)):
-            if i in opens:
-                last = None
-            if k is None:
-                last = None
-                continue
+
+def _counted(t: pa.Table) -> pa.Table:
+    """Counts of a piece, and a row for its edges: what the first conversation first tells (i), the role that the last one ends
+    with (j), and whether the piece's first line is a known turn's start (n)."""
+    n = len(ROLES)
+    t, starts = _ordered(t)
+    known, begins, symbol = (t.column(c).to_pylist() for c in ("known", "begins", "symbol"))
+    emit, turn, start = np.zeros((n, SYMBOLS), int), np.zeros((n, n), int), np.zeros(n, int)
+    opens, last, head = set(starts.tolist()), NOTHING, NOTHING
+    for i, (k, b, s) in enumerate(zip(known, begins, symbol)):
+        if i in opens:
+            last = NOTHING
+        in_first = len(starts) == 1 or i < starts[1]
+        if k is None:
+            last = UNKNOWN
+        else:
             emit[k, s] += 1
-            if b:
-                if last is not None:
-                    turn[last, k] += 1
-                elif i in opens and i > 0:  # the first of a piece may continue a conversation
-                    start[k] += 1
-                last = k
-        rows = [(0, i, j, int(emit[i, j])) for i in range(n) for j in range(SYMBOLS) if emit[i, j]] + [(1, i, j, int(turn[i, j])) for i in range(n) for j in range(n) if turn[i, j]] + [(2, i, 0, int(start[i])) for i in range(n) if start[i]]
-        columns = list(zip(*rows)) or [(), (), (), ()]
-        return pa.table({"kind": pa.array(columns[0], pa.int32()), "i": pa.array(columns[1], pa.int32()), "j": pa.array(columns[2], pa.int32()), "n": pa.array(columns[3], pa.int64())})
-
-    counts = lined.groupBy("piece").applyInArrow(count, schema).groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect()  # kinds times symbols
+            if not b:
+                continue
+            if last >= 0:
+                turn[last, k] += 1
+            elif i in opens and i > 0:  # the first of a piece may continue a conversation, which its edge settles
+                start[k] += 1
+            last = k
+        if in_first and head == NOTHING:
+            head = last
+    rows = [(EMITS, i, j, int(emit[i, j])) for i in range(n) for j in range(SYMBOLS) if emit[i, j]]
+    rows += [(FOLLOWS, i, j, int(turn[i, j])) for i in range(n) for j in range(n) if turn[i, j]] + [(STARTS, i, 0, int(start[i])) for i in range(n) if start[i]]
+    rows.append((EDGES, head, last, int(known[0] is not None and bool(begins[0]))))
+    ids = t.column("conv_id")
+    columns = [*zip(*rows), [t.column("piece")[0].as_py()] * len(rows), [ids[0].as_py()] * len(rows), [ids[-1].as_py()] * len(rows), [len(starts) == 1] * len(rows)]
+    return pa.table({name: pa.array(c, kind) for (name, kind), c in zip((("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("piece", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("one", pa.bool_())), columns)})
+
+
+def train(lined: DataFrame) -> Model:
+    """Counts over all lines whose role is known, and over the order of roles, within pieces and over their ends. However the lines
+    are dealt into pieces, the counts are the same. Only lines' features move, not their texts."""
+    n = len(ROLES)
+    narrow = lined.select("piece", "conv_id", "turn", "row", "line", "known", "begins", "symbol")
+    counted = stored(narrow.groupBy("piece").applyInArrow(_counted, _COUNTED), "chat-counts")
+    counts = counted.filter(F.col("kind") < EDGES).groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect()  # kinds times symbols
     emit, turn, start = np.ones((n, SYMBOLS)), np.ones((n, n)), np.ones(n)
     for kind, i, j, c in counts:
-        if kind == 0:
+        if kind == EMITS:
             emit[i, j] += c
-        elif kind == 1:
+        elif kind == FOLLOWS:
             turn[i, j] += c
         else:
             start[i] += c
+    before, held = object(), NOTHING
+    for r in counted.filter(F.col("kind") == EDGES).orderBy("piece").toLocalIterator():  # one row a piece
+        runs_on = before == r["first"]
+        if r["i"] >= 0:
+            if runs_on and held >= 0:
+                turn[held, r["i"]] += 1
+            elif not runs_on and r["n"]:
+                start[r["i"]] += 1
+        if not (r["one"] and runs_on and r["j"] == NOTHING):  # else the piece is all of one turn, which goes on
+            held = r["j"]
+        before = r["last"]
     return Model(start / start.sum(), turn / turn.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
@@ -189,7 +218,8 @@ def _ends(lined: DataFrame, model: Model) -> dict[int, tuple]:
         one = len(starts) == 1
         return pa.table({"piece": pa.array([t.column("piece")[0].as_py()], pa.int32()), "first": pa.array([ids[0].as_py()], pa.int64()), "last": pa.array([ids[-1].as_py()], pa.int64()), "one": pa.array([one], pa.bool_()), "tail": pa.array([tail.tolist()], _FLOATS), "head": pa.array([head.ravel().tolist()], _FLOATS)})
 
-    rows = sorted(lined.groupBy("piece").applyInArrow(summarise, schema).collect(), key=lambda r: r["piece"])  # one row a piece
+    narrow = lined.select("piece", "conv_id", "turn", "row", "line", "begins", "mark", "symbol")
+    rows = sorted(narrow.groupBy("piece").applyInArrow(summarise, schema).collect(), key=lambda r: r["piece"])  # one row a piece
     before: dict[int, np.ndarray | None] = {}
     carried, carried_id = None, object()
     for r in rows:
