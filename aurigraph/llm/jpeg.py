@@ -15,6 +15,7 @@ import hashlib
 import struct
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -323,16 +324,17 @@ def _block(data: np.ndarray, at: np.ndarray, held: np.ndarray, dc: tuple, ac: tu
 
 
 def decode(blobs: list[bytes]) -> list[list[dict]]:
-    """For each stored form its images: width, height and the DC-only luminance thumbnail."""
+    """For each stored form its images: width, height, where its bytes stand and the DC-only luminance thumbnail."""
     groups: dict[tuple, list[tuple[int, int, dict]]] = defaultdict(list)
     found: list[list[dict]] = []
     for i, blob in enumerate(blobs):
         at, own = 0, []
         while at < len(blob):
+            start = at
             image, at = parse(blob, at)
             layout, job = _job(image)
             groups[layout].append((i, len(own), job))
-            own.append({"width": image["width"], "height": image["height"]})
+            own.append({"width": image["width"], "height": image["height"], "span": slice(start, at)})
         found.append(own)
     for layout, jobs in groups.items():
         for (i, n, _), thumbnail in zip(jobs, _decode(layout, [j for _, _, j in jobs])):
@@ -356,22 +358,89 @@ def features(images: list[dict]) -> str:
     return ";".join(f"{x['width']}x{x['height']}:{average_hash(x['thumbnail']):016x}" for x in images)
 
 
+#: Payload bytes whose images are packed or read together; an image takes about a hundred bytes of memory for each of its payload.
+TOGETHER = 1 << 19
+_IMAGE = WIDE * ROWS
+
+
+def _stored_form(payload: bytes) -> Iterator[bytes]:
+    """The images of one payload, one after the other."""
+    for start in range(0, len(payload), _IMAGE):
+        yield encode([payload[start : start + _IMAGE]])[0]
+
+
+def _in_groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of the list of about TOGETHER bytes each; what is larger stands alone."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > TOGETHER:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield start, len(sizes)
+
+
+def _encoded(texts: list[bytes]) -> list[bytes]:
+    payloads, out = [padded(t) for t in texts], []
+    for a, b in _in_groups([len(p) for p in payloads]):
+        out += encode(payloads[a:b]) if b - a > 1 else [b"".join(_stored_form(payloads[a]))]
+    return out
+
+
 def as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as JPEG. A null or empty text is 64 zero bytes; equal texts give equal media."""
+    """(doc_id, n_bytes, media): each whole text as JPEG. A null or empty text is 64 zero bytes; equal texts give equal media.
+
+    One row for each row of docs, nulls in ids included; an empty table gives no rows; other columns play no part.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or b"" for t in utf8(batch.column("text"))]
-        media = pa.array(encode([padded(t) for t in texts]), pa.large_binary()).cast(pa.binary())
+        media = pa.array(_encoded(texts), pa.large_binary()).cast(pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
     return by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), work, "doc_id long, n_bytes long, media binary")
 
 
-def _read(blobs: list[bytes]) -> list[tuple]:
-    rows = []
-    for blob, images in zip(blobs, decode(blobs)):
-        payload = b"".join(x["thumbnail"].tobytes() for x in images)
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), features(images)))
+def _images(blob: bytes) -> Iterator[bytes]:
+    """Each image of a stored form by itself."""
+    at = 0
+    while at < len(blob):
+        _, end = parse(blob, at)
+        yield blob[at:end]
+        at = end
+
+
+def _summary(images: Iterable[tuple[bytes, dict]]) -> tuple:
+    """The result columns of one stored form from its images, each as bytes and as decoded."""
+    payload, media, n, size, tail, seen = hashlib.sha256(), hashlib.sha256(), 0, 0, b"", []
+    for blob, image in images:
+        own = image["thumbnail"].tobytes()
+        payload.update(own)
+        media.update(blob)
+        n, size, tail = n + len(own), size + len(blob), (tail + own)[-64:]
+        seen.append(features([image]))
+    return n, payload.hexdigest(), zlib.crc32(tail), size, media.hexdigest(), ";".join(seen)
+
+
+def _one_by_one(blobs: Iterator[bytes]) -> Iterator[tuple[bytes, dict]]:
+    for blob in blobs:
+        yield blob, decode([blob])[0][0]
+
+
+def _read(blobs: list[bytes | None]) -> list[tuple]:
+    """The result columns of each stored form; nulls for one that is null, empty or no baseline JPEG throughout."""
+    rows: list[tuple] = [(None,) * len(_READ)] * len(blobs)
+    for a, b in _in_groups([len(x or b"") for x in blobs]):
+        try:
+            if b - a > 1:
+                read = decode([x or b"" for x in blobs[a:b]])
+                rows[a:b] = [_summary((x[i["span"]], i) for i in images) if images else (None,) * len(_READ) for x, images in zip(blobs[a:b], read)]
+            elif blobs[a]:
+                rows[a] = _summary(_one_by_one(_images(blobs[a])))
+        except (NotBaseline, KeyError, IndexError, ValueError, struct.error):
+            if b - a > 1:  # the others are read by themselves
+                rows[a:b] = [_read([x])[0] for x in blobs[a:b]]
     return rows
 
 
@@ -380,7 +449,10 @@ _READ_SQL = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_b
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """The columns of as_media() with payload and features read back from the stored bytes instead of the bytes."""
+    """The columns of as_media() with payload and features read back from the stored bytes instead of the bytes.
+
+    Media that are null or no baseline JPEG have nulls there.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = _read(batch.column("media").to_pylist())
@@ -390,6 +462,17 @@ def read_media(media: DataFrame) -> DataFrame:
     return by_batch(media.select("doc_id", "n_bytes", "media"), work, f"doc_id long, n_bytes long, {_READ_SQL}")
 
 
+def _features_of(texts: list[bytes]) -> list[tuple]:
+    """The result columns of texts; a long one is packed and read image by image."""
+    payloads, rows = [padded(t) for t in texts], []
+    for a, b in _in_groups([len(p) for p in payloads]):
+        if b - a > 1:
+            rows += _read(encode(payloads[a:b]))
+        else:
+            rows.append(_summary(_one_by_one(_stored_form(payloads[a]))))
+    return rows
+
+
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """read_media(as_media(docs)) in one pass, so that the media need not leave the worker.
 
@@ -398,7 +481,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or b"" for t in utf8(batch.column("text"))]
-        rows = _read(encode([padded(t) for t in texts]))
+        rows = _features_of(texts)
         columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_READ)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), *columns], names=["doc_id", "n_bytes", *(n for n, _ in _READ)])
 
