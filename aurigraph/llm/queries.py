@@ -81,11 +81,14 @@ c AS (SELECT *, sum(ceiling) OVER (ORDER BY k) - ceiling AS held, sum(weight) OV
 f AS (SELECT *, weight * ((whole - held) / spread) > ceiling AS is_full FROM c),
 l AS (SELECT (any_value(whole) - coalesce(sum(ceiling) FILTER (WHERE is_full), 0)) / sum(weight) FILTER (WHERE NOT is_full) AS level FROM f),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN ceiling ELSE weight * level END AS target FROM f, l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  CAST(('0x' || substr(sha256('SEED:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::UBIGINT AS DOUBLE) / 281474976710656.0 AS draw
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
-""".replace("SEED", str(mixing.SEED))
+r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, d.size > 0 AND d.size * LARGE >= t.source_size AS is_large, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+  CAST(('0x' || substr(sha256('SEED:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::UBIGINT AS DOUBLE) / 281474976710656.0 AS draw,
+  CAST(('0x' || substr(sha256('SEED:source:' || coalesce(d.source, '')), 1, 12))::UBIGINT AS DOUBLE) / 281474976710656.0 AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, is_large ORDER BY size, draw, doc_id NULLS LAST) AS k FROM r),
+e AS (SELECT *, CASE WHEN is_large THEN floor(k * (rate - floor(rate)) + start) - floor((k - 1) * (rate - floor(rate)) + start) WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS extra FROM n)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (floor(rate) + extra))::BIGINT AS taken FROM e
+""".replace("SEED", str(mixing.SEED)).replace("LARGE", str(mixing.LARGE))
 
 
 QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_htmltext": op4_htmltext, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_pii": op8_pii, "op9_media": op9_media, "op10_mixing": op10_mixing}
