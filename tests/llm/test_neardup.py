@@ -48,6 +48,7 @@ def _components(texts: dict[int, str]) -> dict[int, int]:
 @pytest.mark.parametrize("dense", [64, 3])
 def test_near_copies_are_brute_force(spark, monkeypatch, dense):
     monkeypatch.setattr(neardup, "DENSE", dense)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
     texts = _planted()
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(rows).collect()} == _components(texts)
