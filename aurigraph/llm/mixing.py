@@ -84,8 +84,9 @@ def _is_large(size: F.Column, whole: F.Column) -> F.Column:
 
 
 def _turns(large: DataFrame, seed: int) -> DataFrame:
-    """large (source, doc_id, size, tie, rate, ...) with `extra`, 1 for the documents whose fraction takes the sum over a whole number."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy("size", draw(F.col("doc_id"), seed), F.col("doc_id").asc_nulls_last(), "tie"))
+    """large (source, doc_id, size, rate, ...) with `extra`, 1 for the documents whose fraction takes the sum over a whole number.
+    Rows of one source, id and size are one document."""
+    place = F.dense_rank().over(Window.partitionBy("source").orderBy("size", draw(F.col("doc_id"), seed), F.col("doc_id").asc_nulls_last()))
     start = draw(F.concat(F.lit("source:"), F.coalesce("source", F.lit(""))), seed)
     part = F.col("rate") - F.floor("rate")
     return large.withColumn("place", place).withColumn("extra", (F.floor(F.col("place") * part + start) - F.floor((F.col("place") - 1) * part + start)).cast("long")).drop("place")
@@ -94,11 +95,10 @@ def _turns(large: DataFrame, seed: int) -> DataFrame:
 def mixture(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, copies): one row for each row of docs with how often the mix takes it.
 
-    Null and empty texts have size 0; a null source is one source, the last. Small rows of one doc_id are drawn alike. A source
+    Null and empty texts have size 0; a null source is one source, the last. Rows of one source, id and size are drawn alike. A source
     without words has target 0 and its documents no copies. An empty table gives no rows. Other columns play no part.
     """
-    text = F.col(text_col).cast("string")
-    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(text).alias("size"), F.xxhash64(text).alias("tie")), "mixing-sizes")
+    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col).cast("string")).alias("size")), "mixing-sizes")
     rated = _rates(sized)
     large = _is_large(F.col("size"), F.col("source_size"))
     part = F.col("rate") - F.floor("rate")
@@ -110,28 +110,21 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str
     """docs with each row as often as the mix takes it; all columns of docs stay, whatever their names.
 
     Nulls, empty texts, repeated rows and sources without words are as in mixture(); an empty table gives no rows. The rates of the
-    sources and the copies of large documents, not the documents, are what is joined: texts are read twice and shuffled never while these
+    sources and the turns of large documents, not the documents, are what is joined: texts are read twice and shuffled never while these
     fit a checked broadcast (Spark's own threshold on the size of the written tables), and else shuffled, salted.
     """
     names = docs.columns
-    text, source = F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`").cast("string")
-    sized = stored(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), source.alias("source"), words_in(text).alias("size"), F.xxhash64(text).alias("tie")), "mixing-sizes")
+    text, source, doc_id = F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    sized = stored(docs.select(doc_id.alias("doc_id"), source.alias("source"), words_in(text).alias("size")), "mixing-sizes")
     rates = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).select("source", "source_size", "rate"), "mixing-rates")
     rated = sized.join(rates.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    turns = _turns(rated.filter(_is_large(F.col("size"), F.col("source_size"))), seed)
-    # rows alike in all of these share their turns: the first of them come once more
-    extras = stored(turns.groupBy("source", "doc_id", "tie").agg(F.sum("extra").alias("extras"), F.count("*").alias("rows")), "mixing-extras")
+    turns = stored(_turns(rated.filter(_is_large(F.col("size"), F.col("source_size"))), seed).select("source", "doc_id", "size", "extra").distinct(), "mixing-turns")
     salts = 64
     packed = F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
-    rows = docs.select(packed.alias("row"), source.alias("of"), F.col(f"`{id_col}`").cast("long").alias("id"), words_in(text).alias("words"), F.xxhash64(text).alias("hash"), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(salts)).cast("int").alias("salt"))
+    rows = docs.select(packed.alias("row"), source.alias("of"), doc_id.alias("id"), words_in(text).alias("words"), F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int").alias("salt"))
     salted = rates.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = rows.join(salted, rows["of"].eqNullSafe(salted["source"]) & (rows["salt"] == salted["slot"])).drop("source", "slot", "salt")
+    told = met.join(turns, met["of"].eqNullSafe(turns["source"]) & met["id"].eqNullSafe(turns["doc_id"]) & (met["words"] == turns["size"]), "left")
     part = F.col("rate") - F.floor("rate")
-    large = _is_large(F.col("words"), F.col("source_size"))
-    small = met.filter(~large).withColumn("copies", (F.floor("rate") + F.when(draw(F.col("id"), seed) < part, 1).otherwise(0)).cast("int")).select("row", "copies")
-    # few rows of any source are large; only they are numbered among their like
-    like = Window.partitionBy("of", "id", "hash").orderBy(F.lit(1))
-    some = met.filter(large).join(extras, met["of"].eqNullSafe(extras["source"]) & met["id"].eqNullSafe(extras["doc_id"]) & (met["hash"] == extras["tie"])).withColumn("number", F.row_number().over(like))
-    some = some.withColumn("copies", (F.floor("rate") + (F.col("number") <= F.col("extras")).cast("int")).cast("int")).select("row", "copies")
-    taken = small.unionByName(some).filter("copies > 0")
+    taken = told.withColumn("copies", (F.floor("rate") + F.coalesce("extra", F.when(draw(F.col("id"), seed) < part, 1).otherwise(0))).cast("int")).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])

@@ -85,7 +85,7 @@ r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, d.size > 0 AND
   CAST(('0x' || substr(sha256('SEED:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::UBIGINT AS DOUBLE) / 281474976710656.0 AS draw,
   CAST(('0x' || substr(sha256('SEED:source:' || coalesce(d.source, '')), 1, 12))::UBIGINT AS DOUBLE) / 281474976710656.0 AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-n AS (SELECT *, row_number() OVER (PARTITION BY source, is_large ORDER BY size, draw, doc_id NULLS LAST) AS k FROM r),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY source, is_large ORDER BY size, draw, doc_id NULLS LAST) AS k FROM r),
 e AS (SELECT *, CASE WHEN is_large THEN floor(k * (rate - floor(rate)) + start) - floor((k - 1) * (rate - floor(rate)) + start) WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS extra FROM n)
 SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (floor(rate) + extra))::BIGINT AS taken FROM e
 """.replace("SEED", str(mixing.SEED)).replace("LARGE", str(mixing.LARGE))
