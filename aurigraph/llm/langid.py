@@ -22,7 +22,7 @@ from .common import rows_within, small_batches, stored
 SAMPLE_TEXTS = 96
 SAMPLE_BYTES = 16_384
 #: Bytes of one dictionary, and of all together however many languages there are.
-DICTIONARY_BYTES = 262_144
+DICTIONARY_BYTES = 65_536
 ALL_BYTES = 32 << 20
 PIECE_BYTES = 2048
 LEVEL = 11
