@@ -49,13 +49,9 @@ def zeros(n: Column | int) -> Column:
     return F.array_repeat(F.lit(0.0), F.lit(n) if isinstance(n, int) else n)
 
 
-def exact_length(x: Column, n: int) -> Column:
-    """x cut or padded with zeros to n samples."""
-    return F.slice(F.concat(x, zeros(n)), 1, n)
-
-
-def samples_for_delay(delay_us: Column, rate: int) -> Column:
-    return F.bround(delay_us * rate / 1e6).cast("int")
+def excerpt_rms_db(x: Column, start: Column, length: Column | int) -> Column:
+    """Level of a stretch of a signal; start from 0."""
+    return rms_db(F.slice(x, start + 1, length))
 
 
 def delay_right(left: Column, right: Column, samples: Column) -> tuple[Column, Column]:

@@ -20,8 +20,16 @@ HEAD_M, SOUND_M_S = 0.0875, 343.0
 COMBS = (1116, 1188, 1277, 1356, 1422, 1491, 1557, 1617)
 ALLPASSES = (556, 441, 341, 225)
 DAMPING, ALLPASS_GAIN, SPREAD = 0.25, 0.5, 23
-#: Fixed values of the pitch tracker.
+#: Fixed values of the pitch tracker, and how strong the peak of a delay must be to be relied on.
 PITCH_RATE, HOP_S, SILENCE_DB, TROUGH = 24_000, 0.01, -60.0, 0.15
+RELIABLE = 0.05
+#: f0 in Hz that instruments reach, by code, and that is looked for in a mix.
+RANGES_HZ = {
+    "vn": (185.00, 2637.02), "va": (123.47, 1396.91), "vc": (61.74, 1046.50), "db": (36.71, 246.94), "fl": (246.94, 2489.02), "ob": (220.00, 1864.66), "cl": (138.59, 1975.53),
+    "sax": (123.47, 932.33), "bn": (55.00, 659.26), "tpt": (155.56, 1244.51), "hn": (58.27, 739.99), "tbn": (77.78, 698.46), "tba": (34.65, 369.99),
+}
+MIX_RANGE_HZ = (55.0, 1000.0)
+KINDS = ("compression", "eq", "midside", "delay_widening", "reverb")
 
 
 class Unusable(ValueError):
@@ -82,23 +90,40 @@ def level_cues(left: np.ndarray, right: np.ndarray, rate: int) -> dict:
     return {"ild_db": whole, "high_frequency_ild_db": float(np.median(high)) if len(high) else whole, "ild_flatness_db": float(np.std(medians)) if len(medians) > 1 else 0.0, "estimated_azimuth_deg": float(azimuth_of_ild(whole)), "active_bins": int(len(ild))}
 
 
+def instrument_range(code: str) -> tuple[float, float]:
+    try:
+        return RANGES_HZ[code.strip().lower()]
+    except KeyError:
+        raise ValueError(f"no range is known of instrument {code!r}") from None
+
+
+def _vertex(y: np.ndarray) -> float:
+    """Where the parabola through three neighbouring values has its extreme, from the middle one."""
+    slope, bend = (y[2] - y[0]) / 2, y[0] + y[2] - 2 * y[1]
+    return -slope / bend if bend else 0.0
+
+
 def delay_us(left: np.ndarray, right: np.ndarray, rate: int, most_us: float = MAX_ITD_US) -> tuple[float, float]:
-    """Delay of the right channel by phase-only cross-correlation with a parabolic peak, and the peak's strength."""
-    left, right = checked(left, right)
-    left, right = left - left.mean(), right - right.mean()
-    size = 1 << (2 * len(left) - 1).bit_length()
-    cross = np.fft.rfft(left, size) * np.conj(np.fft.rfft(right, size))
-    strength = np.abs(cross)
-    whitened = np.where(strength > 1e-12 * strength.max(), cross / np.where(strength > 0, strength, 1), 0)
-    lags = np.arange(-math.ceil(most_us * 1e-6 * rate), math.ceil(most_us * 1e-6 * rate) + 1)
-    values = np.fft.irfft(whitened, size)[lags % size]
-    k = int(np.argmax(values))
-    shift = 0.0
-    if 0 < k < len(values) - 1:
-        before, peak, after = values[k - 1 : k + 2]
-        bend = after - 2 * peak + before
-        shift = 0.5 * (before - after) / bend if bend else 0.0
-    return float(-(lags[k] + shift) / rate * 1e6), float(abs(values[k]) / max(np.abs(values).sum(), np.finfo(float).tiny))
+    """Delay of the right channel by phase-only cross-correlation, refined by a parabola, and the peak's share of all values."""
+    channels = np.stack(checked(left, right))
+    channels = channels - channels.mean(1, keepdims=True)
+    size = 1 << (2 * channels.shape[1] - 1).bit_length()
+    spectra = np.fft.rfft(channels, size)
+    product = spectra[1] * spectra[0].conj()
+    size_of = np.abs(product)
+    product[size_of <= 1e-12 * size_of.max()] = 0
+    np.divide(product, size_of, out=product, where=size_of > 0)
+    reach = math.ceil(most_us * 1e-6 * rate)
+    whole = np.fft.irfft(product, size)
+    near = np.concatenate([whole[-reach:], whole[: reach + 1]])  # lags -reach to reach
+    top = int(near.argmax())
+    inner = 0 < top < 2 * reach
+    lag = top - reach + (_vertex(near[top - 1 : top + 2]) if inner else 0.0)
+    return lag / rate * 1e6, float(abs(near[top]) / max(np.abs(near).sum(), np.finfo(float).tiny))
+
+
+def reliable(peak_strength: float) -> bool:
+    return peak_strength > RELIABLE
 
 
 def coherence_segment(n: int) -> int:
@@ -173,39 +198,46 @@ def resample(x: np.ndarray, rate: int, to: int, half: int = 32) -> np.ndarray:
 def pitch_track(x: np.ndarray, rate: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
     """(f0, voiced) each 10 ms by YIN: the cumulative-mean-normalised difference, its first dip below a threshold, a parabola.
 
-    Frames 60 dB below the loudest are unvoiced. Unvoiced f0 is NaN.
+    All frames at once, in blocks. Frames 60 dB below the loudest are unvoiced. Unvoiced f0 is NaN.
     """
     x = resample(x, rate, PITCH_RATE)
     size = 1 << max(11, math.ceil(math.log2(4 * PITCH_RATE / low)))
     if len(x) < size or high >= PITCH_RATE / 2:
         raise Unusable("too short or out of range for a pitch")
     hop, longest, shortest = int(HOP_S * PITCH_RATE), math.ceil(PITCH_RATE / low) + 1, max(2, int(PITCH_RATE / high))
-    window = size - longest
     parts = frames(x, size, hop)
     rms = np.sqrt(np.mean(parts**2, axis=1))
     f0 = np.full(len(parts), math.nan)
-    for i in np.flatnonzero((rms > 0) & (rms >= rms.max() * 10 ** (SILENCE_DB / 20))):
-        f = parts[i]
-        n = 2 * size
-        same = np.fft.irfft(np.conj(np.fft.rfft(f[:window], n)) * np.fft.rfft(f, n), n)[: longest + 1]
-        power = np.concatenate([[0.0], np.cumsum(f**2)])
-        d = np.maximum(power[window] + (power[window : window + longest + 1] - power[: longest + 1]) - 2 * same, 0)
-        mean = np.cumsum(d[1:])
-        normal = np.ones(longest + 1)
-        normal[1:] = np.where(mean > 0, d[1:] * np.arange(1, longest + 1) / np.where(mean > 0, mean, 1), 1)
-        below = np.flatnonzero(normal[shortest:longest] < TROUGH) + shortest
-        if not len(below):
-            continue
-        k = int(below[0])
-        while k + 1 < longest and normal[k + 1] < normal[k]:
-            k += 1
-        a, b, c = normal[k - 1], normal[k], normal[k + 1]
-        bend = a - 2 * b + c
-        f0[i] = PITCH_RATE / (k + (0.5 * (a - c) / bend if bend else 0.0))
+    loud = np.flatnonzero((rms > 0) & (rms >= rms.max() * 10 ** (SILENCE_DB / 20)))
+    for start in range(0, len(loud), 256):
+        some = loud[start : start + 256]
+        f0[some] = _periods(parts[some], longest, shortest)
     voiced = np.isfinite(f0) & (f0 >= low * 0.97) & (f0 <= high * 1.03)
     return np.where(voiced, f0, math.nan), voiced
 
 
+def _periods(parts: np.ndarray, longest: int, shortest: int) -> np.ndarray:
+    """f0 of each frame, NaN where no dip is deep enough."""
+    rows, size = parts.shape
+    window, n = size - longest, 2 * size
+    same = np.fft.irfft(np.fft.rfft(parts[:, :window], n).conj() * np.fft.rfft(parts, n), n)[:, : longest + 1]
+    power = np.concatenate([np.zeros((rows, 1)), np.cumsum(parts**2, axis=1)], axis=1)
+    d = np.maximum(power[:, window : window + 1] + (power[:, window : window + longest + 1] - power[:, : longest + 1]) - 2 * same, 0)
+    mean = np.cumsum(d[:, 1:], axis=1)
+    normal = np.ones((rows, longest + 1))
+    np.divide(d[:, 1:] * np.arange(1, longest + 1), mean, out=normal[:, 1:], where=mean > 0)
+    out = np.full(rows, math.nan)
+    for i, below in enumerate(normal[:, shortest:longest] < TROUGH):
+        if not below.any():
+            continue
+        k = int(below.argmax()) + shortest
+        row = normal[i]
+        while k + 1 < longest and row[k + 1] < row[k]:
+            k += 1
+        out[i] = PITCH_RATE / (k + _vertex(row[k - 1 : k + 2]))
+    return out
+
+
 def tone(f: float, rate: int, seconds: float, partials: int = 6) -> np.ndarray:
     """Harmonics of falling strength, to a peak of 1."""
     t = np.arange(round(seconds * rate)) / rate
@@ -213,6 +245,72 @@ def tone(f: float, rate: int, seconds: float, partials: int = 6) -> np.ndarray:
     return x / np.abs(x).max()
 
 
+def faded(x: np.ndarray, rate: int, seconds: float = 0.01) -> np.ndarray:
+    """x with raised-cosine ends."""
+    n = min(round(seconds * rate), len(x) // 2)
+    if n < 2:
+        return x
+    ramp = 0.5 - 0.5 * np.cos(np.pi * np.arange(n) / n)
+    return np.concatenate([x[:n] * ramp, x[n : len(x) - n], x[len(x) - n :] * ramp[::-1]])
+
+
+def notes(pitches: list[float], rate: int, seconds: float = 0.5, gap: float = 0.1, guard: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tones with silence after each, and the truth each 10 ms: times and f0, 0 in silences and near the ends of notes."""
+    if not pitches or seconds <= 0 or gap < 0:
+        raise ValueError("notes need a pitch each and a duration")
+    whole, step = np.zeros(round(gap * rate)), round(seconds * rate) + round(gap * rate)
+    audio = np.concatenate([np.concatenate([faded(0.5 * tone(f, rate, seconds), rate), whole]) for f in pitches])
+    times = np.arange(math.floor(len(audio) / rate / HOP_S)) * HOP_S
+    number = np.minimum((times * rate / step).astype(int), len(pitches) - 1)
+    into = times - number * step / rate
+    sounding = (into >= guard) & (into <= seconds - guard)
+    return audio, times, np.where(sounding, np.array(pitches, float)[number], 0.0)
+
+
+def glide(start_hz: float, end_hz: float, seconds: float, rate: int, partials: int = 6, guard: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tone whose pitch moves evenly in octaves, and the truth each 10 ms: times and f0."""
+    if min(start_hz, end_hz, seconds) <= 0:
+        raise ValueError("a glide needs two pitches and a duration")
+    t = np.arange(round(seconds * rate)) / rate
+    turns = 2 * np.pi * np.cumsum(start_hz * (end_hz / start_hz) ** (t / seconds)) / rate
+    count = max(1, min(partials, int((rate / 2 - 1e-9) // max(start_hz, end_hz))))
+    x = sum(np.sin(k * turns) / k for k in range(1, count + 1))
+    times = np.arange(math.floor(seconds / HOP_S)) * HOP_S
+    truth = start_hz * (end_hz / start_hz) ** (times / seconds)
+    return faded(0.5 * x / np.abs(x).max(), rate), times, np.where((times >= guard) & (times <= seconds - guard), truth, 0.0)
+
+
+def decorrelated(x: np.ndarray, ratio: float, rng: np.random.Generator) -> np.ndarray:
+    """Noise with the spectrum of x and random phases, of `ratio` times its power."""
+    if ratio < 0 or len(x) < 2:
+        raise ValueError("noise needs a signal and a share that is not negative")
+    if ratio == 0:
+        return np.zeros(len(x))
+    spectrum = np.fft.rfft(x)
+    turned = np.abs(spectrum) * np.exp(2j * np.pi * rng.random(len(spectrum)))
+    turned[0] = abs(spectrum[0])
+    made = np.fft.irfft(turned, len(x))
+    power = np.mean(made**2)
+    if power <= np.finfo(float).tiny:
+        raise Unusable("there is no energy to make noise of")
+    return made * math.sqrt(ratio * np.mean(np.square(x)) / power)
+
+
+def coherence_of_noise(ratio: float) -> float:
+    """What the coherence of two channels is whose noises are `ratio` times as strong as what they share."""
+    return (1 + ratio) ** -2
+
+
+def unrelated(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signals as the channels of one, cut to the shorter and the second brought to the level of the first."""
+    n = min(len(first), len(second))
+    left, right = np.array(first[:n], float), np.array(second[:n], float)
+    levels = [math.sqrt(np.mean(x**2)) for x in (left, right)]
+    if min(levels) <= np.finfo(float).tiny:
+        raise Unusable("both signals must sound")
+    return left, right * levels[0] / levels[1]
+
+
 def pan(x: np.ndarray, azimuth: float) -> tuple[np.ndarray, np.ndarray]:
     d = math.tan(math.radians(azimuth)) / math.tan(math.radians(30))
     left, right = (1 + d) / 2, (1 - d) / 2
@@ -271,17 +369,19 @@ def peaking_eq(x: np.ndarray, rate: int, center_hz: float, gain_db: float, q: fl
     return biquad(x, ((1 + alpha * amp) / a0, -2 * math.cos(w) / a0, (1 - alpha * amp) / a0), (-2 * math.cos(w) / a0, (1 - alpha / amp) / a0))
 
 
-def compressor(left: np.ndarray, right: np.ndarray, rate: int, threshold_db: float, ratio: float, attack_s: float = 0.005, release_s: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """One gain for both channels from the louder one's level."""
+def compressor(left: np.ndarray, right: np.ndarray, rate: int, threshold_db: float, ratio: float, attack_s: float = 0.005, release_s: float = 0.1, makeup_db: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """One gain for both channels from the louder one's level, and the makeup gain."""
+    if ratio < 1:
+        raise ValueError("the ratio must be at least 1")
     level = 20 * np.log10(np.maximum(np.maximum(np.abs(left), np.abs(right)), 1e-12))
     target = np.maximum(level - threshold_db, 0) * (1 - 1 / ratio)
-    fast, slow = math.exp(-1 / (attack_s * rate)), math.exp(-1 / (release_s * rate))
+    fast, slow = (math.exp(-1 / (s * rate)) if s > 0 else 0.0 for s in (attack_s, release_s))
     gain, now = np.empty(len(level)), 0.0
     for i, t in enumerate(target.tolist()):
         c = fast if t > now else slow
         now = c * now + (1 - c) * t
         gain[i] = now
-    scale = 10 ** (-gain / 20)
+    scale = 10 ** ((makeup_db - gain) / 20)
     return np.asarray(left) * scale, np.asarray(right) * scale
 
 
@@ -342,7 +442,7 @@ def process(left: np.ndarray, right: np.ndarray, rate: int, steps: list[tuple[st
     """A chain of steps by kind, in order."""
     for kind, p in steps:
         if kind == "compression":
-            left, right = compressor(left, right, rate, p["threshold_db"], p["ratio"])
+            left, right = compressor(left, right, rate, p["threshold_db"], p["ratio"], p.get("attack_s", 0.005), p.get("release_s", 0.1), p.get("makeup_gain_db", 0.0))
         elif kind == "eq":
             left, right = (peaking_eq(x, rate, p["center_hz"], p["gain_db"], p["q"]) for x in (left, right))
         elif kind == "midside":

@@ -124,3 +124,8 @@ def expected_cues(azimuth: Column, processing: Column) -> Column:
         )
 
     return F.aggregate(processing, start, step)
+
+
+def log_mel_offset(ild_db: Column) -> Column:
+    """By how much a level difference moves log-mel features in which four decades of power are one unit."""
+    return ild_db / 10 / 4

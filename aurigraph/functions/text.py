@@ -27,6 +27,8 @@ AMPLITUDE = r"(?i)amplitude[-\s]panned|amplitude panning|amplitude regime"
 HERTZ = rf"({NUMBER})\s*Hz\b"
 PREMISE = rf"(?i)r\s*=\s*10\^\(\s*(-?{NUMBER})\s*/\s*20\s*\)\s*=\s*({NUMBER})"
 SENTENCE = r"[^.!?]+[.!?]"
+ANSWER_LEVEL = r"level difference is\s*(-?\d+(?:\.\d+)?)\s*dB"
+ANSWER_AZIMUTH = r"azimuth\s*=\s*arctan\([^)]*\)\s*=\s*(-?\d+(?:\.\d+)?)"
 STATED = r"(?i)\b(left|right|center|centre)\b"
 
 
@@ -77,10 +79,12 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def azimuth_claims(text: Column) -> Column:
     """array<struct<start, end, magnitude, side>> in order: numbers with a side right after them, then other numbers of degrees
-    with the first side word in their window."""
+    with the first side word in their window. Texts without the unit are not searched."""
     beside = F.transform(spans(text, ADJACENT), lambda s: F.struct(s["start"], s["end"], _number(s["match"]).alias("magnitude"), F.lower(F.regexp_extract(s["match"], r"(?i)(left|right)$", 1)).alias("side")))
     loose = F.transform(spans(text, BARE), lambda s: F.struct(s["start"], s["end"], _number(s["match"]).alias("magnitude"), F.lower(group(near(text, s), SIDE, 1)).alias("side")))
-    return let(beside, lambda b: F.array_sort(F.concat(b, F.filter(loose, lambda s: s["side"].isNotNull() & ~F.exists(b, lambda x: _overlap(s, x))))))
+    found = let(beside, lambda b: F.array_sort(F.concat(b, F.filter(loose, lambda s: s["side"].isNotNull() & ~F.exists(b, lambda x: _overlap(s, x))))))
+    none = F.array().cast("array<struct<start: int, end: int, magnitude: double, side: string>>")
+    return F.when(F.contains(F.lower(text), F.lit("degree")) | F.contains(text, F.lit("°")), found).otherwise(F.when(text.isNotNull(), none))
 
 
 def final_azimuth(text: Column, claims: Column | None = None) -> Column:
@@ -165,3 +169,9 @@ def stated_side(text: Column) -> Column:
     """The first side word, with both spellings of the centre as center."""
     word = F.lower(group(text, STATED, 1))
     return F.when(word == "centre", "center").otherwise(word)
+
+
+def answer_pair(text: Column) -> Column:
+    """struct<level, azimuth> that a derived answer states; null unless it has both."""
+    level, azimuth = (group(text, p, 1).cast("double") for p in (ANSWER_LEVEL, ANSWER_AZIMUTH))
+    return F.when(level.isNotNull() & azimuth.isNotNull(), F.struct(level.alias("level"), azimuth.alias("azimuth")))

@@ -6,18 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_in_time(targets: DataFrame, frames: DataFrame, key: str, time: str, values: list[str], tolerance: float) -> DataFrame:
+def nearest_in_time(targets: DataFrame, frames: DataFrame, key: str, time: str, values: list[str], tolerance: float, bucket: float | None = None) -> DataFrame:
     """targets with the values of the frame nearest in time (ties: the earlier), null beyond the tolerance.
 
-    Both sides are stacked and sorted once by (key, time): the last frame at or before and the first one after each target are
-    windows over that order, so no pair is made. Frames of equal time: the first by its values counts.
+    Both sides are stacked. The last frame at or before a target is a running value over the ascending order of (key, time), the first
+    one after it over the descending order, so no pair is made and each sort is read once. Frames of equal time: the first by its
+    values counts. With `bucket` a key is cut into stretches of so much time, each sorted by itself, and the frames at their ends,
+    one row a stretch, are carried over; for keys that hold too many rows for one task.
     """
     frame = F.struct(F.col(time).alias("at"), *values)
     once = frames.groupBy(key, time).agg(F.min(frame).alias("frame"))
     stacked = once.select(key, F.col(time).alias("__t"), F.lit(0).alias("__side"), "frame", F.lit(None).cast(targets.select(F.struct("*")).schema[0].dataType).alias("target"))
     asked = targets.select(key, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(once.schema["frame"].dataType).alias("frame"), F.struct("*").alias("target"))
-    order = Window.partitionBy(key).orderBy("__t", "__side")
-    both = stacked.unionByName(asked).withColumn("before", F.last("frame", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("frame", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    both, parts = stacked.unionByName(asked), [key]
+    if bucket is not None:
+        both, parts = both.withColumn("__b", F.floor(F.col("__t") / bucket)), [key, "__b"]
+    run = Window.partitionBy(*parts)
+    last = F.last("frame", ignorenulls=True)
+    both = both.withColumn("before", last.over(run.orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("after", last.over(run.orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)))
+    if bucket is not None:
+        ends = both.groupBy(*parts).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+        steps = Window.partitionBy(key)
+        carried = ends.select(
+            *parts,
+            F.last("last", ignorenulls=True).over(steps.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+            F.last("first", ignorenulls=True).over(steps.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"),
+        )
+        both = both.filter("target IS NOT NULL").join(carried, parts, "left").withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
     back, ahead = F.col("__t") - F.col("before.at"), F.col("after.at") - F.col("__t")
     chosen = F.when(ahead.isNull() | (back <= ahead), F.struct(back.alias("d"), F.col("before").alias("f"))).otherwise(F.struct(ahead.alias("d"), F.col("after").alias("f")))
     found = both.filter("target IS NOT NULL").withColumn("n", chosen)
@@ -25,6 +41,17 @@ def nearest_in_time(targets: DataFrame, frames: DataFrame, key: str, time: str,
     return found.select("target.*", *[F.when(hit, F.col(f"n.f.{v}")).alias(f"nearest_{v}") for v in values])
 
 
+def compare_pitch(aligned: DataFrame, estimated: str, reference: str, tolerance: float = 0.03, *by: str) -> DataFrame:
+    """Estimated f0 (null: unvoiced) against a reference (0: unvoiced) by frames: errors where both are voiced, in percent, the share
+    within the tolerance, and how often the two agree on voicing."""
+    sung, found = F.col(reference) > 0, F.col(estimated).isNotNull() & ~F.isnan(estimated)
+    error = F.when(sung & found, F.abs(F.col(estimated) - F.col(reference)) / F.col(reference))
+    return aligned.groupBy(*by).agg(
+        F.count("*").alias("frames"), F.count(error).alias("compared"), F.count_if(sung).alias("reference_voiced"), F.median(error * 100).alias("median_error"), F.avg(error * 100).alias("mean_error"),
+        F.avg((error <= tolerance).cast("double")).alias("within"), F.avg((sung == found).cast("double")).alias("voicing_agreement"),
+    )
+
+
 def nearest_value(rows: DataFrame, value: str, candidates: list[float]) -> DataFrame:
     """rows with `snapped`: the candidate nearest to the value, ties to the first in order. Candidates are a few literals."""
     options = F.array(*[F.struct(F.abs(F.col(value) - c).alias("d"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(sorted(candidates))])

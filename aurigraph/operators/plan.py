@@ -56,11 +56,6 @@ def uncovered(groups: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").unionByName(b.join(a, key, "left_anti"))
 
 
-def recipes_frame(spark, recipes: list) -> DataFrame:
-    rows = [(i, [(kind, params) for kind, params in recipe]) for i, recipe in enumerate(recipes)]
-    return spark.createDataFrame(rows, "recipe int, processing array<struct<kind: string, params: map<string, double>>>")
-
-
 def render_plans(stems: DataFrame, splits: DataFrame, angles: list[float], recipes: list, clip_s: float, key: str = "piece_id") -> DataFrame:
     """Stem x angle x recipe of the stems that are long enough. Angles and recipes are literals, so nothing but the small
     splits is joined and each stem's rows are made where the stem is."""
@@ -71,24 +66,82 @@ def render_plans(stems: DataFrame, splits: DataFrame, angles: list[float], recip
     return grid.withColumn("render_id", F.when(F.size("processing") == 0, base).otherwise(F.concat(base, F.lit("_"), N.processing_label(F.col("processing")))))
 
 
+def padded(number: Column, digits: int = 5) -> Column:
+    """A number with zeros before it, whole where it has more digits."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= digits, text).otherwise(F.lpad(text, digits, "0"))
+
+
 def opaque_ids(rows: DataFrame, key: str, seed: int, prefix: str) -> DataFrame:
     """rows with public_id, numbered in hash order so that the number tells nothing of the row.
 
-    Numbers need one order of all rows: ranges of the hash are numbered apart and shifted by the counts of ranges before.
+    Numbers need one order of all rows: ranges of the hash, as many as there are shuffle partitions, are numbered apart and shifted
+    by the counts of ranges before.
     """
-    pieces = 16
-    hashed = rows.withColumn("h", order_key(F.col(key), seed)).withColumn("piece", F.conv(F.substring("h", 1, 1), 16, 10).cast("int"))
+    pieces = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hashed = rows.withColumn("h", order_key(F.col(key), seed)).withColumn("piece", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * pieces / float(1 << 32)).cast("int"))
     counts = hashed.groupBy("piece").agg(F.count("*").alias("n"))
-    shift = counts.select("piece", F.coalesce(F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))  # 16 rows
+    shift = counts.select("piece", F.coalesce(F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))  # a row a range
     place = F.row_number().over(Window.partitionBy("piece").orderBy("h", key)) - 1 + F.col("shift")
-    assert pieces == 16  # one hexadecimal digit
-    return hashed.join(F.broadcast(shift), "piece").withColumn("public_id", F.concat(F.lit(prefix), F.lpad(place.cast("string"), 5, "0"))).drop("h", "piece", "shift")
+    return hashed.join(F.broadcast(shift), "piece").withColumn("public_id", F.concat(F.lit(prefix), padded(place))).drop("h", "piece", "shift")
+
+
+def published_id(public_id: Column, render_id: Column) -> Column:
+    """The public id where there is one."""
+    return F.coalesce(F.nullif(public_id, F.lit("")), render_id)
+
+
+def instrument_code(name: Column) -> Column:
+    """The instrument code in a stem's file name, where its range is known."""
+    code = F.lower(F.regexp_extract(name, r"(?i)^AuSep_\d+_([a-z]+)_", 1))
+    return F.when(code.isin(*INSTRUMENTS), code)
+
+
+def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key by an order; an aggregate, so a hot key is combined before it moves."""
+    packed = F.struct(*rows.columns)
+    return rows.groupBy(key).agg(F.min_by(packed, F.struct(*order)).alias("r")).select("r.*")
+
+
+def one_a_page(rows: DataFrame, page: str, order: str, key: str) -> DataFrame:
+    """From each page in turn its first row whose key no earlier page has given; pages are few and short, as one listing's are."""
+    pages = rows.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(order, key))).alias("rows"))
+    whole = pages.agg(F.array_sort(F.collect_list(F.struct(page, "rows"))).alias("pages"))
+    start = F.struct(F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>").alias("seen"), F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>").alias("taken"))
+
+    def turn(state: Column, p: Column) -> Column:
+        first = F.try_element_at(F.filter(p["rows"], lambda r: ~F.array_contains(state["seen"], r[key])), F.lit(1))
+        return F.when(first.isNotNull(), F.struct(F.concat(state["seen"], F.array(first[key])).alias("seen"), F.concat(state["taken"], F.array(first[order])).alias("taken"))).otherwise(state)
+
+    taken = whole.select(F.explode(F.aggregate("pages", start, turn, lambda s: s["taken"])).alias(order))
+    return rows.join(F.broadcast(taken), order, "left_semi")
+
+
+def by_ids(rows: DataFrame, key: str, ids: list) -> DataFrame:
+    """The rows of a fixed list of ids with their place in it; an id that no row has is an error."""
+    wanted = F.array(*map(F.lit, ids))
+    found = rows.filter(F.col(key).isin(ids)).withColumn("place", F.array_position(wanted, F.col(key)).cast("int"))
+    if (n := found.select(key).distinct().count()) < len(set(ids)):
+        raise KeyError(f"{len(set(ids)) - n} of the ids are not there")
+    return found
+
+
+def stems_by_piece(stems: DataFrame, key: str = "piece_id") -> DataFrame:
+    """(piece, stems): each piece's (code, stem) in order."""
+    return stems.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("instrument_code").alias("code"), "stem_id"))).alias("stems"))
 
 
 def question(render_id: Column, instrument: Column, azimuth: Column) -> list[Column]:
     return [F.concat(render_id, F.lit("_absolute")).alias("question_id"), F.concat(F.lit("Where is the "), instrument, F.lit(" positioned in the stereo image? Return its side and azimuth in degrees.")).alias("question"), G.side(azimuth).alias("answer_side")]
 
 
+def answerable_azimuth(azimuth: Column, processing: Column, regime: Column) -> Column:
+    """What a question asks for: the azimuth after processing; an error where that is lost. A binaural render has its own."""
+    after = G.expected_cues(azimuth, processing)["azimuth_deg"]
+    lost = F.raise_error(F.lit("no azimuth can be recovered after this processing")).cast("double")
+    return F.when(regime == "binaural", azimuth).otherwise(F.coalesce(after, lost))
+
+
 def public(rows: DataFrame) -> DataFrame:
     """What may be published of test items: no answer, no evidence."""
     return rows.select(*PUBLIC)

@@ -17,6 +17,14 @@ LAW = (
     "A genuine time-of-arrival difference instead follows the Woodworth relation, delay = 2.551e-4 * (theta + sin theta) seconds with theta in radians. Positive azimuth means left."
 )
 DRIFT_DEG = 1.0
+#: What introduces two channels, and what is asked of them.
+PREAMBLE = "Audio 1 is the left channel of a stereo recording. Audio 2 is the right channel of the same recording."
+STEREO_QUESTION = "From the two channels alone, where is the instrument positioned in the stereo image? Return its side (left, right, or centre) and, if you can, an azimuth in degrees."
+MIXTURE_QUESTION = "This mix contains several instruments panned to different positions in the stereo image. How many distinct positions can you hear, and what is the azimuth in degrees of each, ordered from left to right?"
+
+
+def position_question(instrument: Column) -> Column:
+    return F.concat(F.lit("Where is the "), instrument, F.lit(" positioned in the stereo image? Return its side and azimuth in degrees."))
 
 
 def coherence_words(coherence: Column) -> Column:
@@ -66,11 +74,21 @@ def audio_only_target(azimuth: Column, instrument: Column) -> Column:
     return F.when(side == "center", F.concat(F.lit("The "), instrument, F.lit(" is centred, at 0 degrees."))).otherwise(F.concat(F.lit("The "), instrument, F.lit(" is at "), N.fixed(F.abs(azimuth), 1), F.lit(" degrees to the "), side, F.lit(".")))
 
 
-def training_examples(df: DataFrame) -> DataFrame:
-    """Two rows an item, condition cues and audio_only, with prompt and target."""
-    cues = F.struct(F.lit("cues").alias("condition"), describe_cues("evidence", F.col("instrument")).alias("prompt"), faithful_derivation(F.col("ild_db"), F.col("azimuth"), F.col("instrument")).alias("target"))
-    audio = F.struct(F.lit("audio_only").alias("condition"), F.concat(F.lit("Where is the "), F.col("instrument"), F.lit("?")).alias("prompt"), audio_only_target(F.col("azimuth"), F.col("instrument")).alias("target"))
-    return df.select("item_id", F.inline(F.array(cues, audio)))
+def training_example(condition: str) -> tuple[Column, Column]:
+    """(prompt, target) of an item (evidence columns, f0_hz, azimuth, instrument, question) under a condition."""
+    azimuth, who = F.col("azimuth"), F.col("instrument")
+    if condition == "cues":
+        f0 = F.when(~F.isnan("f0_hz"), F.col("f0_hz"))
+        return F.concat(describe_cues("evidence", who, f0), F.lit("\n"), F.col("question")), faithful_derivation(F.col("ild_db"), azimuth, who)
+    if condition == "audio_only":
+        return F.lit(f"{PREAMBLE}\n{STEREO_QUESTION}"), audio_only_target(azimuth, who)
+    raise ValueError(f"unknown condition {condition!r}; cues and audio_only are known")
+
+
+def training_examples(df: DataFrame, conditions: tuple[str, ...] = ("cues", "audio_only")) -> DataFrame:
+    """(item_id, audio_path, condition, prompt, target): a row an item and condition."""
+    made = [F.struct(F.lit(c).alias("condition"), prompt.alias("prompt"), target.alias("target")) for c, (prompt, target) in ((c, training_example(c)) for c in conditions)]
+    return df.select("item_id", "audio_path", F.inline(F.array(*made)))
 
 
 def messages(system: Column, question: Column) -> Column:
@@ -80,3 +98,9 @@ def messages(system: Column, question: Column) -> Column:
         return F.when(F.trim(x) == "", F.raise_error(F.lit("a message is blank"))).otherwise(x)
 
     return F.to_json(F.array(F.struct(F.lit("system").alias("role"), given(system).alias("content")), F.struct(F.lit("user").alias("role"), given(question).alias("content"))))
+
+
+def stereo_prompt(question: Column | None = None, think: bool = False) -> Column:
+    """The two-channel prompt; with `think` it asks for the reasoning first."""
+    asked = F.lit(STEREO_QUESTION) if question is None else F.when(F.trim(question) == "", F.raise_error(F.lit("a message is blank"))).otherwise(question)
+    return F.concat_ws("\n", F.lit(PREAMBLE), asked, *([F.lit("Think step by step before you answer.")] if think else []))

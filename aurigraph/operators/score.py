@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import numfmt as N
 from ..functions import text as T
+from . import verify as V
+from .signals import spread
 
 TOLERANCE_DEG = 5.0
 SIDES = ("left", "right", "center")
 
 
-def score(items: DataFrame, answers: DataFrame) -> DataFrame:
-    """A row for each item: a missing answer counts as an empty one, and what is not answered is wrong."""
-    joined = items.join(answers.select("item_id", "answer"), "item_id", "left").withColumn("claim", T.final_azimuth(F.coalesce("answer", F.lit("")))).withColumn("predicted", T.signed(F.col("claim")))
-    return flagged(joined)
+def one_each(answers: DataFrame, order: str | None = None) -> DataFrame:
+    """(item_id, answer): the last answer of each item by `order`, or the greatest where nothing orders them, so that a repeated
+    answer does not repeat its item."""
+    last = F.max_by("answer", order) if order else F.max("answer")
+    return answers.groupBy("item_id").agg(last.alias("answer"))
+
+
+def score(items: DataFrame, answers: DataFrame, order: str | None = None) -> DataFrame:
+    """A row for each item: a missing answer counts as an empty one, and what is not answered is wrong.
+
+    Texts are read where the answers are, spread over the cores if their table is small, and only what they say goes to the items.
+    """
+    told = one_each(spread(answers.select("item_id", "answer", *([order] if order else []))), order)
+    read = told.withColumn("claim", T.final_azimuth(F.coalesce("answer", F.lit("")))).withColumn("predicted", T.signed(F.col("claim")))
+    return flagged(items.join(read, "item_id", "left"))
+
+
+def score_verified(items: DataFrame, evidence: DataFrame, answers: DataFrame, order: str | None = None) -> DataFrame:
+    """score() with all_passed and inference_passed of each answer against the item's evidence; null for items without evidence."""
+    measured = evidence.drop("azimuth").withColumn("measured", F.lit(True))
+    checked = V.verify(score(items, answers, order).withColumn("transcript", F.coalesce("answer", F.lit(""))).join(measured, "item_id", "left"))
+    return checked.withColumns({c: F.when(F.col("measured"), F.col(c)) for c in ("all_passed", "inference_passed")}).drop("transcript", "measured", "unparseable")
 
 
 def flagged(df: DataFrame) -> DataFrame:
@@ -53,10 +77,29 @@ def report(scored: DataFrame, *by: str) -> DataFrame:
     return scored.groupBy(*by).agg(*report_columns())
 
 
+def faithful_columns() -> list[Column]:
+    """Rates over the items that were verified; null where none was."""
+    return [F.round(rate("all_passed"), 6).alias("all_passed_rate"), F.round(rate("inference_passed"), 6).alias("inference_passed_rate")]
+
+
+def full_report(scored: DataFrame, name: str) -> DataFrame:
+    """One row: the report of score_verified(), with the rate within tolerance by true azimuth as a map of ordered entries."""
+    angles = scored.groupBy("azimuth").agg(F.round(rate("within"), 6).alias("rate"))
+    nested = angles.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("azimuth", "rate")))).alias("within_by_angle"))  # a row an angle
+    whole = scored.agg(*report_columns(), *faithful_columns()).withColumn("name", F.lit(name)).withColumn("tolerance_deg", F.lit(TOLERANCE_DEG))
+    return whole.withColumn("one", F.lit(1)).join(F.broadcast(nested.withColumn("one", F.lit(1))), "one").drop("one")
+
+
+def summary_line(row: Column | None = None) -> Column:
+    """A line of text for a full_report() row."""
+    percent = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    return F.concat_ws("  ", F.rpad("name", 24, " "), F.concat(F.lit("within 5 deg "), percent("within_rate")), F.concat(F.lit("side "), percent("side_rate")), F.concat(F.lit("MAE "), F.format_string("%.2f", "mae"), F.lit(" deg over "), percent("coverage"), F.lit(" answered")), F.concat(F.lit("inference "), F.coalesce(percent("inference_passed_rate"), F.lit("n/a"))))
+
+
 def stacked(reports: dict[str, DataFrame]) -> DataFrame:
     """One report a row, named, in one pass over the union of the scored conditions."""
     whole = None
-    for name, scored in reports.items():
+    for name, scored in reports.items():  # each is a condition of its own
         part = scored.select(F.lit(name).alias("name"), "azimuth", "predicted", "abs_error", "answered", "within", "side_correct")
         whole = part if whole is None else whole.unionByName(part)
     return report(whole, "name")
@@ -126,17 +169,66 @@ def paired(items: DataFrame, cue: DataFrame, audio: DataFrame) -> DataFrame:
     return both.withColumn("true_side", true).withColumn("cue_correct", F.coalesce(G.side(angle) == true, F.lit(False)) & angle.isNotNull()).withColumn("audio_correct", F.coalesce(said == true, F.lit(False)))
 
 
+def _cluster_sums(rows: DataFrame, cluster: str) -> DataFrame:
+    """A row for each cluster, whatever its number of items."""
+    return rows.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(F.col("cue_correct").cast("double")).alias("cue"), F.sum(F.col("audio_correct").cast("double")).alias("audio"))
+
+
+def _intervals(means: DataFrame) -> DataFrame:
+    ends = [F.round(F.percentile(c, F.lit(p)), 6).alias(f"{c}_{n}") for c in ("cue", "audio", "gap") for n, p in (("low", 0.025), ("high", 0.975))]
+    return means.withColumn("gap", F.col("cue") - F.col("audio")).agg(*ends)
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, samples: int, seed: int) -> DataFrame:
     """Percentile interval of the paired gap, clusters drawn with replacement.
 
     Rows are first summed by cluster, so replicates draw clusters (samples x clusters rows), never items; a draw is a hash of
-    seed, replicate and number, which makes reruns agree on any engine. The clusters' sums are numbered and stay small.
+    seed, replicate and number, which makes reruns agree on any engine. For clusters of a few hundred; bootstrap_many() else.
     """
-    sums = rows.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(F.col("cue_correct").cast("double")).alias("cue"), F.sum(F.col("audio_correct").cast("double")).alias("audio"))
-    numbered = sums.withColumn("k", F.row_number().over(Window.orderBy(F.col(cluster).cast("string"))) - 1)
+    numbered = _cluster_sums(rows, cluster).withColumn("k", F.row_number().over(Window.orderBy(F.col(cluster).cast("string"))) - 1)
     count = numbered.count()
     draws = rows.sparkSession.range(samples).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
     picked = draws.withColumn("k", F.floor(hash_unit(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("draw").cast("string")) * count).cast("int"))
-    means = picked.join(numbered, "k").groupBy("replicate").agg((F.sum("cue") / F.sum("n")).alias("cue"), (F.sum("audio") / F.sum("n")).alias("audio")).withColumn("gap", F.col("cue") - F.col("audio"))
-    ends = [F.round(F.percentile(c, F.lit(p)), 6).alias(f"{c}_{n}") for c in ("cue", "audio", "gap") for n, p in (("low", 0.025), ("high", 0.975))]
-    return means.agg(*ends)
+    return _intervals(picked.join(numbered, "k").groupBy("replicate").agg((F.sum("cue") / F.sum("n")).alias("cue"), (F.sum("audio") / F.sum("n")).alias("audio")))
+
+
+#: Clusters whose sums are broadcast at most.
+BROADCAST_CLUSTERS = 4_000_000
+
+
+def bootstrap_many(rows: DataFrame, cluster: str, samples: int, seed: int) -> DataFrame:
+    """cluster_bootstrap() for any number of clusters: the draws of a replicate are a generator seeded by it, in one task, from the
+    broadcast sums of the clusters. Beyond BROADCAST_CLUSTERS each cluster draws instead how often it comes into each replicate
+    (Poisson), and sums are added by replicate, which has the same limit for many clusters."""
+    sums = _cluster_sums(rows, cluster)
+    spark = rows.sparkSession
+    order = sums.select(F.xxhash64(F.col(cluster).cast("string")).alias("h"), "n", "cue", "audio")
+    if sums.count() > BROADCAST_CLUSTERS:
+        return _intervals(_poisson(order, samples, seed))
+    table = order.orderBy("h", "n", "cue", "audio").toArrow()
+    held = spark.sparkContext.broadcast(np.column_stack([table.column(c).to_numpy() for c in ("n", "cue", "audio")]).astype(float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = held.value
+        for batch in batches:
+            found = []
+            for replicate in batch.column("id").to_pylist():
+                times = np.bincount(np.random.default_rng([seed, replicate]).integers(0, len(values), len(values)), minlength=len(values)) if len(values) else np.zeros(0)
+                n, cue, audio = times @ values
+                found.append((cue / n, audio / n) if n else (None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(2)], names=["cue", "audio"])
+
+    return _intervals(spark.range(samples).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "cue double, audio double"))
+
+
+def _poisson(sums: DataFrame, samples: int, seed: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((samples, 3))
+        for batch in batches:
+            values = np.column_stack([batch.column(c).to_numpy() for c in ("n", "cue", "audio")]).astype(float)
+            for h, own in zip(batch.column("h").to_pylist(), values):
+                total += np.outer(np.random.default_rng([seed, h & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, samples), own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), *(pa.array(total[:, i]) for i in range(3))], names=["replicate", "n", "cue", "audio"])
+
+    parts = sums.mapInArrow(run, "replicate long, n double, cue double, audio double")
+    return parts.groupBy("replicate").agg(F.try_divide(F.sum("cue"), F.sum("n")).alias("cue"), F.try_divide(F.sum("audio"), F.sum("n")).alias("audio"))

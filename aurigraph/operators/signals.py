@@ -16,8 +16,24 @@ MEASURES = ("ild_db", "high_frequency_ild_db", "ild_flatness_db", "itd_us", "itd
 _MEASURED = ", ".join(f"{m} double" for m in MEASURES) + ", active_bins int, estimated_regime string, problem string"
 
 
+def _cells(column: pa.Array) -> list:
+    """The values of a column; arrays of numbers as views of the column's own buffer."""
+    if pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type) and not column.null_count:
+        values, ends = column.values, column.offsets.to_numpy()
+        if not values.null_count:
+            whole = values.to_numpy()
+            return [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    return column.to_pylist()
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_list(kind) and pa.types.is_floating(kind.value_type) and values and all(isinstance(v, np.ndarray) for v in values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32()), pa.array(np.concatenate(values).astype(float)))
+    return pa.array(values, kind)
+
+
 def per_row(df: DataFrame, columns: list[str], keep: list[str], work: Callable[..., dict], schema: str) -> DataFrame:
-    """df's `keep` columns and those of work(*columns), one row each, a batch at a time."""
+    """df's `keep` columns and those of work(*columns), one row each, a batch at a time. Arrays of doubles come as NumPy views."""
     kept = df.select(*keep).schema
     names = [part.split()[0] for part in schema.split(", ")]
     full = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [schema])
@@ -26,28 +42,72 @@ def per_row(df: DataFrame, columns: list[str], keep: list[str], work: Callable[.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [work(*values) for values in zip(*(batch.column(c).to_pylist() for c in columns))]
-            made = [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types)]
+            rows = [work(*values) for values in zip(*(_cells(batch.column(c)) for c in columns))]
+            made = [_column([r.get(n) for r in rows], t) for n, t in zip(names, types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made], names=[*keep, *names])
 
     return df.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, full)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores; a small table is one file and so one task, while a clip takes long to measure."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """df over all cores where its largest table is too small to be read by as many tasks, while a row takes long; else as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    largest = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    size = int(split.rstrip("bB")) if split.rstrip("bB").isdigit() else 128 << 20
+    return df if largest >= size * cores else df.repartition(cores)
 
 
-def measured(df: DataFrame, keep: list[str], rate: int, left: str = "left", right: str = "right") -> DataFrame:
-    """All cues of each clip. A clip that can't be measured has nulls and says why, as one bad file must not end a survey."""
+def measured(df: DataFrame, keep: list[str], rate: int, left: str = "left", right: str = "right", code: str | None = None) -> DataFrame:
+    """All cues of each clip, with its pitch where `code` names a column of instrument codes. A clip that can't be measured has
+    nulls and says why, as one bad file must not end a survey; an unknown instrument is an error."""
 
-    def work(a: list, b: list) -> dict:
+    def work(a: np.ndarray, b: np.ndarray, instrument: str | None = None) -> dict:
         try:
-            return dsp.measure(np.array(a, float), np.array(b, float), rate)
+            return dsp.measure(np.asarray(a, float), np.asarray(b, float), rate, None if instrument is None else dsp.instrument_range(instrument))
         except dsp.Unusable as problem:
             return {"problem": str(problem)}
 
-    return per_row(df, [left, right], keep, work, _MEASURED)
+    return per_row(df, [left, right, *([code] if code else [])], keep, work, _MEASURED)
+
+
+def mixed(df: DataFrame, keep: list[str], monos: str = "monos", azimuths: str = "azimuths") -> DataFrame:
+    """df's keep columns with left and right: each signal panned to its azimuth, and all added."""
+
+    def work(signals: list, angles: list) -> dict:
+        left, right = (sum(parts) for parts in zip(*(dsp.pan(np.asarray(x, float), a) for x, a in zip(signals, angles, strict=True))))
+        return {"left": left, "right": right}
+
+    return per_row(df, [monos, azimuths], keep, work, "left array<double>, right array<double>")
+
+
+def mix_pitches(df: DataFrame, keep: list[str], rate: int) -> DataFrame:
+    """Median f0 and share of voiced frames of a mix, over the range that a mix may have."""
+    return pitches(df.withColumn("mono", F.zip_with("left", "right", lambda a, b: (a + b) / 2)), keep, rate, *dsp.MIX_RANGE_HZ)
+
+
+def noises(df: DataFrame, keep: list[str], samples: int, seed: str) -> DataFrame:
+    """df's keep columns with `mono`, white noise seeded by each row's number."""
+    return per_row(df, [seed], keep, lambda n: {"mono": np.random.default_rng(int(n)).normal(size=samples) * 0.1}, "mono array<double>")
+
+
+def noisy(df: DataFrame, keep: list[str], azimuth: str, ratio: str, seed: str) -> DataFrame:
+    """df's keep columns with left and right: `mono` panned, with noise of its own spectrum on each channel, unlike the other's."""
+
+    def work(mono: np.ndarray, angle: float, share: float, n: int) -> dict:
+        rng = np.random.default_rng(int(n))
+        left, right = (x + dsp.decorrelated(x, share, rng) for x in dsp.pan(np.asarray(mono, float), angle))
+        return {"left": left, "right": right}
+
+    return per_row(df, ["mono", azimuth, ratio, seed], keep, work, "left array<double>, right array<double>")
+
+
+def pooled_difference(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """(key, pos, difference): means of two array columns over a key's rows, position by position, one less the other."""
+    rows = df.select(key, F.posexplode(F.arrays_zip(F.col(left).alias("a"), F.col(right).alias("b"))))
+    return rows.groupBy(key, "pos").agg((F.avg("col.a") - F.avg("col.b")).alias("difference"))
 
 
 def rendered(df: DataFrame, keep: list[str], rate: int, kind: str, mono: str = "mono", azimuth: str = "azimuth") -> DataFrame:
@@ -55,7 +115,7 @@ def rendered(df: DataFrame, keep: list[str], rate: int, kind: str, mono: str = "
     place = dsp.pan if kind == "amplitude" else lambda x, a: dsp.binaural(x, rate, a)
 
     def work(x: list, a: float) -> dict:
-        left, right = place(np.array(x, float), a)
+        left, right = place(np.asarray(x, float), a)
         return {"left": left, "right": right}
 
     return per_row(df, [mono, azimuth], keep, work, "left array<double>, right array<double>")
@@ -65,7 +125,7 @@ def processed(df: DataFrame, keep: list[str], rate: int, processing: str = "proc
     """df's keep columns with left and right after the chain of each row."""
 
     def work(a: list, b: list, steps: list) -> dict:
-        left, right = dsp.process(np.array(a, float), np.array(b, float), rate, [(s["kind"], dict(s["params"])) for s in steps or ()])
+        left, right = dsp.process(np.asarray(a, float), np.asarray(b, float), rate, [(s["kind"], dict(s["params"])) for s in steps or ()])
         return {"left": left, "right": right}
 
     return per_row(df, ["left", "right", processing], keep, work, "left array<double>, right array<double>")
@@ -75,7 +135,7 @@ def sources(df: DataFrame, keep: list[str], rate: int, most: int | None = None)
     """Azimuths and energy shares of the sources of a mix, strongest first."""
 
     def work(a: list, b: list) -> dict:
-        found = dsp.mixture(np.array(a, float), np.array(b, float), rate, most=most)
+        found = dsp.mixture(np.asarray(a, float), np.asarray(b, float), rate, most=most)
         return {"azimuths": [x for x, _ in found], "shares": [s for _, s in found]}
 
     return per_row(df, ["left", "right"], keep, work, "azimuths array<double>, shares array<double>")
@@ -86,7 +146,7 @@ def pitches(df: DataFrame, keep: list[str], rate: int, low: float, high: float,
 
     def work(x: list) -> dict:
         try:
-            f0, voiced = dsp.pitch_track(np.array(x, float), rate, low, high)
+            f0, voiced = dsp.pitch_track(np.asarray(x, float), rate, low, high)
         except dsp.Unusable:
             return {}
         return {"f0_hz": float(np.median(f0[voiced])) if voiced.any() else None, "voiced_share": float(voiced.mean())}
@@ -140,13 +200,24 @@ def leave_one_group_out(df: DataFrame, key: str, features: str, target: str, gro
 
 def fit_quality(predicted: DataFrame) -> DataFrame:
     """Mean absolute error, R2 and the share within 5, of leave_one_group_out()."""
-    mean = predicted.agg(F.avg("y").alias("m"))
     error = F.col("predicted") - F.col("y")
-    return predicted.crossJoin(F.broadcast(mean)).agg(F.avg(F.abs(error)).alias("mae"), (1 - F.sum(error * error) / F.sum(F.pow(F.col("y") - F.col("m"), 2))).alias("r2"), F.avg((F.abs(error) <= 5).cast("double")).alias("within_5"))
+    return predicted.agg(F.avg(F.abs(error)).alias("mae"), (1 - F.sum(error * error) / (F.var_pop("y") * F.count("*"))).alias("r2"), F.avg((F.abs(error) <= 5).cast("double")).alias("within_5"))
+
+
+def _processor(kind: str, rate: int):
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("struct<left: array<double>, right: array<double>>")
+    def step(left: pd.Series, right: pd.Series, params: pd.Series) -> pd.DataFrame:
+        done = [dsp.process(np.asarray(a, float), np.asarray(b, float), rate, [(kind, dict(p))]) for a, b, p in zip(left, right, params)]
+        return pd.DataFrame({"left": [a for a, _ in done], "right": [b for _, b in done]})
+
+    return step
 
 
 def register(spark, rate: int = 48_000) -> None:
-    """Make the cue estimators callable from SQL: cue_measure(left, right) gives a struct, cue_tracks is a table function."""
+    """Make the kernels callable from SQL: cue_measure(left, right) gives a struct, pitch_frames is a table function, and each kind of
+    processing is a function cue_<kind>(left, right, params map)."""
     from pyspark.sql.functions import pandas_udf, udtf
 
     @pandas_udf("struct<ild_db: double, itd_us: double, coherence: double, azimuth_deg: double>")
@@ -161,5 +232,7 @@ def register(spark, rate: int = 48_000) -> None:
             for i, (f, v) in enumerate(zip(f0.tolist(), voiced.tolist())):
                 yield i * dsp.HOP_S, f, v
 
+    for kind in dsp.KINDS:
+        spark.udf.register(f"cue_{kind}", _processor(kind, rate))
     spark.udf.register("cue_measure", cue_measure)
     spark.udtf.register("pitch_frames", PitchFrames)

@@ -51,3 +51,13 @@ def spread(df: DataFrame, key: str, value: str) -> DataFrame:
 def worst(df: DataFrame, key: str, error: str) -> DataFrame:
     """Largest error by key; NaN is passed over and nothing is 0."""
     return df.groupBy(key).agg(F.coalesce(F.max(F.when(~F.isnan(error), F.col(error))), F.lit(0.0)).alias("worst"))
+
+
+def first_windows(df: DataFrame, key: str, start: str, k: int) -> DataFrame:
+    """The first k windows of each key."""
+    return df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(start))).filter(F.col("k") <= k).drop("k")
+
+
+def worst_deviation(df: DataFrame, predicted: str, measured: str, limit: float = 0.02) -> DataFrame:
+    """One row: the largest absolute deviation, and whether the prediction survives it."""
+    return df.agg(F.max(F.abs(F.col(predicted) - F.col(measured))).alias("worst")).withColumn("survives", F.coalesce(F.col("worst") < limit, F.lit(False)))

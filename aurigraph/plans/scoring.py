@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import providers as O
 from ..operators import score as S
+from . import claims as V
 from .registry import query
 
-#: SQL of a text's signed final azimuth, and of what it is built on, for the counterparts.
-CLAIMS = r"""adj AS (SELECT *, regexp_extract_all(answer, '(?i)[0-9]+(?:\.[0-9]+)?\s*(?:degrees?|°)\s*(?:to the\s+)?(?:left|right)') AS am,
-  string_split_regex(answer, '(?i)[0-9]+(?:\.[0-9]+)?\s*(?:degrees?|°)\s*(?:to the\s+)?(?:left|right)') AS ap,
-  regexp_extract_all(answer, '(?i)[0-9]+(?:\.[0-9]+)?[\s-]*(?:degrees?|°)') AS bm,
-  string_split_regex(answer, '(?i)[0-9]+(?:\.[0-9]+)?[\s-]*(?:degrees?|°)') AS bp FROM texts),
-spanned AS (SELECT *, list_transform(range(1, len(am) + 1), lambda i: struct_pack(s := CAST(coalesce(list_sum(list_transform(ap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(am[1:i-1], lambda x: length(x))), 0) AS INT), m := am[i])) AS a,
-  list_transform(range(1, len(bm) + 1), lambda i: struct_pack(s := CAST(coalesce(list_sum(list_transform(bp[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(bm[1:i-1], lambda x: length(x))), 0) AS INT), m := bm[i])) AS b FROM adj),
-exploded AS (SELECT item_id, answer, a, unnest(a) AS x, true AS near FROM spanned UNION ALL SELECT item_id, answer, a, unnest(b) AS x, false AS near FROM spanned),
-sided AS (SELECT item_id, x.s AS s, x.s + length(x.m) AS e, CAST(regexp_extract(x.m, '[0-9]+(?:\.[0-9]+)?') AS DOUBLE) AS magnitude,
-  lower(CASE WHEN near THEN regexp_extract(x.m, '(?i)(left|right)$', 1) ELSE regexp_extract(substr(answer, greatest(x.s - 60, 0) + 1, x.s + length(x.m) + 60 - greatest(x.s - 60, 0)), '(?i)\b(left|right)\b', 1) END) AS side, near,
-  len(list_filter(a, lambda y: y.s < x.s + length(x.m) AND x.s < y.s + length(y.m))) AS over FROM exploded),
-claims AS (SELECT item_id, s, e, magnitude, side FROM sided WHERE near OR (over = 0 AND side <> '')),
-finals AS (SELECT t.item_id, coalesce(arg_max(CASE WHEN c.side = 'left' THEN c.magnitude ELSE 0.0 - c.magnitude END, c.s), CASE WHEN regexp_matches(any_value(t.answer), '(?i)\bcent(?:er|re|red)\b') THEN 0.0 END) AS predicted
-  FROM texts t LEFT JOIN claims c ON t.item_id = c.item_id GROUP BY t.item_id)"""
+CLAIMS = V.CLAIMS
 
 SCORED = (
     "WITH texts AS (SELECT i.item_id, coalesce(a.answer, '') AS answer FROM {items} i LEFT JOIN {answers} a ON i.item_id = a.item_id),\n"
@@ -142,7 +131,7 @@ def cluster_grouping_sets(v):
     return v.spark.sql("SELECT stem, piece, count(*) AS n, round(avg(CAST(cue_correct AS DOUBLE)) - avg(CAST(audio_correct AS DOUBLE)), 6) AS gap FROM {p} GROUP BY GROUPING SETS ((stem), (piece))", p=_paired(v))
 
 
-SAMPLES = 200
+SAMPLES = 20_000
 
 
 @query(
@@ -159,6 +148,12 @@ def cluster_bootstrap(v):
     return S.cluster_bootstrap(_paired(v), "piece", SAMPLES, 7)
 
 
+@query("cluster_bootstrap_stem")
+def cluster_bootstrap_stem(v):
+    """The same over the stems, of which there are as many as customers; a test holds it against a plain loop over the same draws."""
+    return S.bootstrap_many(_paired(v), "stem", SAMPLES, 7)
+
+
 def _baseline_sql(answer: str, source: str = "{items} i") -> str:
     """The scored report of answers that stand for a known signed angle, to one decimal as prose has it."""
     return f"""WITH base AS (SELECT i.item_id, i.azimuth, {answer} AS predicted FROM {source}),
@@ -205,3 +200,45 @@ def stacked_reports(v):
 @query("boundary_snap_rate", SCORED + "SELECT round(avg(CASE WHEN abs(predicted) = 30.0 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM scored WHERE answered")
 def boundary_snap_rate(v):
     return _scored(v).filter("answered").agg(F.round(S.rate(F.abs("predicted") == 30), 6).alias("rate"))
+
+
+#: SQL of transcripts scored and verified as answers, where an eighth of the items has no evidence.
+FAITHFUL = (
+    V.CHECKS
+    + """, flags AS (SELECT item_id, bool_and(passed) AS all_passed, bool_and(CASE WHEN kind = 'inference' THEN passed END) AS inference_passed FROM checks WHERE item_id % 8 <> 0 GROUP BY item_id),
+told AS (SELECT item_id, azimuth, CASE WHEN azimuth >= 0 THEN 1.0 ELSE -1.0 END * (CAST(abs(azimuth) AS BIGINT) + item_id % 8) + 0.0 AS predicted FROM {items}),
+scored AS (SELECT t.item_id, t.azimuth, t.predicted, abs(predicted - azimuth) AS abs_error, true AS answered, abs(predicted - azimuth) <= 5.0 AS within, sign(predicted) = sign(azimuth) AS side_correct, f.all_passed, f.inference_passed
+  FROM told t LEFT JOIN flags f ON t.item_id = f.item_id)
+"""
+)
+
+
+def _faithful(v):
+    return S.score_verified(v.items, v.evidence.filter("item_id % 8 <> 0"), v.transcripts.withColumnRenamed("transcript", "answer"))
+
+
+@query("score_verified", FAITHFUL + "SELECT item_id, predicted, within, side_correct, all_passed, inference_passed FROM scored")
+def score_verified(v):
+    return _faithful(v).select("item_id", (F.col("predicted") + 0.0).alias("predicted"), "within", "side_correct", "all_passed", "inference_passed")
+
+
+@query("full_report", FAITHFUL + f""", angles AS (SELECT azimuth, round(avg(CAST(within AS INT)), 6) AS rate FROM scored GROUP BY azimuth)
+SELECT 'model' AS name, 5.0 AS tolerance_deg, {REPORT}, round(avg(CAST(all_passed AS INT)), 6) AS all_passed_rate, round(avg(CAST(inference_passed AS INT)), 6) AS inference_passed_rate,
+  (SELECT string_agg(concat(CAST(CAST(azimuth AS INT) AS VARCHAR), '=', printf('%.4f', rate)), ';' ORDER BY azimuth) FROM angles) AS within_by_angle FROM scored""")
+def full_report(v):
+    entries = F.transform(F.map_entries("within_by_angle"), lambda e: F.concat(e["key"].cast("int").cast("string"), F.lit("="), F.format_string("%.4f", e["value"])))
+    return S.full_report(_faithful(v), "model").withColumn("within_by_angle", F.array_join(entries, ";"))
+
+
+@query("repeated_answers", SCORED.replace("LEFT JOIN {answers} a", "LEFT JOIN (SELECT item_id, max(answer) AS answer FROM (SELECT item_id, answer FROM {answers} UNION ALL SELECT item_id, 'On the left at 5 degrees left.' AS answer FROM {answers}) y GROUP BY item_id) a") + f"SELECT {REPORT} FROM scored")
+def repeated_answers(v):
+    """An item that is answered twice is still one item."""
+    return S.report(S.score(v.items, v.answers.unionByName(v.answers.withColumn("answer", F.lit("On the left at 5 degrees left.")))))
+
+
+@query("provider_reports", "WITH " + "c AS (SELECT i.item_id, i.azimuth, e.estimated_azimuth_deg AS p FROM {items} i JOIN {evidence} e ON i.item_id = e.item_id) SELECT 'front end' AS name, round(avg(CASE WHEN abs(p - azimuth) <= 5 THEN 1.0 ELSE 0.0 END), 6) AS within_rate FROM c UNION ALL SELECT 'always centre', round(avg(CASE WHEN abs(azimuth) <= 5 THEN 1.0 ELSE 0.0 END), 6) FROM c UNION ALL SELECT 'no answer', 0.0 FROM c GROUP BY 1")
+def provider_reports(v):
+    """Registered providers answer all items, one report each."""
+    rows = v.items.join(v.evidence.drop("azimuth"), "item_id")
+    reports = {name: S.score(v.items, O.provider(name)(rows)) for name in ("front end", "always centre", "no answer")}
+    return S.stacked(reports).select("name", "within_rate")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import geometry as G
 from ..functions import numfmt as N
+from ..operators import plan as P
+from ..operators import prompts as R
+from ..operators import signals as K
 from ..operators import survey as Y
 from .registry import query
 
@@ -30,24 +32,24 @@ def peak_level(v):
     return v.clips.select("clip_id", F.round(F.greatest(A.peak(F.col("left")), A.peak(F.col("right"))), 6).alias("peak"))
 
 
-@query("pan_gains", f"SELECT azimuth, round((1 + d) / 2 / sqrt((1 + d) * (1 + d) / 4 + (1 - d) * (1 - d) / 4), 6) AS gain_left, round((1 - d) / 2 / sqrt((1 + d) * (1 + d) / 4 + (1 - d) * (1 - d) / 4), 6) AS gain_right FROM (SELECT DISTINCT azimuth, {_D.format(a='azimuth')} AS d FROM {{items}}) x")
+@query("pan_gains", f"SELECT item_id, round((1 + d) / 2 / sqrt((1 + d) * (1 + d) / 4 + (1 - d) * (1 - d) / 4), 6) AS gain_left, round((1 - d) / 2 / sqrt((1 + d) * (1 + d) / 4 + (1 - d) * (1 - d) / 4), 6) AS gain_right FROM (SELECT item_id, {_D.format(a='estimated_azimuth_deg')} AS d FROM {{evidence}}) x")
 def pan_gains(v):
-    left, right = G.pan_gains(F.col("azimuth"))
-    return v.items.select("azimuth").distinct().select("azimuth", F.round(left, 6).alias("gain_left"), F.round(right, 6).alias("gain_right"))
+    left, right = G.pan_gains(F.col("estimated_azimuth_deg"))
+    return v.evidence.select("item_id", F.round(left, 6).alias("gain_left"), F.round(right, 6).alias("gain_right"))
 
 
-@query("ild_azimuth_roundtrip", f"SELECT azimuth, round(20 * log10((1 + d) / (1 - d)), 6) + 0.0 AS ild_db, azimuth AS recovered FROM (SELECT DISTINCT azimuth, {_D.format(a='azimuth')} AS d FROM {{items}}) x")
+@query("ild_azimuth_roundtrip", f"SELECT item_id, round(20 * log10((1 + d) / (1 - d)), 6) + 0.0 AS ild_db, round(azimuth, 6) + 0.0 AS recovered FROM (SELECT item_id, estimated_azimuth_deg AS azimuth, {_D.format(a='estimated_azimuth_deg')} AS d FROM {{evidence}}) x")
 def ild_azimuth_roundtrip(v):
-    ild = G.ild_of_azimuth(F.col("azimuth"))
-    return v.items.select("azimuth").distinct().withColumn("i", ild).select("azimuth", (F.round("i", 6) + 0.0).alias("ild_db"), (F.round(G.azimuth_of_ild(F.col("i")), 6) + 0.0).alias("recovered"))
+    ild = G.ild_of_azimuth(F.col("estimated_azimuth_deg"))
+    return v.evidence.withColumn("i", ild).select("item_id", (F.round("i", 6) + 0.0).alias("ild_db"), (F.round(G.azimuth_of_ild(F.col("i")), 6) + 0.0).alias("recovered"))
 
 
 _W = "(0.0875 / 343.0 * 1e6 * (radians({a}) + sin(radians({a}))))"
 
 
-@query("woodworth", f"SELECT azimuth, round({_W.format(a='azimuth')}, 6) + 0.0 AS itd_us FROM (SELECT DISTINCT azimuth FROM {{items}}) x")
+@query("woodworth", f"SELECT item_id, round({_W.format(a='3 * estimated_azimuth_deg')}, 6) + 0.0 AS itd_us FROM {{evidence}}")
 def woodworth(v):
-    return v.items.select("azimuth").distinct().select("azimuth", (F.round(G.woodworth_us(F.col("azimuth")), 6) + 0.0).alias("itd_us"))
+    return v.evidence.select("item_id", (F.round(G.woodworth_us(3 * F.col("estimated_azimuth_deg")), 6) + 0.0).alias("itd_us"))
 
 
 @query("inverse_woodworth", "SELECT o_orderkey AS id, CAST(o_orderkey % 181 - 90 AS DOUBLE) AS recovered FROM orders")
@@ -67,10 +69,10 @@ def midside_width(v):
     return v.clips.select("clip_id", F.round(A.total(F.transform(left, F.abs)), 6).alias("left_sum"), F.round(A.total(F.transform(right, F.abs)), 6).alias("right_sum"))
 
 
-@query("width_azimuth", f"SELECT azimuth, round(degrees(atan(1.2 * tan(radians(azimuth)))), 6) + 0.0 AS widened, CASE WHEN abs(3.0 * {_D.format(a='azimuth')}) <= 1 THEN round(degrees(atan(3.0 * tan(radians(azimuth)))), 6) + 0.0 END AS far FROM (SELECT DISTINCT azimuth FROM {{items}}) x")
+@query("width_azimuth", f"SELECT item_id, CASE WHEN abs(1.2 * d) <= 1 THEN round(degrees(atan(1.2 * tan(radians(a)))), 6) + 0.0 END AS widened, CASE WHEN abs(3.0 * d) <= 1 THEN round(degrees(atan(3.0 * tan(radians(a)))), 6) + 0.0 END AS far FROM (SELECT item_id, estimated_azimuth_deg AS a, {_D.format(a='estimated_azimuth_deg')} AS d FROM {{evidence}}) x")
 def width_azimuth(v):
-    a = F.col("azimuth")
-    return v.items.select("azimuth").distinct().select("azimuth", (F.round(G.azimuth_after_width(a, F.lit(1.2)), 6) + 0.0).alias("widened"), (F.round(G.azimuth_after_width(a, F.lit(3.0)), 6) + 0.0).alias("far"))
+    a = F.col("estimated_azimuth_deg")
+    return v.evidence.select("item_id", (F.round(G.azimuth_after_width(a, F.lit(1.2)), 6) + 0.0).alias("widened"), (F.round(G.azimuth_after_width(a, F.lit(3.0)), 6) + 0.0).alias("far"))
 
 
 @query("delay_widen", "SELECT clip_id, CAST(32 + clip_id % 5 AS INT) AS length, round(sum((pos + clip_id % 5) * r), 6) AS moment FROM {samples} GROUP BY clip_id")
@@ -80,10 +82,12 @@ def delay_widen(v):
     return v.clips.select("clip_id", F.size(left).alias("length"), F.round(moment, 6).alias("moment"))
 
 
-@query("fractional_delay", "WITH s AS (SELECT clip_id, pos, l, coalesce(lag(l) OVER (PARTITION BY clip_id ORDER BY pos), 0.0) AS before FROM {samples}) SELECT clip_id, round(sum((0.75 * l + 0.25 * before) * (pos + 2)), 6) AS moment FROM s GROUP BY clip_id")
+@query("fractional_delay", "WITH s AS (SELECT clip_id, pos, l, r, coalesce(lag(l) OVER (PARTITION BY clip_id ORDER BY pos), 0.0) AS lb, coalesce(lag(r) OVER (PARTITION BY clip_id ORDER BY pos), 0.0) AS rb FROM {samples}) SELECT clip_id, round(sum((0.75 * l + 0.25 * lb) * (pos + 2)), 6) AS left_moment, round(sum((0.4 * r + 0.6 * rb) * (pos + 3)), 6) AS right_moment FROM s GROUP BY clip_id")
 def fractional_delay(v):
-    moment = F.aggregate(F.transform(A.fractional_delay(F.col("left"), F.lit(2.25)), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return v.clips.select("clip_id", F.round(moment, 6).alias("moment"))
+    def moment(x, delay):
+        return F.aggregate(F.transform(A.fractional_delay(F.col(x), F.lit(delay)), lambda y, i: y * (i + 1)), F.lit(0.0), lambda a, y: a + y)
+
+    return v.clips.select("clip_id", F.round(moment("left", 2.25), 6).alias("left_moment"), F.round(moment("right", 3.6), 6).alias("right_moment"))
 
 
 @query("downmix", "SELECT clip_id, round(sum(((l + r) / 2) * ((l + r) / 2)), 6) AS power FROM {samples} GROUP BY clip_id")
@@ -91,10 +95,11 @@ def downmix(v):
     return v.clips.select("clip_id", F.round(A.power(A.downmix(F.col("left"), F.col("right"))), 6).alias("power"))
 
 
-@query("mix_stems", "SELECT label, pos, round(sum(l), 6) AS mixed FROM {samples} GROUP BY label, pos")
+@query("mix_stems", "SELECT label, pos, round(sum(l), 6) AS mixed_left, round(sum(r), 6) AS mixed_right FROM {samples} GROUP BY label, pos")
 def mix_stems(v):
     """By position, so that a mix of any number of stems never gathers in one row."""
-    return v.clips.select("label", F.posexplode("left")).groupBy("label", (F.col("pos") + 1).alias("pos")).agg(F.round(F.sum("col"), 6).alias("mixed"))
+    rows = v.clips.select("label", F.posexplode(F.arrays_zip("left", "right")))
+    return rows.groupBy("label", (F.col("pos") + 1).alias("pos")).agg(F.round(F.sum("col.left"), 6).alias("mixed_left"), F.round(F.sum("col.right"), 6).alias("mixed_right"))
 
 
 @query("mix_pairs", "SELECT clip_id, round(sum((l + r) * pos), 6) AS moment FROM {samples} GROUP BY clip_id")
@@ -198,12 +203,20 @@ def corr_side_coherence(v):
     return v.evidence.agg(F.round(F.corr(F.abs("ild_db"), F.col("coherence")), 6).alias("r"))
 
 
-@query("describe_cues", """SELECT item_id, concat('Inter-channel level difference: ', printf('%.1f', ild_db), ' dB, ', CASE WHEN ild_db > 0 THEN 'left' ELSE 'right' END, ' louder. Above 2 kHz: ', printf('%.1f', high_frequency_ild_db), ' dB (flatness across octave bands ', printf('%.1f', ild_flatness_db), ' dB). Inter-channel delay: ', printf('%.0f', itd_us), ' microseconds',
-  CASE WHEN itd_us >= 1 THEN ', right channel later.' ELSE '.' END, ' Coherence: ', printf('%.2f', coherence), ' (', CASE WHEN coherence >= 0.9 THEN 'a single compact source' WHEN coherence >= 0.4 THEN 'a partly spread image' ELSE 'a widely spread or reverberant image' END, ').') AS text FROM {evidence} WHERE azimuth <> 0""")
-def describe_cues(v):
-    from ..operators import prompts as R
+_SHAPE = "CASE WHEN coherence >= 0.9 THEN 'a single compact source' WHEN coherence >= 0.4 THEN 'a partly spread image' ELSE 'a widely spread or reverberant image' END"
+_FIGURES = f"""concat('Instrument: ', i.instrument, '. Inter-channel level difference: ', printf('%.1f', ild_db), ' dB, ', CASE WHEN ild_db > 0 THEN 'left' ELSE 'right' END, ' louder. Above 2 kHz: ', printf('%.1f', high_frequency_ild_db), ' dB (flatness across octave bands ', printf('%.1f', ild_flatness_db), ' dB). Inter-channel delay: ', printf('%.0f', itd_us), ' microseconds',
+  CASE WHEN itd_us >= 1 THEN ', right channel later.' ELSE '.' END, ' Coherence: ', printf('%.2f', coherence), ' (', {_SHAPE}, ').')"""
+_TONE = "CASE WHEN f0_hz > 0 THEN concat(' Median tracked fundamental frequency: ', printf('%.1f', f0_hz), ' Hz.') ELSE '' END"
 
-    return v.evidence.filter("azimuth <> 0").select("item_id", R.describe_cues("plain").alias("text"))
+
+@query("describe_cues", f"""SELECT e.item_id, concat('Instrument: ', i.instrument, '. The ', CASE WHEN ild_db > 0 THEN 'left' ELSE 'right' END, ' channel is louder. ', CASE WHEN itd_us >= 1 THEN 'The right channel arrives later.' ELSE 'Neither channel arrives earlier than the other.' END, ' The stereo image is ', {_SHAPE}, '.') AS no_numbers,
+  concat({_FIGURES}, {_TONE}, ' {R.LAW}') AS evidence,
+  concat({_FIGURES}, ' Measured regime: ', estimated_regime, '. Azimuth implied by those numbers: ', printf('%.1f', abs(estimated_azimuth_deg)), ' degrees ', CASE WHEN estimated_azimuth_deg > 0 THEN 'left' ELSE 'right' END, ' (positive is left).', {_TONE}) AS conclusions
+  FROM {{evidence}} e JOIN {{items}} i ON e.item_id = i.item_id""")
+def describe_cues(v):
+    rows = v.evidence.join(v.items.select("item_id", "instrument"), "item_id")
+    who, f0 = F.col("instrument"), F.col("f0_hz")
+    return rows.select("item_id", R.describe_cues("no_numbers", who).alias("no_numbers"), *[R.describe_cues(level, who, f0).alias(level) for level in ("evidence", "conclusions")])
 
 
 @query("number_labels", "SELECT DISTINCT azimuth, concat(CASE WHEN azimuth < 0 THEN 'neg' ELSE 'p' END, CAST(CAST(abs(azimuth) AS INT) AS VARCHAR)) AS label FROM {items}")
@@ -211,7 +224,42 @@ def number_labels(v):
     return v.items.select("azimuth", N.angle_label(F.col("azimuth")).alias("label")).distinct()
 
 
-@query("cumulative_phase", "SELECT clip_id, pos, round(sum(abs(l)) OVER (PARTITION BY clip_id ORDER BY pos), 6) AS phase FROM {samples} WHERE pos <= 8")
+@query("cumulative_phase", "SELECT clip_id, pos, round(sum(abs(l)) OVER (PARTITION BY clip_id ORDER BY pos), 6) AS phase FROM {samples}")
 def cumulative_phase(v):
-    rows = v.clips.select("clip_id", F.posexplode(F.slice("left", 1, 8))).select("clip_id", (F.col("pos") + 1).alias("pos"), F.abs("col").alias("x"))
-    return rows.select("clip_id", "pos", F.round(F.sum("x").over(Window.partitionBy("clip_id").orderBy("pos")), 6).alias("phase"))
+    """In each row's own array: a running sum needs no window."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+    sums = F.aggregate("left", start, lambda s, x: F.struct((s["sum"] + F.abs(x)).alias("sum"), F.concat(s["out"], F.array(s["sum"] + F.abs(x))).alias("out")), lambda s: s["out"])
+    return v.clips.select("clip_id", F.posexplode(sums)).select("clip_id", (F.col("pos") + 1).alias("pos"), F.round("col", 6).alias("phase"))
+
+
+@query("excerpt_loudness", "SELECT s.clip_id, round(20 * log10(sqrt(avg(l * l))), 6) AS rms_db FROM {samples} s WHERE pos > clip_id % 20 AND pos <= clip_id % 20 + 8 GROUP BY s.clip_id")
+def excerpt_loudness(v):
+    return v.clips.select("clip_id", F.round(A.excerpt_rms_db(F.col("left"), (F.col("clip_id") % 20).cast("int"), 8), 6).alias("rms_db"))
+
+
+_TRIED = """WITH tries AS (SELECT clip_id, k, (clip_id * 7 + k * 5) % 25 AS start FROM (SELECT vec_id AS clip_id FROM {embeddings}) c, (SELECT unnest(range(0, 4)) AS k) q),
+levels AS (SELECT t.clip_id, t.k, t.start, 20 * log10(sqrt(avg(l * l))) AS rms_db FROM tries t JOIN {samples} s ON s.clip_id = t.clip_id AND s.pos > t.start AND s.pos <= t.start + 8 GROUP BY t.clip_id, t.k, t.start)
+"""
+
+
+@query("loud_excerpts", _TRIED + "SELECT clip_id, coalesce(min(CASE WHEN rms_db >= -18.5 THEN k END), 3) AS attempt FROM levels GROUP BY clip_id")
+def loud_excerpts(v):
+    """The first of four drawn excerpts that is loud enough, else the last, by their own levels."""
+    loud = lambda k: A.excerpt_rms_db(F.col("left"), ((F.col("clip_id") * 7 + k * 5) % 25).cast("int"), 8) >= -18.5
+    return P.first_loud(v.clips, 4, loud).select("clip_id", "attempt")
+
+
+@query("pooled_difference", "SELECT label, pos, round(avg(l) - avg(r), 6) AS difference FROM {samples} GROUP BY label, pos")
+def pooled_difference(v):
+    return K.pooled_difference(v.clips, "label", "left", "right").select("label", (F.col("pos") + 1).alias("pos"), F.round("difference", 6).alias("difference"))
+
+
+@query("worst_deviation", "WITH d AS (SELECT abs(ild_db / 40 - (ild_db / 40 + (item_id % 5) * 0.004)) AS d FROM {evidence}) SELECT round(max(d), 6) AS worst, max(d) < 0.02 AS survives FROM d")
+def worst_deviation(v):
+    rows = v.evidence.select(G.log_mel_offset(F.col("ild_db")).alias("predicted"), (F.col("ild_db") / 40 + (F.col("item_id") % 5) * 0.004).alias("measured"))
+    return Y.worst_deviation(rows, "predicted", "measured").select(F.round("worst", 6).alias("worst"), "survives")
+
+
+@query("first_windows", "SELECT track_id, w FROM (SELECT track_id, w, row_number() OVER (PARTITION BY track_id ORDER BY w) AS k FROM {windows}) x WHERE k <= 2")
+def first_windows(v):
+    return Y.first_windows(v.windows, "track_id", "w", 2).select("track_id", "w")

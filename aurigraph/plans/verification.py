@@ -6,40 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import verify as V
+from .claims import CHECKS, CLAIMED, CLAIMS
 from .registry import query
-from .scoring import CLAIMS
-
-
-def _first_span(pattern: str, of: str = "transcript") -> str:
-    """SQL of the 0-based start of a pattern's first match."""
-    return f"length(string_split_regex({of}, '{pattern}')[1])"
-
-
-_N = r"[0-9]+(?:\.[0-9]+)?"
-#: SQL of each claim of a transcript; a window reaches 60 characters to both sides of the whole match.
-_WIN = "substr(transcript, greatest({s} - 60, 0) + 1, {s} + length({m}) + 60 - greatest({s} - 60, 0))"
-
-
-def _claim(name: str, pattern: str) -> str:
-    return f"regexp_extract(transcript, '{pattern}') AS {name}_m, {_first_span(pattern)} AS {name}_s"
-
-
-CLAIMED = f"""WITH raw AS (SELECT t.item_id, t.transcript, e.estimated_azimuth_deg, e.ild_db, e.itd_us, e.coherence, e.f0_hz, e.estimated_regime,
-  {_claim("ild", rf"(?i){_N}\s*dB\b")}, {_claim("us", rf"(?i){_N}\s*microseconds?\b")}, {_claim("nodelay", r"(?i)\bno\s+(?:inter-?channel\s+)?delay\b")},
-  regexp_extract(transcript, '(?i)coherence\\D{{0,20}}?({_N})', 1) AS coh, regexp_extract(transcript, '({_N})\\s*Hz\\b', 1) AS hz,
-  regexp_extract(transcript, '(?i)r\\s*=\\s*10\\^\\(\\s*(-?{_N})\\s*/\\s*20\\s*\\)\\s*=\\s*({_N})', 1) AS px, regexp_extract(transcript, '(?i)r\\s*=\\s*10\\^\\(\\s*(-?{_N})\\s*/\\s*20\\s*\\)\\s*=\\s*({_N})', 2) AS py,
-  regexp_extract(transcript, '({_N}) degrees to the (left|right)\\.$', 1) AS deg, regexp_extract(transcript, '({_N}) degrees to the (left|right)\\.$', 2) AS side
-  FROM {{transcripts}} t JOIN {{evidence}} e ON t.item_id = e.item_id),
-sided AS (SELECT *, lower(regexp_extract({_WIN.format(s="ild_s", m="ild_m")}, '(?i)\\b(left|right)\\b', 1)) AS ild_side, {_WIN.format(s="ild_s", m="ild_m")} LIKE '%louder%' AS ild_loud,
-  lower(regexp_extract({_WIN.format(s="us_s", m="us_m")}, '(?i)\\b(left|right)\\b\\s+channel\\s+later', 1)) AS later FROM raw),
-claims AS (SELECT item_id, transcript, estimated_azimuth_deg, ild_db AS measured_ild, itd_us AS measured_itd, coherence AS measured_coherence, f0_hz AS measured_f0, estimated_regime,
-  CAST(deg AS DOUBLE) AS magnitude, side,
-  CASE WHEN ild_m <> '' AND ild_side <> '' AND ild_loud THEN CAST(regexp_extract(ild_m, '{_N}') AS DOUBLE) * CASE WHEN ild_side = 'left' THEN 1 ELSE -1 END END AS ild,
-  CASE WHEN nodelay_m <> '' THEN 0.0 WHEN us_m <> '' THEN CAST(regexp_extract(us_m, '{_N}') AS DOUBLE) * CASE WHEN later = 'left' THEN -1 ELSE 1 END END AS itd,
-  CASE WHEN coh <> '' THEN CAST(coh AS DOUBLE) WHEN regexp_matches(transcript, '(?i)\\b(no coherence|not coherent|decorrelated|uncorrelated)\\b') THEN 0.0 WHEN regexp_matches(transcript, '(?i)\\b(highly|perfectly|fully) coherent\\b') THEN 1.0 END AS coherence,
-  CASE WHEN regexp_matches(transcript, '(?i)\\bbinaural\\b|genuinely delayed|time-delay|time delay|delayed regime') THEN 'delayed' WHEN regexp_matches(transcript, '(?i)amplitude[-\\s]panned|amplitude panning|amplitude regime') THEN 'amplitude' END AS regime,
-  CASE WHEN hz <> '' THEN CAST(hz AS DOUBLE) END AS f0, CASE WHEN px <> '' THEN CAST(px AS DOUBLE) END AS px, CASE WHEN px <> '' THEN CAST(py AS DOUBLE) END AS py FROM sided)
-"""
 
 
 def _claims(v):
@@ -64,18 +32,6 @@ def extract_premise(v):
     return _claims(v).filter("claim_premise IS NOT NULL").select("item_id", F.col("claim_premise.x").alias("x"), F.col("claim_premise.y").alias("y"))
 
 
-CHECKS = CLAIMED + """, checks AS (
-  SELECT item_id, 'estimated_azimuth_deg_side' AS quantity, estimated_azimuth_deg = 0 OR side = CASE WHEN estimated_azimuth_deg > 0 THEN 'left' ELSE 'right' END AS passed, 'inference' AS kind FROM claims
-  UNION ALL SELECT item_id, 'estimated_azimuth_deg_magnitude', abs(magnitude - abs(estimated_azimuth_deg)) <= 5.0, 'inference' FROM claims
-  UNION ALL SELECT item_id, 'ild_db', abs(ild - measured_ild) <= 1.5, 'read_out' FROM claims WHERE ild IS NOT NULL
-  UNION ALL SELECT item_id, 'itd_us', abs(itd - measured_itd) <= 30.0, 'read_out' FROM claims WHERE itd IS NOT NULL
-  UNION ALL SELECT item_id, 'coherence', abs(coherence - measured_coherence) <= 0.1, 'read_out' FROM claims WHERE coherence IS NOT NULL
-  UNION ALL SELECT item_id, 'estimated_regime', regime = estimated_regime, 'inference' FROM claims WHERE regime IS NOT NULL
-  UNION ALL SELECT item_id, 'f0_hz', abs(f0 - measured_f0) <= 0.03 * measured_f0, 'read_out' FROM claims WHERE f0 IS NOT NULL AND measured_f0 IS NOT NULL
-  UNION ALL SELECT item_id, 'premise_r_matches_its_own_stated_cue', py > 0 AND abs(20 * log10(CASE WHEN py > 0 THEN py ELSE 1 END) - px) <= 0.5, 'inference' FROM claims WHERE px IS NOT NULL)
-"""
-
-
 def _verified(v):
     return V.verify(v.transcripts.join(v.evidence.drop("azimuth"), "item_id"))
 
@@ -95,9 +51,9 @@ def verify_rates(v):
     return V.listed(_verified(v).select("checks")).groupBy("quantity", "kind").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"))
 
 
-@query("unparseable_sentences")
+@query("unparseable_sentences", "SELECT item_id, 'About 440 hz.' AS sentence FROM {items} WHERE item_id % 2 = 1 UNION ALL SELECT item_id, concat('The tone is near ', CAST(220 + item_id % 90 AS VARCHAR), ' Hz.') FROM {items} WHERE item_id % 4 = 0")
 def unparseable_sentences(v):
-    """Sentences with figures that no check read; the counterpart of the splitter is a test, not SQL."""
+    """Sentences with figures that no check read: pitches in a wrong case or of items without one."""
     return _verified(v).select("item_id", F.explode_outer("unparseable").alias("sentence")).filter("sentence IS NOT NULL")
 
 

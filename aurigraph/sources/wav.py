@@ -36,13 +36,26 @@ def stems(spark: SparkSession, root: str, pattern: str = "AuSep_*.wav") -> DataF
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("sha256"), *columns], names=["path", "sha256", "rate", "channels", "frames"])
 
-    return hashed.mapInArrow(run, "path string, sha256 string, rate int, channels int, frames long").withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+    found = hashed.mapInArrow(run, "path string, sha256 string, rate int, channels int, frames long").withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+    return found.withColumn("channels", F.when(F.col("channels") != 1, F.raise_error(F.concat("path", F.lit(" is not mono"))).cast("int")).otherwise(F.col("channels")))
+
+
+def inventory(spark: SparkSession, root: str, pattern: str = "AuSep_*.wav") -> DataFrame:
+    """stems() in order of their paths; an error if there are none."""
+    found = stems(spark, root, pattern).orderBy("path")
+    if found.isEmpty():
+        raise FileNotFoundError(f"no file below {root} is like {pattern}")
+    return found
 
 
 def decode(content: bytes) -> tuple[np.ndarray, int]:
     """(samples x channels in -1..1, rate) of 8, 16, 24 or 32 bit PCM."""
     with wave.open(io.BytesIO(content)) as w:
         width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+    return _pcm(raw, width).reshape(-1, channels), rate
+
+
+def _pcm(raw: bytes, width: int) -> np.ndarray:
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
     elif width == 3:
@@ -50,7 +63,7 @@ def decode(content: bytes) -> tuple[np.ndarray, int]:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels), rate
+    return x
 
 
 def encode(channels: list[np.ndarray], rate: int, bits: int = 16) -> bytes:
@@ -67,21 +80,48 @@ def encode(channels: list[np.ndarray], rate: int, bits: int = 16) -> bytes:
     return out.getvalue()
 
 
-def excerpts(spark: SparkSession, root: str, start_s: float, duration_s: float, rate: int, pattern: str = "*.wav") -> DataFrame:
-    """(path, mono): the excerpt of each file, mixed down, resampled and padded to its exact length."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
+def read_at(content: bytes, start_s: float, duration_s: float, rate: int) -> np.ndarray:
+    """An excerpt of a file, mixed down, resampled and padded to its exact length; only its frames are decoded."""
+    with wave.open(io.BytesIO(content)) as w:
+        own, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
+        w.setpos(min(round(start_s * own), w.getnframes()))
+        raw = w.readframes(round(duration_s * own))
     n = round(duration_s * rate)
+    part = dsp.resample(_pcm(raw, width).reshape(-1, channels).mean(1), own, rate)[:n]
+    return np.concatenate([part, np.zeros(n - len(part))])
+
+
+def excerpts(spark: SparkSession, plans: DataFrame, root: str, rate: int, keep: list[str], pattern: str = "*.wav") -> DataFrame:
+    """keep columns of plans (stem, start_s, duration_s, ...) with mono, each plan's own excerpt of its stem's file; a stem without a
+    file is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "content")
+    met = plans.join(files, "stem", "left").withColumn("content", F.coalesce("content", F.raise_error(F.concat(F.lit("no file of stem "), F.col("stem"))).cast("binary")))
+    kept = plans.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for content in batch.column("content").to_pylist():
+            found = [read_at(c, s, d, rate) for c, s, d in zip(*(batch.column(x).to_pylist() for x in ("content", "start_s", "duration_s")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(found, pa.list_(pa.float64()))], names=[*keep, "mono"])
+
+    return met.select(*dict.fromkeys([*keep, "content", "start_s", "duration_s"])).mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["mono array<double>"]))
+
+
+def stereo(spark: SparkSession, root: str, rate: int = 48_000, pattern: str = "*.wav") -> DataFrame:
+    """(path, left, right) of stereo files at one rate; another number of channels is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides: list[list[np.ndarray]] = [[], []]
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 x, own = decode(content)
-                part = dsp.resample(x[round(start_s * own) : round((start_s + duration_s) * own)].mean(1), own, rate)[:n]
-                found.append(np.concatenate([part, np.zeros(n - len(part))]))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.list_(pa.float64()))], names=["path", "mono"])
+                if x.shape[1] != 2:
+                    raise ValueError(f"{path} has {x.shape[1]} channels, not two")
+                for side, column in zip(sides, x.T):
+                    side.append(dsp.resample(column, own, rate))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array(s, pa.list_(pa.float64())) for s in sides)], names=["path", "left", "right"])
 
-    return files.mapInArrow(run, "path string, mono array<double>")
+    return files.mapInArrow(run, "path string, left array<double>, right array<double>")
 
 
 def as_wav(df: DataFrame, keep: list[str], rate: int, bits: int = 16) -> DataFrame:
@@ -94,3 +134,16 @@ def as_wav(df: DataFrame, keep: list[str], rate: int, bits: int = 16) -> DataFra
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(blobs, pa.binary())], names=[*keep, "wav"])
 
     return df.select(*keep, "left", "right").mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["wav binary"]))
+
+
+def from_wav(df: DataFrame, keep: list[str]) -> DataFrame:
+    """df's keep columns with left and right of `wav`, its bytes; mono gives two equal channels."""
+    kept = df.select(*keep).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [decode(content)[0] for content in batch.column("wav").to_pylist()]
+            left, right = ([x[:, 0] for x in found], [x[:, -1] for x in found])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(left, pa.list_(pa.float64())), pa.array(right, pa.list_(pa.float64()))], names=[*keep, "left", "right"])
+
+    return df.select(*keep, "wav").mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["left array<double>", "right array<double>"]))

@@ -53,15 +53,17 @@ VIEWS: dict[str, str] = {
         FROM (SELECT p_partkey, p_size, CASE p_partkey % 5 WHEN 0 THEN 'vn' WHEN 1 THEN 'vc' WHEN 2 THEN 'fl' WHEN 3 THEN 'cl' ELSE 'tpt' END AS code FROM {part}) x""",
     "samples": """SELECT vec_id AS clip_id, label, pos, CAST(embedding[pos{base}] AS DOUBLE) AS l, CAST(embedding[pos + 32{base}] AS DOUBLE) AS r
         FROM (SELECT vec_id, label, embedding, {positions} AS pos FROM {embeddings}) x""",
-    "mix_items": """SELECT o_custkey AS item_id, o_orderkey AS source, CAST(((o_orderkey * 13 + o_custkey) % 11) * 5 - 25 AS DOUBLE) AS azimuth, n
-        FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}) x WHERE n <= 4""",
+    "mix_items": """SELECT o_custkey * 1000 + (k - 1 - (k - 1) % 5) {div} 5 AS item_id, o_orderkey AS source, CAST(((o_orderkey * 13 + o_custkey) % 11) * 5 - 25 AS DOUBLE) AS azimuth, (k - 1) % 5 + 1 AS n
+        FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM {orders}) x""",
+    "ensembles": """SELECT p_partkey AS stem_id, (p_partkey - p_partkey % 7) {div} 7 * 10 + CASE WHEN (p_partkey - p_partkey % 7) {div} 7 % 11 = 0 THEN 0 WHEN p_partkey % 7 < 1 THEN 1 WHEN p_partkey % 7 < 3 THEN 2 ELSE 3 END AS piece_id,
+        CASE p_partkey % 5 WHEN 0 THEN 'vn' WHEN 1 THEN 'vc' WHEN 2 THEN 'fl' WHEN 3 THEN 'cl' ELSE 'tpt' END AS instrument_code, 48000 * (5 + p_partkey % 9 + p_size % 3) AS frames, 48000 AS sample_rate FROM {part}""",
     "frames": """SELECT event_id, user_id, CAST({seconds} AS BIGINT) AS t, CAST(200 + event_id % 300 AS DOUBLE) AS f0 FROM {events} WHERE event_type = 'click'""",
-    "reference": """SELECT event_id, user_id, CAST({seconds} AS BIGINT) AS t, CAST(210 + event_id % 300 AS DOUBLE) AS f0 FROM {events} WHERE event_type = 'view'""",
+    "reference": """SELECT event_id, user_id, CAST({seconds} AS BIGINT) AS t, CASE WHEN event_id % 6 = 0 THEN 0.0 ELSE CAST(210 + event_id % 300 AS DOUBLE) END AS f0 FROM {events} WHERE event_type = 'view'""",
     "windows": """SELECT user_id AS track_id, CAST(floor(CAST({seconds} AS DOUBLE) / 86400.0) AS BIGINT) AS w, avg(value * value) AS power, min(event_id) AS first_event, count(*) AS n
         FROM {events} WHERE value IS NOT NULL GROUP BY 1, 2""",
 }
-_SPARK = {"base": " - 1", "positions": "explode(sequence(1, 32))", "seconds": "unix_seconds(CAST(ts AS TIMESTAMP))"}
-_DUCK = {"base": "", "positions": "unnest(range(1, 33))", "seconds": "floor(epoch(ts))"}
+_SPARK = {"base": " - 1", "positions": "explode(sequence(1, 32))", "seconds": "unix_seconds(CAST(ts AS TIMESTAMP))", "div": "DIV"}
+_DUCK = {"base": "", "positions": "unnest(range(1, 33))", "seconds": "floor(epoch(ts))", "div": "//"}
 
 
 def _needs(text: str) -> list[str]:
@@ -106,7 +108,7 @@ class Views:
             text = VIEWS[name]
             for key, value in _SPARK.items():
                 text = text.replace(f"{{{key}}}", value)
-            found = self.spark.sql(text, **{n: getattr(self, n) for n in _needs(text)})
+            found = self.spark.sql(text, **{n: getattr(self, n) for n in _needs(text) if n not in _SPARK})
         else:
             raise AttributeError(name)
         setattr(self, name, found)
