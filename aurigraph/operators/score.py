@@ -90,10 +90,10 @@ def full_report(scored: DataFrame, name: str) -> DataFrame:
     return whole.withColumn("one", F.lit(1)).join(F.broadcast(nested.withColumn("one", F.lit(1))), "one").drop("one")
 
 
-def summary_line(row: Column | None = None) -> Column:
+def summary_line() -> Column:
     """A line of text for a full_report() row."""
-    percent = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
-    return F.concat_ws("  ", F.rpad("name", 24, " "), F.concat(F.lit("within 5 deg "), percent("within_rate")), F.concat(F.lit("side "), percent("side_rate")), F.concat(F.lit("MAE "), F.format_string("%.2f", "mae"), F.lit(" deg over "), percent("coverage"), F.lit(" answered")), F.concat(F.lit("inference "), F.coalesce(percent("inference_passed_rate"), F.lit("n/a"))))
+    percent = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.1f%%", F.col(c) * 100))
+    return F.concat_ws("  ", F.rpad("name", 24, " "), F.concat(F.lit("within 5 deg "), percent("within_rate")), F.concat(F.lit("side "), percent("side_rate")), F.concat(F.lit("MAE "), F.coalesce(F.when(F.col("mae").isNotNull(), F.format_string("%.2f", "mae")), F.lit("n/a")), F.lit(" deg over "), percent("coverage"), F.lit(" answered")), F.concat(F.lit("inference "), F.coalesce(percent("inference_passed_rate"), F.lit("n/a"))))
 
 
 def stacked(reports: dict[str, DataFrame]) -> DataFrame:
@@ -137,7 +137,7 @@ def front_end_baseline(items: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def stated(items: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
     """(item_id, ..., true_side, said): by the first side word. inner drops items without an answer, left keeps them."""
-    return items.join(answers.select("item_id", "answer"), "item_id", how).withColumn("true_side", G.side(F.col("azimuth"))).withColumn("said", T.stated_side(F.coalesce("answer", F.lit(""))))
+    return items.join(one_each(answers), "item_id", how).withColumn("true_side", G.side(F.col("azimuth"))).withColumn("said", T.stated_side(F.coalesce("answer", F.lit(""))))
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -162,11 +162,11 @@ def macro_f1(said: Column, true: Column) -> Column:
 
 def paired(items: DataFrame, cue: DataFrame, audio: DataFrame) -> DataFrame:
     """Items with both conditions' correctness by side, missing answers being wrong."""
-    both = items.join(cue.select("item_id", F.col("answer").alias("cue")), "item_id", "left").join(audio.select("item_id", F.col("answer").alias("audio")), "item_id", "left")
-    true = G.side(F.col("azimuth"))
-    angle = T.signed_azimuth(F.coalesce("cue", F.lit("")))
-    said = T.stated_side(F.coalesce("audio", F.lit("")))
-    return both.withColumn("true_side", true).withColumn("cue_correct", F.coalesce(G.side(angle) == true, F.lit(False)) & angle.isNotNull()).withColumn("audio_correct", F.coalesce(said == true, F.lit(False)))
+    angles = one_each(spread(cue)).select("item_id", T.signed_azimuth(F.coalesce("answer", F.lit(""))).alias("angle"))
+    sides = one_each(spread(audio)).select("item_id", T.stated_side(F.coalesce("answer", F.lit(""))).alias("side_said"))
+    both, true = items.join(angles, "item_id", "left").join(sides, "item_id", "left"), G.side(F.col("azimuth"))
+    told = both.withColumn("true_side", true).withColumn("cue_correct", F.coalesce(G.side(F.col("angle")) == true, F.lit(False)) & F.col("angle").isNotNull()).withColumn("audio_correct", F.coalesce(F.col("side_said") == true, F.lit(False)))
+    return told.drop("angle", "side_said")
 
 
 def _cluster_sums(rows: DataFrame, cluster: str) -> DataFrame:

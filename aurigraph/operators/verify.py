@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .signals import spread
 
 #: Tolerances of the checks.
 AZIMUTH_DEG = 5.0
@@ -65,7 +66,7 @@ def verify(df: DataFrame, transcript: str = "transcript") -> DataFrame:
     ]
     checks = F.filter(F.array(*[F.when(there, check).otherwise(F.lit(None).cast(_CHECK)) for there, check in made]), lambda x: x.isNotNull())
     used = F.filter(F.array(*[F.when(there, F.struct(x["start"].alias("start"), x["end"].alias("end"))) for there, x in ((c["azimuth"].isNotNull(), c["azimuth"]), (c["ild"].isNotNull(), c["ild"]), (c["itd"].isNotNull(), c["itd"]), (c["coherence"].isNotNull(), c["coherence"]), (c["regime"].isNotNull(), c["regime"]), (c["f0"].isNotNull() & f0_known, c["f0"]), (c["premise"].isNotNull(), c["premise"]))]), lambda x: x.isNotNull())
-    done = with_claims(df, transcript).withColumn("checks", checks).withColumn("used", used)
+    done = with_claims(spread(df), transcript).withColumn("checks", checks).withColumn("used", used)
     inference = F.filter("checks", lambda x: x["kind"] == "inference")
 
     def held(some: Column) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import signals as K
 from ..operators import verify as V
 from .claims import CHECKS, CLAIMED, CLAIMS
 from .registry import query
 
 
 def _claims(v):
-    return V.with_claims(v.transcripts)
+    return V.with_claims(K.spread(v.transcripts))
 
 
 for _name, _column, _sql in (("ild", "value", "ild"), ("itd", "value", "itd"), ("coherence", "value", "coherence"), ("f0", "value", "f0")):
@@ -64,7 +65,7 @@ p AS (SELECT x.item_id, x.claimed AS claimed_a, y.claimed AS claimed_b, y.measur
 
 @query("perturbation_pairs", _PAIR + "SELECT item_id, claimed_a, claimed_b, measured_delta, claimed_delta, CASE WHEN measured_delta = 0 THEN abs(claimed_delta) < 5 ELSE claimed_delta * measured_delta > 0 AND abs(claimed_delta) >= 0.5 * abs(measured_delta) END AS tracked FROM p")
 def perturbation_pairs(v):
-    a = v.transcripts.withColumn("claimed", T.signed_azimuth(F.col("transcript"))).join(v.evidence.select("item_id", "estimated_azimuth_deg"), "item_id").select("item_id", "claimed", "estimated_azimuth_deg")
+    a = K.spread(v.transcripts).withColumn("claimed", T.signed_azimuth(F.col("transcript"))).join(v.evidence.select("item_id", "estimated_azimuth_deg"), "item_id").select("item_id", "claimed", "estimated_azimuth_deg")
     b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("claimed").alias("claimed_y"), F.col("estimated_azimuth_deg").alias("measured_y"))
     done = a.join(b, "item_id").withColumn("r", V.perturbation_of(F.col("claimed"), F.col("estimated_azimuth_deg"), F.col("claimed_y"), F.col("measured_y")))
     return done.filter("r IS NOT NULL").select("item_id", (F.col("r.claimed_a") + 0.0).alias("claimed_a"), (F.col("r.claimed_b") + 0.0).alias("claimed_b"), "r.measured_delta", "r.claimed_delta", "r.tracked")
@@ -79,7 +80,7 @@ b AS (SELECT *, (m = 0 OR sign(claimed_with) = sign(m)) AND abs(abs(claimed_with
 SELECT item_id, claimed_with, claimed_without + 0.0 AS claimed_without, with_passed, without_passed, with_passed AND NOT without_passed AS relied_on_numbers FROM b""",
 )
 def ablation_pairs(v):
-    told = v.transcripts.withColumn("claimed", T.signed_azimuth(F.col("transcript"))).join(v.evidence.select("item_id", "estimated_azimuth_deg"), "item_id")
-    bare = v.answers.select("item_id", T.signed_azimuth(F.col("answer")).alias("bare"))
+    told = K.spread(v.transcripts).withColumn("claimed", T.signed_azimuth(F.col("transcript"))).join(v.evidence.select("item_id", "estimated_azimuth_deg"), "item_id")
+    bare = K.spread(v.answers).select("item_id", T.signed_azimuth(F.col("answer")).alias("bare"))
     done = told.join(bare, "item_id", "left").withColumn("r", V.ablation_of(F.col("claimed"), F.col("bare"), F.col("estimated_azimuth_deg")))
     return done.filter("r IS NOT NULL").select("item_id", (F.col("r.claimed_with") + 0.0).alias("claimed_with"), (F.col("r.claimed_without") + 0.0).alias("claimed_without"), "r.with_passed", "r.without_passed", "r.relied_on_numbers")

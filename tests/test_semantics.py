@@ -346,8 +346,9 @@ def test_wav_round_trip(spark, tmp_path):
     assert wav.discover(spark, str(tmp_path)).count() == 1
     parsed = P.parse_stems(wav.stems(spark, str(tmp_path)), "stem").first()
     assert (parsed.track, parsed.code, parsed.piece_number, parsed.piece, parsed.instrument) == (1, "vc", 7, "Piece", "cello")
-    part = wav.excerpts(spark, str(tmp_path), 0.05, 0.1, 24_000).first().mono
-    assert len(part) == 2400 and any(part[:1000]) and not any(part[1300:])
+    plans = spark.createDataFrame([(1, "AuSep_1_vc_07_Piece", 0.05, 0.1), (2, "AuSep_1_vc_07_Piece", 0.0, 0.02)], "id int, stem string, start_s double, duration_s double")
+    parts = {r.id: r.mono for r in wav.excerpts(spark, plans, str(tmp_path), 24_000, ["id"]).collect()}
+    assert len(parts[1]) == 2400 and any(parts[1][:1000]) and not any(parts[1][1300:]) and len(parts[2]) == 480
     clips = spark.createDataFrame([(1, [0.1] * 10, [0.2] * 10)], "id int, left array<double>, right array<double>")
     assert wav.decode(bytes(wav.as_wav(clips, ["id"], RATE).first().wav))[0].shape == (10, 2)
 
