@@ -181,18 +181,20 @@ def measure(left: np.ndarray, right: np.ndarray, rate: int, f0: tuple[float, flo
 
 
 def resample(x: np.ndarray, rate: int, to: int, half: int = 32) -> np.ndarray:
-    """Windowed-sinc resampling."""
-    if rate == to:
-        return np.asarray(x, float)
+    """Windowed-sinc resampling. Places between samples repeat, so there is one kernel for each of them."""
     x = np.asarray(x, float)
+    if rate == to:
+        return x
+    up, down = to // math.gcd(rate, to), rate // math.gcd(rate, to)
     cut = min(1.0, to / rate)
-    at = np.arange(math.ceil(len(x) * to / rate)) * (rate / to)
     width = math.ceil(half / cut)
-    taps = np.floor(at).astype(int)[:, None] + np.arange(-width + 1, width + 1)[None, :]
-    apart = at[:, None] - taps
-    kernel = cut * np.sinc(cut * apart) * np.where(np.abs(apart) < width, 0.5 + 0.5 * np.cos(np.pi * apart / width), 0)
-    inside = (taps >= 0) & (taps < len(x))
-    return (np.where(inside, x[np.clip(taps, 0, len(x) - 1)], 0) * kernel).sum(1)
+    apart = np.arange(up)[:, None] / up + np.arange(width - 1, -width - 1, -1)[None, :]
+    kernels = cut * np.sinc(cut * apart) * np.where(np.abs(apart) < width, 0.5 + 0.5 * np.cos(np.pi * apart / width), 0)
+    places = np.arange(math.ceil(len(x) * to / rate)) * down
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(width - 1), x, np.zeros(width + 1)]), 2 * width)
+    if up == 1:
+        return windows[places] @ kernels[0]
+    return np.einsum("ij,ij->i", windows[places // up], kernels[places % up])
 
 
 def pitch_track(x: np.ndarray, rate: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ NUMBER = r"\d+(?:\.\d+)?"
 UNIT = r"(?:degrees?|°)"
 ADJACENT = rf"(?i){NUMBER}\s*{UNIT}\s*(?:to the\s+)?(?:left|right)"
 BARE = rf"(?i){NUMBER}[\s-]*{UNIT}"
+EITHER = rf"(?i){NUMBER}[\s-]*{UNIT}(?:\s*(?:to the\s+)?(?:left|right))?"
 SIDE = r"(?i)\b(left|right)\b"
 CENTRE = r"(?i)\bcent(?:er|re|red)\b"
 DECIBEL = rf"(?i){NUMBER}\s*dB\b"
@@ -78,11 +79,16 @@ def _overlap(a: Column, b: Column) -> Column:
 
 
 def azimuth_claims(text: Column) -> Column:
-    """array<struct<start, end, magnitude, side>> in order: numbers with a side right after them, then other numbers of degrees
-    with the first side word in their window. Texts without the unit are not searched."""
-    beside = F.transform(spans(text, ADJACENT), lambda s: F.struct(s["start"], s["end"], _number(s["match"]).alias("magnitude"), F.lower(F.regexp_extract(s["match"], r"(?i)(left|right)$", 1)).alias("side")))
-    loose = F.transform(spans(text, BARE), lambda s: F.struct(s["start"], s["end"], _number(s["match"]).alias("magnitude"), F.lower(group(near(text, s), SIDE, 1)).alias("side")))
-    found = let(beside, lambda b: F.array_sort(F.concat(b, F.filter(loose, lambda s: s["side"].isNotNull() & ~F.exists(b, lambda x: _overlap(s, x))))))
+    """array<struct<start, end, magnitude, side>> in order: numbers with a side right after them, and other numbers of degrees
+    with the first side word in their window. One scan finds both; texts without the unit are not searched."""
+
+    def claim(s: Column) -> Column:
+        beside = F.regexp_like(s["match"], F.lit(rf"^{ADJACENT}$"))
+        bare = F.struct(s["start"].alias("start"), (s["start"] + F.length(F.regexp_extract(s["match"], BARE, 0))).alias("end"))
+        said = F.when(beside, F.lower(F.regexp_extract(s["match"], r"(?i)(left|right)$", 1))).otherwise(F.lower(group(near(text, bare), SIDE, 1)))
+        return F.struct(s["start"].alias("start"), F.when(beside, s["end"]).otherwise(bare["end"]).alias("end"), _number(s["match"]).alias("magnitude"), said.alias("side"))
+
+    found = F.filter(F.transform(spans(text, EITHER), claim), lambda c: c["side"].isNotNull())
     none = F.array().cast("array<struct<start: int, end: int, magnitude: double, side: string>>")
     return F.when(F.contains(F.lower(text), F.lit("degree")) | F.contains(text, F.lit("°")), found).otherwise(F.when(text.isNotNull(), none))
 

@@ -93,6 +93,16 @@ def noises(df: DataFrame, keep: list[str], samples: int, seed: str) -> DataFrame
     return per_row(df, [seed], keep, lambda n: {"mono": np.random.default_rng(int(n)).normal(size=samples) * 0.1}, "mono array<double>")
 
 
+def noisy_tones(df: DataFrame, keep: list[str], rate: int, seconds: float, f: str, seed: str, share: float = 0.02) -> DataFrame:
+    """df's keep columns with `mono`: a tone of each row's frequency in weak noise, or noise alone where that is null."""
+
+    def work(hz: float | None, n: int) -> dict:
+        weak = np.random.default_rng(int(n)).normal(size=round(seconds * rate))
+        return {"mono": 0.1 * weak if hz is None else dsp.tone(hz, rate, seconds) + share * weak}
+
+    return per_row(df, [f, seed], keep, work, "mono array<double>")
+
+
 def noisy(df: DataFrame, keep: list[str], azimuth: str, ratio: str, seed: str) -> DataFrame:
     """df's keep columns with left and right: `mono` panned, with noise of its own spectrum on each channel, unlike the other's."""
 

@@ -54,12 +54,11 @@ def stft_level_cues(v):
   CASE WHEN vec_id % 3 = 0 THEN NULL ELSE CAST(220 + vec_id % 7 * 40 AS DOUBLE) END AS f0_hz FROM embeddings""")
 def measure_renders(v):
     """Whole measurements, pitch and all: tones and noises panned, the right channel delayed by 0 to 500 microseconds."""
-    rows = K.spread(v.embeddings).select(F.col("vec_id").alias("clip_id"), F.expr(_AZIMUTH).alias("azimuth"), (220.0 + F.col("vec_id") % 7 * 40).cast("double").alias("f"))
-    tones = K.tones(rows, ["clip_id", "azimuth", "f"], RATE, 0.25)
-    noise = K.noises(rows, ["clip_id", "azimuth", "f"], 12_000, "clip_id").select("clip_id", F.col("mono").alias("noise"))
-    mono = tones.join(noise, "clip_id").withColumn("mono", F.when(F.col("clip_id") % 3 == 0, F.col("noise")).otherwise(F.zip_with("mono", "noise", lambda a, b: a + 0.2 * b)))
-    panned = K.rendered(mono, ["clip_id", "azimuth"], RATE, "amplitude")
-    late = panned.withColumn("processing", _steps(("delay_widening", {"delay_us": (F.col("clip_id") % 5 * 125).cast("double")}))).withColumn("code", F.element_at(F.array(*map(F.lit, _CODES)), (F.col("clip_id") % 4 + 1).cast("int")))
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("clip_id") % 4 + 1).cast("int"))
+    f = F.when(F.col("clip_id") % 3 != 0, (220.0 + F.col("clip_id") % 7 * 40).cast("double"))
+    rows = K.spread(v.embeddings).select(F.col("vec_id").alias("clip_id"), F.expr(_AZIMUTH).alias("azimuth")).withColumns({"f": f, "code": code})
+    panned = K.rendered(K.noisy_tones(rows, ["clip_id", "azimuth", "code"], RATE, 0.25, "f", "clip_id"), ["clip_id", "code"], RATE, "amplitude")
+    late = panned.withColumn("processing", _steps(("delay_widening", {"delay_us": (F.col("clip_id") % 5 * 125).cast("double")})))
     done = K.measured(K.processed(late, ["clip_id", "code"], RATE), ["clip_id"], RATE, code="code")
     return done.select("clip_id", (F.round("estimated_azimuth_deg") + 0.0).alias("azimuth"), (F.round("itd_us") + 0.0).alias("itd_us"), F.col("estimated_regime").alias("regime"), (F.col("coherence") >= 0.9).alias("coherent"), F.when(~F.isnan("f0_hz"), F.round(F.col("f0_hz") / 20) * 20).alias("f0_hz"))
 
