@@ -56,13 +56,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def meet(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, how: str = "inner", hint: str | None = None) -> DataFrame:
     """rows joined with groups, one row for each key, of which `count` says how many of the `total` rows have it. The few that
-    are a hot key go by broadcast, whose size is bounded (fewer than HOT rows), the others by a shuffle join."""
+    are a hot key go by broadcast, whose size is bounded (fewer than HOT rows), the others by a shuffle join, or by the join that hint names."""
     hot = F.col(count) > F.lit(total / HOT)
     few, rest = groups.filter(hot), groups.filter(~hot)
     others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(few), key).unionByName(others.join(rest, key, how))
+    return rows.join(F.broadcast(few), key).unionByName(others.join(rest.hint(hint) if hint else rest, key, how))
 
 
 def cut(df: DataFrame) -> DataFrame:
