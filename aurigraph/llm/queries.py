@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat, cohorts, decontaminate, htmltext, jpeg, langid, mixing, pii, quality, sharding, simhash
+from . import centroids, chat, cohorts, decontaminate, htmltext, jpeg, langid, mixing, nndescent, pii, quality, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,10 @@ SELECT a.vec_id, c.c::INTEGER AS cluster, a.b.d AS distance, (sum(a.b.d) OVER (P
   (sum(a.b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{last} a JOIN c{last} c ON a.b.c = c.c"""
 
 
+def op12_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
 
@@ -136,5 +140,5 @@ SELECT state::INTEGER AS state, segment, cohort, period::BIGINT AS period, count
 """
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_htmltext": op4_htmltext, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_pii": op8_pii, "op9_media": op9_media, "op10_mixing": op10_mixing, "op11_centroids": op11_centroids, "op13_cohorts": op13_cohorts}
+QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_quality": op3_quality, "op4_htmltext": op4_htmltext, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_pii": op8_pii, "op9_media": op9_media, "op10_mixing": op10_mixing, "op11_centroids": op11_centroids, "op12_nndescent": op12_nndescent, "op13_cohorts": op13_cohorts}
 ORACLES: dict[str, str] = {"op6_decontaminate": _OP6_SQL, "op10_mixing": _OP10_SQL, "op11_centroids": _op11_sql(), "op13_cohorts": _OP13_SQL}
