@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,7 +63,49 @@ def within(value, candidates: list[float], tolerance: float):
     return F.exists(F.array(*map(F.lit, candidates)), lambda c: F.abs(value - c) <= tolerance)
 
 
-def in_ranges(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, bucket: float) -> DataFrame:
-    """points joined with the ranges [low, high] that hold them: ranges are cut into buckets and met by equality."""
-    cut = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))))
-    return points.withColumn("__b", F.floor(F.col(value) / bucket)).join(cut, "__b").filter((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))).drop("__b")
+#: Levels of the dyadic decomposition: cells are numbered from -2**(LEVELS - 1) to 2**(LEVELS - 1).
+LEVELS = 52
+
+
+def _cell(value: Column, unit: float) -> Column:
+    """The number of the value's cell from 0 on; values beyond all cells count as in the last one on their side, NaN as above all."""
+    most = float(1 << (LEVELS - 1))
+    cell = F.floor(F.greatest(F.least(value.cast("double") / unit, F.lit(most - 1)), F.lit(-most))).cast("long")
+    return F.when(F.isnan(value.cast("double")), F.lit((1 << LEVELS) - 1)).when(value.isNotNull(), cell + (1 << (LEVELS - 1)))
+
+
+def dyadic(first: Column, last: Column) -> Column:
+    """array<struct<level, block>>: the cells first to last (both included) as the fewest blocks of 2**level aligned cells.
+
+    At a level there is at most one block at either end: where the start, rounded up, is odd, and where the end, rounded down, is.
+    """
+
+    def ends(k: Column) -> Column:
+        left = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        right = F.call_function("shiftright", last + 1, k)
+        one = lambda at, block: F.when((left < right) & (at % 2 == 1), F.struct(k.alias("level"), block.alias("block")))
+        return F.filter(F.array(one(left, left), one(right, right - 1)), lambda b: b.isNotNull())
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), ends))
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, unit: float) -> DataFrame:
+    """points joined with the ranges [low, high] that hold them; a null end is open, an empty range holds nothing.
+
+    The line is cut into cells of `unit`. A range becomes at most two aligned blocks a level, so 2 * log2(its cells) rows however
+    long it is; a point looks up the one block of each level that the ranges use, by equality. The unit decides how much the exact
+    comparison at the ends has to sort out, never what is found. Null values are in no range; NaN is above all numbers.
+    """
+    names = {c.lower() for c in (*points.columns, *ranges.columns)}
+    level, block, span = (next(n for n in (base + "_" * i for i in range(1, 99)) if n.lower() not in names) for base in ("level", "block", "span"))
+    lowest, highest = F.coalesce(_cell(F.col(low), unit), F.lit(0).cast("long")), F.coalesce(_cell(F.col(high), unit), F.lit((1 << LEVELS) - 1))
+    cut = ranges.filter(F.coalesce(F.col(low) <= F.col(high), F.lit(True))).withColumn(span, F.explode(dyadic(lowest, highest)))
+    cut = cut.withColumn(level, F.col(span)["level"]).withColumn(block, F.col(span)["block"]).drop(span)
+    used = sorted(r[0] for r in cut.select(level).distinct().collect())  # LEVELS + 1 at most
+    if not used:
+        return points.join(ranges.limit(0), F.lit(False))
+    asked = points.filter(F.col(value).isNotNull()).withColumn(level, F.explode(F.array(*map(F.lit, used))))
+    asked = asked.withColumn(block, F.call_function("shiftright", _cell(F.col(value), unit), F.col(level)))
+    met = asked.join(cut, [level, block])
+    held = F.coalesce(F.col(value) >= F.col(low), F.lit(True)) & F.coalesce(F.col(value) <= F.col(high), F.lit(True))
+    return met.filter(held).drop(level, block)

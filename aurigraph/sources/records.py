@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import committed
+
 EVIDENCE = ("ild_db", "high_frequency_ild_db", "ild_flatness_db", "itd_us", "itd_peak_strength", "coherence", "estimated_azimuth_deg", "estimated_regime", "active_bins", "f0_hz", "binaural_azimuth_deg")
 _TEXT = {"estimated_regime": "string", "active_bins": "int"}
 _EVIDENCE = "struct<" + ", ".join(f"{c}: {_TEXT.get(c, 'double')}" for c in EVIDENCE) + ">"
@@ -129,15 +131,22 @@ def write_split_ids(df: DataFrame, path: str, key: str) -> None:
     df.select("split", F.col(key).cast("string").alias("value")).repartition("split").sortWithinPartitions("split", "value").write.partitionBy("split").text(path)
 
 
-def write_benchmark(items: DataFrame, rejected: DataFrame, path: str, public: list[str], private: list[str], key: str = "item_id") -> None:
+def benchmark_lines(items: DataFrame, rejected: DataFrame, public: list[str], private: list[str], key: str = "item_id") -> DataFrame:
+    """(output, line, key): every line of the five files of a benchmark, from one reading of the items."""
+    whole = committed.as_json(*items.columns)
+    to = lambda output, line: F.struct(F.lit(output).alias("output"), line.alias("line"))
+    split = F.col("split")
+    outputs = F.when(split.isin("train", "dev"), F.array(F.struct(split.alias("output"), whole.alias("line")))).when(split == "test", F.array(to("test_public", committed.as_json(*public)), to("test_private_labels", committed.as_json(*private))))
+    lines = items.select(F.col(key).cast("string").alias("key"), F.inline(outputs)).select("output", "line", "key")
+    return lines.unionByName(rejected.select(F.lit("rejected_items").alias("output"), committed.as_json(*rejected.columns).alias("line"), F.lit(None).cast("string").alias("key")))
+
+
+def write_benchmark(items: DataFrame, rejected: DataFrame, path: str, public: list[str], private: list[str], key: str = "item_id", job: str = "build") -> None:
     """The five files of a benchmark, each a folder of JSON lines in order of the key: train and dev whole, what of the test items may be
-    published, their private labels, and what was rejected. items are read for each; cache or store what is dear to make."""
-    for split in ("train", "dev"):
-        write_jsonl(items.filter(F.col("split") == split), f"{path}/{split}", key)
-    test = items.filter(F.col("split") == "test")
-    write_jsonl(test.select(*public), f"{path}/test_public", key)
-    write_jsonl(test.select(*private), f"{path}/test_private_labels", key)
-    write_jsonl(rejected, f"{path}/rejected_items")
+    published, their private labels, and what was rejected. All commit at once under the job's name, and a second run of that job adds
+    nothing. Items are read once for the lines, and once by key alone for the bounds of the order."""
+    lines = benchmark_lines(items, rejected, public, private, key)
+    committed.write(lines.repartitionByRange("key", "output").sortWithinPartitions("key"), path, job)
 
 
 def write_json(df: DataFrame, path: str) -> None:

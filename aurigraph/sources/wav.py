@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from .shared import store
 
 SUFFIXES = ("wav", "flac", "mp3", "ogg", "m4a", "aiff", "aif")
 
@@ -52,10 +54,11 @@ def decode(content: bytes) -> tuple[np.ndarray, int]:
     """(samples x channels in -1..1, rate) of 8, 16, 24 or 32 bit PCM."""
     with wave.open(io.BytesIO(content)) as w:
         width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-    return _pcm(raw, width).reshape(-1, channels), rate
+    return pcm(raw, width).reshape(-1, channels), rate
 
 
-def _pcm(raw: bytes, width: int) -> np.ndarray:
+def pcm(raw: bytes, width: int) -> np.ndarray:
+    """Samples in -1..1 of PCM of so many bytes a sample."""
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
     elif width == 3:
@@ -80,30 +83,34 @@ def encode(channels: list[np.ndarray], rate: int, bits: int = 16) -> bytes:
     return out.getvalue()
 
 
-def read_at(content: bytes, start_s: float, duration_s: float, rate: int) -> np.ndarray:
-    """An excerpt of a file, mixed down, resampled and padded to its exact length; only its frames are decoded."""
-    with wave.open(io.BytesIO(content)) as w:
+def read_at(file: BinaryIO, start_s: float, duration_s: float, rate: int) -> np.ndarray:
+    """An excerpt of an open file, mixed down, resampled and padded to its exact length; only its header and frames are read."""
+    with wave.open(file) as w:
         own, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
         w.setpos(min(round(start_s * own), w.getnframes()))
         raw = w.readframes(round(duration_s * own))
     n = round(duration_s * rate)
-    part = dsp.resample(_pcm(raw, width).reshape(-1, channels).mean(1), own, rate)[:n]
+    part = dsp.resample(pcm(raw, width).reshape(-1, channels).mean(1), own, rate)[:n]
     return np.concatenate([part, np.zeros(n - len(part))])
 
 
 def excerpts(spark: SparkSession, plans: DataFrame, root: str, rate: int, keep: list[str], pattern: str = "*.wav") -> DataFrame:
     """keep columns of plans (stem, start_s, duration_s, ...) with mono, each plan's own excerpt of its stem's file; a stem without a
-    file is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "content")
-    met = plans.join(files, "stem", "left").withColumn("content", F.coalesce("content", F.raise_error(F.concat(F.lit("no file of stem "), F.col("stem"))).cast("binary")))
+    file is an error. Plans meet the paths of files, never their contents; a task opens the file of a plan and reads the plan's frames."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.col("path").alias("file"))
+    met = plans.join(files, "stem", "left").withColumn("file", F.coalesce("file", F.raise_error(F.concat(F.lit("no file of stem "), F.col("stem"))).cast("string")))
     kept = plans.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [read_at(c, s, d, rate) for c, s, d in zip(*(batch.column(x).to_pylist() for x in ("content", "start_s", "duration_s")))]
+            found = []
+            for path, start, duration in zip(*(batch.column(x).to_pylist() for x in ("file", "start_s", "duration_s")), strict=True):
+                where, name = store(path)
+                with where.open_input_file(name) as f:
+                    found.append(read_at(f, start, duration, rate))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(found, pa.list_(pa.float64()))], names=[*keep, "mono"])
 
-    return met.select(*dict.fromkeys([*keep, "content", "start_s", "duration_s"])).mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["mono array<double>"]))
+    return met.select(*dict.fromkeys([*keep, "file", "start_s", "duration_s"])).mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["mono array<double>"]))
 
 
 def stereo(spark: SparkSession, root: str, rate: int = 48_000, pattern: str = "*.wav") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import score as S
+from ..sources import committed
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -40,18 +42,19 @@ def score_arrivals(answers: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def collect_missing(items: DataFrame, folder: str, answer: Callable[[DataFrame], DataFrame]) -> int:
-    """Resumable collection: only items without an answer in the folder are answered, and appended. Returns how many."""
+    """Resumable collection: only items without an answer in the folder are answered, and appended. Returns how many.
+
+    Answers are committed as one version after the one that was read, so a run that is killed leaves none of them, and of two runs at
+    once the later fails with a conflict instead of answering an item twice.
+    """
     spark = items.sparkSession
-    try:
-        done = spark.read.schema("item_id long, answer string").json(folder).select("item_id")
-    except Exception as missing:  # noqa: BLE001  the folder is not there before the first run
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        done = items.select("item_id").limit(0)
+    version = committed.manifest(folder)["version"]
+    done = committed.read(spark, folder).select(F.from_json("line", "item_id long")["item_id"].alias("item_id"))
     todo = items.join(done, "item_id", "left_anti")
     n = todo.count()
     if n:
-        answer(todo).select("item_id", "answer").write.mode("append").json(folder)
+        lines = answer(todo).select(F.lit("").alias("output"), committed.as_json("item_id", "answer").alias("line"))
+        committed.write(lines, folder, f"answers-{uuid.uuid4().hex}", expect=version)
     return n
 
 
