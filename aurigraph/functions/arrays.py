@@ -104,16 +104,3 @@ def thinned(peaks: Column, separation: float) -> Column:
     tall = F.array_sort(peaks, lambda a, b: F.when(a["height"] > b["height"], -1).when(a["height"] < b["height"], 1).when(a["x"] < b["x"], -1).otherwise(1))
     kept = F.aggregate(tall, F.slice(tall, 1, 0), lambda k, p: F.when(F.exists(k, lambda q: F.abs(q["x"] - p["x"]) < separation), k).otherwise(F.concat(k, F.array(p))))
     return F.array_sort(kept, lambda a, b: F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0))
-
-
-def compressor(level: Column, threshold: float, ratio: float, attack: float, release: float) -> Column:
-    """Smoothed gain reduction in dB over an array of levels: one-pole with attack and release coefficients."""
-    start = F.struct(F.lit(0.0).alias("now"), F.array().cast("array<double>").alias("out"))
-
-    def follow(s: Column, v: Column) -> Column:
-        target = F.greatest(v - threshold, F.lit(0.0)) * (1 - 1 / ratio)
-        c = F.when(target > s["now"], F.lit(attack)).otherwise(F.lit(release))
-        now = c * s["now"] + (1 - c) * target
-        return F.struct(now.alias("now"), F.concat(s["out"], F.array(now)).alias("out"))
-
-    return F.aggregate(level, start, follow, lambda s: s["out"])

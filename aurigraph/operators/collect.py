@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import dsp
 from ..functions import geometry as G
 from . import prompts
+from .score import hash_unit
 from .signals import per_row
 
-#: Separation of a mixture's sources, tries to find them, distance from evaluation angles, dither.
-SEPARATION_DEG, TRIES = 10.0, 2000
+#: Separation of a mixture's sources, distance from evaluation angles, dither.
+SEPARATION_DEG = 10.0
 DRAWS = 10_000
 EXCLUDED_DEG = 0.2
 DITHER = 0.05
@@ -26,22 +27,57 @@ def _unit(*parts) -> float:
     return int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:12], 16) / float(1 << 48)
 
 
+def ways(grid: list[float], most: int) -> tuple[list[int], list[list[int]]]:
+    """(next, w) of an ascending grid: the place of the first angle that may follow each, and w[k][i], in how many ways k angles, each
+    SEPARATION_DEG above the one before, can be taken from place i on."""
+    after = [next((j for j in range(i + 1, len(grid)) if grid[j] - grid[i] >= SEPARATION_DEG), len(grid)) for i in range(len(grid))]
+    w = [[1] * (len(grid) + 1)]
+    for k in range(1, most + 1):
+        row = [0] * (len(grid) + 1)
+        for i in reversed(range(len(grid))):
+            row[i] = row[i + 1] + w[k - 1][after[i]]
+        w.append(row)
+    return after, w
+
+
 def pick_separated(name: str, count: int, grid: list[float], seed: int) -> list[float] | None:
-    """`count` angles of the grid at least SEPARATION_DEG apart, ascending: the first of TRIES orders, each by hash, that has as many."""
-    for k in range(TRIES):
-        kept: list[float] = []
-        for angle in sorted(grid, key=lambda a: _unit(seed, "angles", name, k, a)):
-            if len(kept) < count and all(abs(angle - other) >= SEPARATION_DEG for other in kept):
-                kept.append(angle)
-        if len(kept) == count:
-            return sorted(kept)
-    return None
+    """`count` angles of the grid at least SEPARATION_DEG apart, ascending, one choice of all evenly; separated_angles() of one row."""
+    grid = sorted(set(grid))
+    after, w = ways(grid, count)
+    if not w[count][0]:
+        return None
+    rank, at, kept = math.floor(_unit(seed, "angles", name) * w[count][0]), 0, []
+    while len(kept) < count:
+        with_it = w[count - len(kept) - 1][after[at]]
+        if rank < with_it:
+            kept.append(grid[at])
+            at = after[at]
+        else:
+            rank, at = rank - with_it, at + 1
+    return kept
 
 
 def separated_angles(groups: DataFrame, key: str, count: str, grid: list[float], seed: int) -> DataFrame:
-    """groups with `angles`, null where no try finds as many. Tries end with the first that does."""
-    keep = groups.columns
-    return per_row(groups, [key, count], keep, lambda name, n: {"angles": pick_separated(str(name), n, grid, seed)}, "angles array<double>")
+    """groups with `angles`, `count` of the grid's at least SEPARATION_DEG apart, ascending; null where there are no such. Every choice
+    is as likely: they are numbered by how many begin with an angle or without it, and a hash of the key picks a number."""
+    grid = sorted(set(grid))
+    after, w = ways(grid, len(grid))
+    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in w])
+    nexts, angles = F.array(*[F.lit(a) for a in after]), F.array(*[F.lit(float(a)) for a in grid])
+    n = F.col(count).cast("int")
+    ways_of = F.when((n >= 0) & (n <= len(grid)), F.element_at(F.element_at(table, F.greatest(n, F.lit(0)) + 1), 1)).otherwise(0)
+    rank = F.floor(hash_unit(F.lit(str(seed)), F.lit("angles"), F.col(key).cast("string")) * ways_of).cast("long")
+    start = F.struct(rank.alias("rank"), F.lit(0).alias("free"), F.array().cast("array<double>").alias("kept"))
+
+    def step(s: Column, i: Column) -> Column:
+        left = n - F.size(s["kept"])
+        with_it = F.element_at(F.element_at(table, F.greatest(left, F.lit(1))), F.element_at(nexts, i + 1) + 1).cast("long")
+        taken = F.struct(s["rank"].alias("rank"), F.element_at(nexts, i + 1).alias("free"), F.concat(s["kept"], F.array(F.element_at(angles, i + 1))).alias("kept"))
+        passed = F.struct((s["rank"] - with_it).alias("rank"), s["free"].alias("free"), s["kept"].alias("kept"))
+        return F.when((left <= 0) | (i < s["free"]), s).when(s["rank"] < with_it, taken).otherwise(passed)
+
+    chosen = F.aggregate(F.sequence(F.lit(0), F.lit(len(grid) - 1)), start, step, lambda s: s["kept"])
+    return groups.withColumn("angles", F.when(ways_of > 0, chosen))
 
 
 def draw_clear(number: int, excluded: list[float], seed: int, limit: float) -> float:

@@ -169,43 +169,81 @@ def tones(df: DataFrame, keep: list[str], rate: int, seconds: float, f: str = "f
     return per_row(df, [f], keep, lambda x: {"mono": dsp.tone(x, rate, seconds)}, "mono array<double>")
 
 
-def leave_one_group_out(df: DataFrame, key: str, features: str, target: str, group: str, ridge: float) -> DataFrame:
-    """(key, group, target, predicted): ridge regression of each group on all others.
+#: Groups of more rows than this are fitted from their moments, smaller ones from their rows, which one task holds.
+GROUP_ROWS = 4096
+#: Weights of large groups that are broadcast at most.
+BROADCAST_GROUPS = 10_000
 
-    Each task adds up its groups' counts, sums and products; a group's model comes from the totals less its own, so nothing but
-    (features + 2) squared numbers a group and task moves. The groups' weights, of that size, are broadcast.
-    """
-    plain = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), F.col(group).cast("long").alias("g"))
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of one leading 1 and the features."""
+    x = np.array(column.to_pylist(), float).reshape(len(column), -1)
+    return np.column_stack([np.ones(len(x)), x])
+
+
+def _moments(rows: DataFrame, by: str) -> DataFrame:
+    """(by, pos, total): sums of products of 1, features and target, a row for each entry of the matrix. A task adds up its own rows first."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), float)
-            if not len(x):
+            if not batch.num_rows:
                 continue
-            rows = np.column_stack([np.ones(len(x)), x, batch.column("y").to_numpy(zero_copy_only=False)])
-            for g in np.unique(gs := batch.column("g").to_numpy(zero_copy_only=False)):
-                own = rows[gs == g]
-                sums[int(g)] = sums.get(int(g), 0) + own.T @ own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.ravel() for s in sums.values()], pa.list_(pa.float64()))], names=["g", "s"])
-
-    parts = plain.mapInArrow(add, "g long, s array<double>").groupBy("g").agg(F.aggregate(F.collect_list("s"), F.array().cast("array<double>"), lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda p, q: p + q))).alias("s"))
-    totals = {r["g"]: np.array(r["s"]) for r in parts.collect()}  # one matrix a group
-    weights = {}
-    for g, own in totals.items():
-        m = (sum(totals.values()) - own).reshape(int(np.sqrt(len(own))), -1)
-        n, mean_x, mean_y = m[0, 0], m[0, 1:-1] / max(m[0, 0], 1), m[0, -1] / max(m[0, 0], 1)
-        xx = m[1:-1, 1:-1] - n * np.outer(mean_x, mean_x)
-        w = np.linalg.solve(xx + ridge * np.eye(len(xx)), m[1:-1, -1] - n * mean_x * mean_y)
-        weights[g] = (w, float(mean_y - mean_x @ w))
-    held = df.sparkSession.sparkContext.broadcast(weights)
-
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [float(np.dot(x, held.value[g][0]) + held.value[g][1]) for x, g in zip(batch.column("x").to_pylist(), batch.column("g").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("g"), batch.column("y"), pa.array(found, pa.float64())], names=["key", "g", "y", "predicted"])
+            z = np.column_stack([_vectors(batch.column("x")), batch.column("y").to_numpy(zero_copy_only=False)])
+            groups, at = np.unique(batch.column(by).to_numpy(zero_copy_only=False), return_inverse=True)
+            sums = [(z[at == k].T @ z[at == k]).ravel() for k in range(len(groups))]
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([x.tolist() for x in sums], pa.list_(pa.float64()))], names=[by, "s"])
+
+    parts = rows.select(by, "x", "y").mapInArrow(add, f"{by} long, s array<double>")
+    return parts.select(by, F.posexplode("s").alias("pos", "v")).groupBy(by, "pos").agg(F.sum("v").alias("total"))
 
-    return plain.mapInArrow(guess, "key long, g long, y double, predicted double")
+
+def leave_one_group_out(df: DataFrame, key: str, features: str, target: str, group: str, ridge: float) -> DataFrame:
+    """(key, g, y, predicted): ridge regression of each group on all others, the intercept not penalised.
+
+    The moments of all rows are one matrix of (features + 2) squared numbers, the only thing that reaches the driver, and its inverse is
+    broadcast. Leaving a group out takes its rows' products off that matrix, and the errors of its rows then follow from those of the
+    model of all rows: (1 - X inv(A) X') e = y - X b. A group's rows meet in one task up to GROUP_ROWS of them; a larger group's own
+    moments give its weights, in the task that holds these, and its rows stay where they are.
+    """
+    plain = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"), F.col(group).cast("long").alias("g"))
+    total = {r["pos"]: r["total"] for r in _moments(plain.withColumn("all", F.lit(0).cast("long")), "all").collect()}
+    wide = int(np.sqrt(len(total)))
+    m = np.array([total[i] for i in range(wide * wide)]).reshape(wide, wide)
+    penalty = ridge * np.diag([0.0] + [1.0] * max(wide - 2, 0))
+    held = df.sparkSession.sparkContext.broadcast((m, penalty, np.linalg.inv(m[:-1, :-1] + penalty)) if wide else None)
+    sizes = plain.groupBy("g").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > GROUP_ROWS).select("g")
+    own = plain.join(sizes.filter(F.col("n") <= GROUP_ROWS).select("g"), "g").groupBy("g").agg(F.collect_list(F.struct("key", "x", "y")).alias("rows"))
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, penalty, inverse = held.value
+        for batch in batches:
+            for g, rows in zip(batch.column("g").to_pylist(), batch.column("rows"), strict=True):
+                flat = rows.values
+                x, y = _vectors(flat.field("x")), flat.field("y").to_numpy(zero_copy_only=False)
+                if len(x) < x.shape[1]:
+                    error = np.linalg.solve(np.eye(len(x)) - x @ inverse @ x.T, y - x @ (inverse @ m[:-1, -1]))
+                    guess = y - error
+                else:
+                    guess = x @ np.linalg.solve(m[:-1, :-1] + penalty - x.T @ x, m[:-1, -1] - x.T @ y)
+                yield pa.RecordBatch.from_arrays([flat.field("key").cast(pa.int64()), pa.array([g] * len(x), pa.int64()), pa.array(y), pa.array(guess)], names=["key", "g", "y", "predicted"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, penalty, _ = held.value
+        for batch in batches:
+            found = []
+            for s in batch.column("s").to_pylist():
+                rest = m - np.array(s).reshape(m.shape)
+                found.append(np.linalg.solve(rest[:-1, :-1] + penalty, rest[:-1, -1]).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(found, pa.list_(pa.float64()))], names=["g", "w"])
+
+    moments = _moments(plain.join(large, "g"), "g").groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "total"))), lambda e: e["total"]).alias("s"))
+    weights = moments.mapInArrow(fit, "g long, w array<double>")
+    if large.count() <= BROADCAST_GROUPS:
+        weights = F.broadcast(weights)
+    dot = F.aggregate(F.zip_with("x", F.slice("w", 2, F.size("x")), lambda a, b: a * b), F.element_at("w", 1), lambda s, v: s + v)
+    guessed = plain.join(weights, "g").select("key", "g", "y", dot.alias("predicted"))
+    return own.mapInArrow(small, "key long, g long, y double, predicted double").unionByName(guessed)
 
 
 def fit_quality(predicted: DataFrame) -> DataFrame:

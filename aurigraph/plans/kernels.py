@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import mixplan as X
 from ..operators import signals as K
 from ..operators import track as W
+from .passes import ridge_sql
 from .registry import query
 
 RATE = 48_000
@@ -163,7 +164,7 @@ def wet_sweep(v):
     return found.select("clip_id", "azimuth", "wet", (F.col("coherence") < 0.9).alias("blurred"))
 
 
-@query("ridge_probe")
+@query("ridge_probe", ridge_sql(10, "embedding::DOUBLE[]", 65) + "SELECT round(avg(abs(predicted - y)), 6) AS mae, round(1 - sum((predicted - y) * (predicted - y)) / (var_pop(y) * count(*)), 6) AS r2, round(avg((abs(predicted - y) <= 5)::INT), 6) AS within_5 FROM p")
 def ridge_probe(v):
     rows = v.embeddings.withColumn("part", F.col("vec_id") % 10)
     return K.fit_quality(K.leave_one_group_out(rows, "vec_id", "embedding", "label", "part", 1.0)).select(*[F.round(c, 6).alias(c) for c in ("mae", "r2", "within_5")])

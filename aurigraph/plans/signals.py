@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import numfmt as N
 from ..operators import plan as P
 from ..operators import prompts as R
+from ..operators import recurrences as L
 from ..operators import signals as K
 from ..operators import survey as Y
 from .registry import query
@@ -121,7 +122,8 @@ SELECT clip_id, round(now, 6) AS reduction_db FROM g WHERE pos = 32""",
 )
 def compressor_smoothed(v):
     level = F.zip_with("left", "right", lambda a, b: 20 * F.log10(F.greatest(F.abs(a), F.abs(b), F.lit(1e-9))))
-    return v.clips.select("clip_id", F.round(F.element_at(A.compressor(level, -20.0, 4.0, 0.5, 0.9), -1), 6).alias("reduction_db"))
+    done = L.compressor(L.cut(v.clips.select("clip_id", level.alias("level")), "clip_id", "level"), "clip_id", -20.0, 4.0, 0.5, 0.9)
+    return done.select("clip_id", F.round(F.element_at("y", -1), 6).alias("reduction_db"))
 
 
 _EQ = "2 * pi() * (100.0 + o_orderkey % 4000) / 48000.0"
@@ -226,10 +228,9 @@ def number_labels(v):
 
 @query("cumulative_phase", "SELECT clip_id, pos, round(sum(abs(l)) OVER (PARTITION BY clip_id ORDER BY pos), 6) AS phase FROM {samples}")
 def cumulative_phase(v):
-    """In each row's own array: a running sum needs no window."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
-    sums = F.aggregate("left", start, lambda s, x: F.struct((s["sum"] + F.abs(x)).alias("sum"), F.concat(s["out"], F.array(s["sum"] + F.abs(x))).alias("out")), lambda s: s["out"])
-    return v.clips.select("clip_id", F.posexplode(sums)).select("clip_id", (F.col("pos") + 1).alias("pos"), F.round("col", 6).alias("phase"))
+    """Over the samples of each signal, a row each."""
+    samples = v.clips.select("clip_id", F.posexplode("left").alias("at", "x")).select("clip_id", (F.col("at") + 1).alias("pos"), F.abs("x").alias("x"))
+    return L.running_sum(samples, "clip_id", "pos", "x").select("clip_id", "pos", F.round("total", 6).alias("phase"))
 
 
 @query("excerpt_loudness", "SELECT s.clip_id, round(20 * log10(sqrt(avg(l * l))), 6) AS rms_db FROM {samples} s WHERE pos > clip_id % 20 AND pos <= clip_id % 20 + 8 GROUP BY s.clip_id")

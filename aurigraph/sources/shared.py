@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -22,6 +22,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/aurigraph/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: its lineage ends there, and lost executors cost nothing of it."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def store(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI and the path in it."""
     if path.startswith("file:"):
