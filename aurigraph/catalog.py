@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import collection, generalization, kernels, passes, planning, registry, scoring, signals, verification
+from .plans import collection, files, generalization, kernels, passes, planning, registry, scoring, signals, verification
 
-MODULES = (collection, generalization, kernels, passes, planning, scoring, signals, verification)
+MODULES = (collection, files, generalization, kernels, passes, planning, scoring, signals, verification)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

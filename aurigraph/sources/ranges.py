@@ -15,12 +15,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from .shared import files, store
 from .wav import pcm
 
-#: Bytes of a stretch, unless an option says otherwise.
+#: Bytes of a stretch, unless an option says otherwise; what a partition of short ones may add up to, each counted with its opening.
 STRETCH = 8 << 20
+BUNDLE, OPENING = 32 << 20, 256 << 10
 
 
 @dataclass
-class Stretch(InputPartition):
+class Stretch:
     """A byte range of a file."""
 
     path: str
@@ -28,6 +29,13 @@ class Stretch(InputPartition):
     end: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Stretches that one task reads in turn."""
+
+    stretches: list[Stretch]
+
+
 class _Ranges(DataSourceReader):
     """Partitions by the listing alone: no file is opened to plan."""
 
@@ -51,19 +59,32 @@ class _Ranges(DataSourceReader):
                     self.high = f.value if self.high is None else min(self.high, f.value)
                 yield f  # stretches are coarser than places
 
-    def partitions(self) -> list[Stretch]:
+    def stretches(self) -> list[Stretch]:
         found = [f for f in files(self.root) if f.path.endswith(self.suffix) and (self.paths is None or f.path in self.paths)]
         return [Stretch(f.path, at, min(at + self.stretch, f.size)) for f in found for at in range(0, f.size, self.stretch)]
 
+    def partitions(self) -> list[Bundle]:
+        made, weight = [], 0
+        for s in self.stretches():
+            cost = s.end - s.first + OPENING
+            if not made or weight + cost > BUNDLE:
+                made.append(Bundle([]))
+                weight = 0
+            made[-1].stretches.append(s)
+            weight += cost
+        return made
+
+    def read(self, partition: Bundle | None) -> Iterator[pa.RecordBatch]:
+        for s in partition.stretches if partition else ():  # no partition: no file
+            yield from self.rows(s)
+
 
 class FramesReader(_Ranges):
     """(path, start, rate, channels, samples): blocks of frames, start being the first frame, samples interleaved in -1..1."""
 
     place = "start"
 
-    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
+    def rows(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         where, _ = store(self.root)
         with where.open_input_file(partition.path) as raw, wave.open(raw) as w:
             width = w.getsampwidth() * w.getnchannels()
@@ -80,12 +101,10 @@ class FramesReader(_Ranges):
 class LinesReader(_Ranges):
     """(path, offset, line): a line belongs to the stretch in which it begins; offset is its first byte."""
 
-    def partitions(self) -> list[Stretch]:
-        return [s for s in super().partitions() if s.end > self.low and (self.high is None or s.first < self.high)]
+    def stretches(self) -> list[Stretch]:
+        return [s for s in super().stretches() if s.end > self.low and (self.high is None or s.first < self.high)]
 
-    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
+    def rows(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         where, _ = store(self.root)
         with where.open_input_file(partition.path) as f:
             at = max(partition.first - 1, 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -143,6 +144,24 @@ def as_wav(df: DataFrame, keep: list[str], rate: int, bits: int = 16) -> DataFra
     return df.select(*keep, "left", "right").mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["wav binary"]))
 
 
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "wav") -> int:
+    """Each row's bytes as a file of its name below folder; returns how many. A file appears under its name when it is whole, and a task
+    that runs again writes the same file again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = store(folder)
+        where.create_dir(root)
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                draft = f"{root}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(draft) as f:
+                    f.write(data)
+                where.move(draft, f"{root}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return df.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def from_wav(df: DataFrame, keep: list[str]) -> DataFrame:
     """df's keep columns with left and right of `wav`, its bytes; mono gives two equal channels."""
     kept = df.select(*keep).schema
