@@ -8,8 +8,8 @@ from ..operators import collect as C
 from ..operators import plan as P
 from ..operators import prompts as R
 from ..operators import score as S
-from ..sources import committed, ranges, records, shared, wav
-from ..streaming import events
+from ..sources import committed, ranges, records, shared, variants, wav
+from ..streaming import answers, events
 from .generalization import training_examples
 from .registry import query
 from .scoring import REPORT, SCORED
@@ -254,3 +254,50 @@ def parsed_lists(v):
     k = F.col("o_orderkey")
     parsed = C.number_list(F.concat(k.cast("string"), F.lit(", "), (k + 0.5).cast("string"), F.lit(","), F.when(k % 3 == 0, F.lit("x")).otherwise(F.lit("1"))))
     return v.orders.select(k.alias("id"), F.aggregate(parsed, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))).alias("total"), F.size(parsed).alias("n"))
+
+
+@query("variant_labels", """SELECT CAST(item_id AS VARCHAR) AS item_id, CASE WHEN item_id % 7 <> 6 THEN azimuth END AS azimuth, CASE WHEN item_id % 7 <> 6 THEN instrument END AS instrument, CASE WHEN item_id % 7 < 3 THEN azimuth * 0.75 END AS ild_db, item_id % 7 = 6 AS is_bad FROM {items}""")
+def variant_labels(v):
+    """Label lines of three versions and broken ones, stored as variants and read by path; a broken line is kept as it stands."""
+    path, k = shared.folder(v.spark, "versions"), F.col("item_id") % 7
+    name, angle = F.col("item_id").cast("string").alias("item_id"), F.col("azimuth")
+    top = F.to_json(F.struct(name, angle.alias("answer_azimuth_deg"), F.struct("instrument").alias("render"), F.struct((angle * 0.75).alias("ild_db")).alias("measured_evidence")))
+    asked = F.to_json(F.struct(name, F.struct(angle.alias("answer_azimuth_deg")).alias("question"), "instrument"))
+    listed = F.to_json(F.struct(name, F.struct(F.array(angle).alias("answer_azimuths_deg")).alias("question"), F.col("instrument"), F.lit(9).alias("version")))
+    line = F.when(k < 3, top).when(k < 5, asked).when(k == 5, listed).otherwise(F.concat(F.lit('{"item_id": broken '), F.col("item_id").cast("string")))
+    shared.stored(variants.records(v.items.select(line.alias("value")), "value"), "variants").write.parquet(path)
+    read = v.spark.read.parquet(path)
+    good = variants.labels(read.filter("bad IS NULL")).select("item_id", "azimuth", "instrument", variants.measure("evidence", "ild_db").alias("ild_db"), F.lit(False).alias("is_bad"))
+    bad = read.filter("bad IS NOT NULL").select(F.regexp_extract("bad", r"broken (\d+)$", 1).alias("item_id"), F.lit(None).cast("double").alias("azimuth"), F.lit(None).cast("string").alias("instrument"), F.lit(None).cast("double").alias("ild_db"), F.lit(True).alias("is_bad"))
+    return good.unionByName(bad)
+
+
+@query("variant_mixtures", "SELECT CAST(item_id AS VARCHAR) AS item_id, count(*) AS sources, sum(azimuth) AS total FROM {mix_items} GROUP BY item_id")
+def variant_mixtures(v):
+    """Mixtures whose azimuths stand at the top or in `question`, alone or listed, from one variant column."""
+    rows = v.mix_items.groupBy(F.col("item_id").cast("string").alias("item_id")).agg(F.sort_array(F.collect_list("azimuth")).alias("a"), F.max("item_id").alias("k"))
+    top, one = F.col("k") % 2 == 0, F.size("a") == 1
+    lists, single = F.when(~one, F.col("a")), F.when(one, F.element_at("a", 1))
+    inner = F.struct(F.when(~top, lists).alias("answer_azimuths_deg"), F.when(~top, single).alias("answer_azimuth_deg"))
+    text = F.to_json(F.struct("item_id", F.when(top, lists).alias("answer_azimuths_deg"), F.when(top, single).alias("answer_azimuth_deg"), inner.alias("question")))
+    read = variants.mixture_labels(variants.records(rows.select(text.alias("value")), "value"))
+    return read.select("item_id", F.size("azimuths").cast("long").alias("sources"), F.aggregate("azimuths", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+_LAST = "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'It is at 5 degrees to the left.' ELSE answer END AS answer FROM {answers}"
+
+
+@query(
+    "streamed_report",
+    SCORED.replace("{answers}", "last_answers").replace("WITH texts AS", f"WITH last_answers AS ({_LAST}), texts AS", 1) + f"SELECT {REPORT} FROM scored",
+)
+def streamed_report(v):
+    """Answers that come in three files and two runs, a fourth of them again in a later file and some once more out of order; each item's last one counts."""
+    source, log = shared.folder(v.spark, "arrivals"), shared.folder(v.spark, "log")
+    again = v.answers.filter("item_id % 4 = 0").select("item_id", F.lit("It is at 5 degrees to the left.").alias("answer"))
+    parts = [v.answers.withColumn("place", F.lit(2).cast("long")), again.withColumn("place", F.lit(3).cast("long")), v.answers.filter("item_id % 8 = 0").select("item_id", F.lit("It is at 20 degrees to the right.").alias("answer"), F.lit(1).cast("long").alias("place"))]
+    for part, last in zip(parts, (True, False, True), strict=True):
+        part.coalesce(1).write.mode("append").parquet(source)
+        if last:
+            answers.collect(events.read(v.spark, source, "item_id long, answer string, place long"), log, f"{log}-checkpoint")
+    return answers.report(v.items, log)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as M
 from ..operators import collect as C
 from ..operators import joins as J
 from ..operators import quantiles as Q
@@ -125,3 +126,40 @@ def angle_choices(v):
     asked = v.part.select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % 7 + 1).alias("n"))
     found = C.separated_angles(asked, "part", "n", [float(a) for a in range(-25, 30, 5)], 2026)
     return found.select("part", "n", F.array_join(F.transform("angles", lambda a: a.cast("int").cast("string")), ",").alias("angles"))
+
+
+_WEIGHTED = """WITH v AS (SELECT l_shipdate::DATE::VARCHAR AS day, l_extendedprice AS x, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
+r AS (SELECT day, x, sum(w) OVER (PARTITION BY day ORDER BY x) AS so_far, sum(w) OVER (PARTITION BY day) AS total FROM v)
+SELECT day, min(x) AS median FROM r WHERE so_far >= total / 2 GROUP BY day"""
+
+
+@query("weighted_medians", _WEIGHTED)
+def weighted_medians(v):
+    """Of prices by quantity, a day's."""
+    rows = v.lineitem.withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return M.weighted_median(rows, "day", "l_extendedprice", "l_quantity")
+
+
+@query("weighted_medians_sql", _WEIGHTED.replace("l_shipdate::DATE::VARCHAR", "l_linenumber::VARCHAR").replace("day", "line"))
+def weighted_medians_sql(v):
+    """The aggregate as SQL has it: runs below the shuffle, merged above it."""
+    M.register(v.spark)
+    return v.spark.sql("SELECT k AS line, cue_weighted_median(values, weights) AS median FROM cue_runs(TABLE(SELECT CAST(l_linenumber AS STRING), l_extendedprice, l_quantity FROM {lineitem})) GROUP BY k", lineitem=v.lineitem)
+
+
+_ANSWERED = "SELECT o_orderpriority AS build, o_orderstatus AS split, CASE WHEN o_orderkey % 41 > 0 THEN round(o_totalprice / 50) END AS angle FROM orders"
+
+
+@query("answer_sketches", f"SELECT split, count(angle) AS n, true AS count_holds, true AS median_holds, true AS merge_holds FROM ({_ANSWERED}) x GROUP BY split")
+def answer_sketches(v):
+    """States of each build and split, merged by split and through builds: different answers and median within the sketches' errors of what
+    an exact count says."""
+    k = F.col("o_orderkey")
+    rows = v.orders.select(F.col("o_orderpriority").alias("build"), F.col("o_orderstatus").alias("split"), F.when(k % 41 > 0, F.round(F.col("o_totalprice") / 50)).alias("angle"))
+    states = M.sketched(rows, "angle", "build", "split")
+    told = M.merged(states, "split").select("split", "n", M.distinct_answers().alias("about"), M.answer_quantile(0.5).alias("mid"))
+    again = M.merged(M.merged(states, "split", "build"), "split").select("split", M.distinct_answers().alias("about_again"))
+    exact = rows.join(told, "split").groupBy("split").agg(F.countDistinct("angle").alias("d"), F.avg((F.col("angle") <= F.col("mid")).cast("double")).alias("upto"), F.avg((F.col("angle") < F.col("mid")).cast("double")).alias("below"))
+    both = told.join(again, "split").join(exact, "split")
+    holds = (F.col("upto") >= 0.5 - M.RANK_ERROR) & (F.col("below") <= 0.5 + M.RANK_ERROR)
+    return both.select("split", "n", (F.abs(F.col("about") / F.col("d") - 1) <= 2 * M.COUNT_ERROR).alias("count_holds"), holds.alias("median_holds"), (F.abs(F.col("about_again") / F.col("about") - 1) <= M.COUNT_ERROR).alias("merge_holds"))

@@ -3,7 +3,7 @@
 Tasks write part files into a staging folder and return what they wrote; the commit moves them to their outputs and publishes one
 manifest, a new version, that names all files that count. What no manifest names does not exist for the reader: files of killed tasks,
 of attempts that lost, of jobs that failed. A job has a name, its files are named after it, and a job that was committed is never
-committed again: running it once more changes nothing. A writer that must have seen all that was there before names the version it
+committed again: running it once more changes nothing, nor does a job without a line. A writer that must have seen all that was there before names the version it
 has read; if another was published since, it fails and leaves nothing.
 
 Rows are (output, line), in any number of outputs; within a part file lines keep their order, and part files are numbered by partition.
@@ -120,7 +120,7 @@ class LinesWriter(DataSourceArrowWriter):
         parts = [p for m in messages if m is not None for p in m.parts]
         state = manifest(self.path)
         try:
-            if self.job in state["jobs"]:
+            if self.job in state["jobs"] or not parts and not self.overwrite:
                 return
             if self.expect is not None and self.expect != state["version"]:
                 raise Conflict(f"version {state['version']} was published after {self.expect}")
