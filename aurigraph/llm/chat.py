@@ -1,8 +1,12 @@
 """Roles of transcript lines by a hidden Markov model, and canonical turns.
 
 A hidden state is the role that speaks a line. What is seen of a line: a speaker marker at its start, whether it begins a turn, its
-length, and whether it asks. Emissions and the roles' order are counted over labelled turns; what markers mean is fixed. The most
-likely roles of a conversation come from Viterbi's recursion.
+length, and whether it asks. Emissions, the roles' order and how far markers can be trusted are counted over labelled turns; which
+names stand for which role is fixed. The most likely roles of a conversation come from Viterbi's recursion.
+
+Lines that look like markers are common in texts that have none: options, answers, quotes. So markers speak only in conversations that
+use them, where most turns that say something begin with one and at least two roles are named; elsewhere they are text. A marker is
+taken off where the decoded role is the marker's and a turn or another role begins there. All else stays as it is, byte for byte.
 
 A conversation may be of any length. Lines are dealt by ranges of (conversation, turn, line) into pieces of bounded size. A piece
 that a conversation runs through is one max-plus matrix from the role before it to the role after it; the matrices of the
@@ -21,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 ROLES = ("system", "user", "assistant")
 #: Names that stand for the roles, in markers and in role columns.
@@ -30,13 +34,19 @@ NAMES = {
     "user": ("user", "human", "customer", "client", "question", "you", "me", "q", "prompter"),
     "assistant": ("assistant", "ai", "bot", "agent", "model", "gpt", "answer", "support", "a", "chatbot"),
 }
-#: How much likelier a marker is under its role than under another, and a line without a turn's start under the role before it.
-MARKED, STAYS = 0.97, 0.995
+#: How often a marker names the role that speaks before any has been counted, as of so many; how likely a line within a turn, without a
+#: marker, has the role of the one before it.
+MARKED, MARKED_OF, STAYS = 0.97, 100, 0.995
+#: Conversations with markers that are broadcast at most.
+BROADCAST_ROWS = 4_000_000
 LENGTHS = 10
 PIECE_ROWS = 50_000
 
 _BY_NAME = {n: r for r, names in enumerate(NAMES.values()) for n in names}
-_MARKER = re.compile(r"^\s*(?:<\|)?\s*(?:#{1,6}\s*|\*{1,2}|\[)?\s*(?:im_start\|>\s*)?([A-Za-z]{1,14})\s*(?:\d{0,3})\s*(?:\|>|\]|\*{1,2})?\s*(:|>|-{1,2}\s|\|>|\Z)\s*", re.I)
+_NAME = r"([A-Za-z]{1,14})(?:[ ]?\d{1,3})?"
+#: A special token, a heading, bold, in brackets, before a colon or an angle, or alone on its line; one space after it is the marker's.
+_FORMS = (r"<\|im_start\|>[ ]?NAME[ ]*\r?\Z", r"<\|NAME\|>[ ]?", r"#{1,6}[ ]*NAME[ ]*(?::[ ]?|\r?\Z)", r"\*{1,2}NAME[ ]*(?::[ ]*\*{1,2}|\*{1,2}[ ]*:?)[ ]?", r"\[NAME\][ ]*:?[ ]?", r"NAME[ ]*[:>][ ]?", r"NAME[ ]*\r?\Z")
+_MARKER = re.compile(r"[ \t]*(?:" + "|".join(f.replace("NAME", _NAME) for f in _FORMS) + ")", re.I)
 
 
 def role_index(name: str | None) -> int | None:
@@ -46,7 +56,7 @@ def role_index(name: str | None) -> int | None:
 def marker(line: str) -> tuple[int | None, str]:
     """The role that a line's start names, and the line without that."""
     m = _MARKER.match(line)
-    if m and m[2] and (role := role_index(m[1])) is not None:
+    if m and (role := role_index(next(g for g in m.groups() if g))) is not None:
         return role, line[m.end() :]
     return None, line
 
@@ -67,7 +77,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for conv, turn, row, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "row", "role", "text"))):
-            for i, line in enumerate((text or "").splitlines() or [""]):
+            for i, line in enumerate((text or "").split("\n")):
                 mark, symbol = seen(line, i == 0)
                 rows.append((conv, turn, row, i, line, role_index(role), mark, symbol, i == 0))
             if len(rows) > 20_000:
@@ -82,10 +92,21 @@ def lines(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     role = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
     plain = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.col(text_col).cast("string").alias("text"))
     # a row keeps its lines together; its number settles the order of equal (conversation, turn)
-    numbered = stored(plain.withColumn("row", F.monotonically_increasing_id()), "chat-rows")
-    cut = stored(numbered.mapInArrow(_cut, _LINES_SQL), "chat-lines")
+    cut = stored(plain.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut, _LINES_SQL), "chat-lines")
     pieces = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), cut.count() // PIECE_ROWS + 1)
-    return stored(cut.repartitionByRange(pieces, "conv_id", "turn", "row").withColumn("piece", F.spark_partition_id()), "chat-pieces")
+    dealt = stored(cut.repartitionByRange(pieces, "conv_id", "turn", "row").withColumn("piece", F.spark_partition_id()), "chat-pieces")
+    discard(cut)
+    return _with_markers(dealt)
+
+
+def _with_markers(dealt: DataFrame) -> DataFrame:
+    """dealt, with mark 0 in conversations that don't use markers. Texts stay where they are as far as BROADCAST_ROWS conversations do."""
+    says = F.col("begins") & ((F.col("mark") > 0) | (F.length(F.trim("text")) > 0))
+    use = dealt.groupBy("conv_id").agg(F.count_if(says).alias("turns"), F.count_if(F.col("begins") & (F.col("mark") > 0)).alias("marked"), F.count_distinct(F.when(F.col("mark") > 0, F.col("mark"))).alias("roles"))
+    using = stored(use.filter("2 * marked > turns AND roles > 1").select(F.col("conv_id").alias("using"), F.lit(True).alias("uses")), "chat-using")
+    small = using.count() <= BROADCAST_ROWS
+    met = dealt.join(F.broadcast(using) if small else using, F.col("conv_id").eqNullSafe(F.col("using")), "left")
+    return met.withColumn("mark", F.when(F.col("uses"), F.col("mark")).otherwise(0)).drop("using", "uses")
 
 
 def _ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
@@ -97,12 +118,12 @@ def _ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 
 class Model:
-    def __init__(self, start: np.ndarray, turn: np.ndarray, emit: np.ndarray):
+    def __init__(self, start: np.ndarray, turn: np.ndarray, emit: np.ndarray, marked: float = MARKED):
         n = len(ROLES)
         self.start, self.turn, self.emit = np.log(start), np.log(turn), np.log(emit)
         self.stay = np.log(np.where(np.eye(n, dtype=bool), STAYS, (1 - STAYS) / (n - 1)))
-        marks = np.full((n, n + 1), (1 - MARKED) / n)
-        marks[np.arange(n), np.arange(n) + 1] = MARKED
+        marks = np.full((n, n + 1), (1 - marked) / n)
+        marks[np.arange(n), np.arange(n) + 1] = marked
         marks[:, 0] = 1.0  # no marker says nothing
         self.marks = np.log(marks)
 
@@ -118,7 +139,7 @@ class Model:
 
 _COUNTED = "kind int, i int, j int, n long, piece int, first long, last long, one boolean"
 #: Kinds of counted rows, and what a piece's edge may be besides a role: a line of unknown role, or nothing that tells.
-EMITS, FOLLOWS, STARTS, EDGES = range(4)
+EMITS, FOLLOWS, STARTS, MARKS, EDGES = range(5)
 UNKNOWN, NOTHING = -1, -2
 
 
@@ -127,7 +148,8 @@ def _counted(t: pa.Table) -> pa.Table:
     with (j), and whether the piece's first line is a known turn's start (n)."""
     n = len(ROLES)
     t, starts = _ordered(t)
-    known, begins, symbol = (t.column(c).to_pylist() for c in ("known", "begins", "symbol"))
+    known, begins, symbol, mark = (t.column(c).to_pylist() for c in ("known", "begins", "symbol", "mark"))
+    told = [(k == m - 1, 1) for k, m in zip(known, mark) if k is not None and m]
     emit, turn, start = np.zeros((n, SYMBOLS), int), np.zeros((n, n), int), np.zeros(n, int)
     opens, last, head = set(starts.tolist()), NOTHING, NOTHING
     for i, (k, b, s) in enumerate(zip(known, begins, symbol)):
@@ -149,6 +171,7 @@ def _counted(t: pa.Table) -> pa.Table:
             head = last
     rows = [(EMITS, i, j, int(emit[i, j])) for i in range(n) for j in range(SYMBOLS) if emit[i, j]]
     rows += [(FOLLOWS, i, j, int(turn[i, j])) for i in range(n) for j in range(n) if turn[i, j]] + [(STARTS, i, 0, int(start[i])) for i in range(n) if start[i]]
+    rows += [(MARKS, right, 0, n) for right, n in ((1, sum(r for r, _ in told)), (0, sum(not r for r, _ in told))) if n]
     rows.append((EDGES, head, last, int(known[0] is not None and bool(begins[0]))))
     ids = t.column("conv_id")
     columns = [*zip(*rows), [t.column("piece")[0].as_py()] * len(rows), [ids[0].as_py()] * len(rows), [ids[-1].as_py()] * len(rows), [len(starts) == 1] * len(rows)]
@@ -159,15 +182,18 @@ def train(lined: DataFrame) -> Model:
     """Counts over all lines whose role is known, and over the order of roles, within pieces and over their ends. However the lines
     are dealt into pieces, the counts are the same. Only lines' features move, not their texts."""
     n = len(ROLES)
-    narrow = lined.select("piece", "conv_id", "turn", "row", "line", "known", "begins", "symbol")
+    narrow = lined.select("piece", "conv_id", "turn", "row", "line", "known", "begins", "mark", "symbol")
     counted = stored(narrow.groupBy("piece").applyInArrow(_counted, _COUNTED), "chat-counts")
     counts = counted.filter(F.col("kind") < EDGES).groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect()  # kinds times symbols
     emit, turn, start = np.ones((n, SYMBOLS)), np.ones((n, n)), np.ones(n)
+    right, told = MARKED * MARKED_OF, MARKED_OF
     for kind, i, j, c in counts:
         if kind == EMITS:
             emit[i, j] += c
         elif kind == FOLLOWS:
             turn[i, j] += c
+        elif kind == MARKS:
+            right, told = right + i * c, told + c
         else:
             start[i] += c
     before, held = object(), NOTHING
@@ -181,7 +207,7 @@ def train(lined: DataFrame) -> Model:
         if not (r["one"] and runs_on and r["j"] == NOTHING):  # else the piece is all of one turn, which goes on
             held = r["j"]
         before = r["last"]
-    return Model(start / start.sum(), turn / turn.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    return Model(start / start.sum(), turn / turn.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), right / told)
 
 
 _FLOATS = pa.list_(pa.float64())
@@ -261,19 +287,23 @@ def _viterbi(model: Model, begins: np.ndarray, mark: np.ndarray, symbol: np.ndar
 
 
 def _rendered(t: pa.Table, roles: list[int]) -> pa.Table:
-    """A row for each run of a turn's lines that one role speaks; t is in order."""
+    """A row for each run of a turn's lines that one role speaks; t is in order. A marker goes where its role begins to speak, and a line
+    that is nothing but such a marker goes with it."""
     out: list[list] = []
     at = None
-    for conv, turn, row, text, known, role in zip(*(t.column(c).to_pylist() for c in ("conv_id", "turn", "row", "text", "known")), roles):
-        body = marker(text)[1].strip()
-        if row == at and out[-1][3] == role:
+    for conv, turn, row, text, known, mark, role in zip(*(t.column(c).to_pylist() for c in ("conv_id", "turn", "row", "text", "known", "mark")), roles):
+        goes_on = row == at and out[-1][3] == role
+        taken = mark == role + 1 and not goes_on
+        body = marker(text)[1] if taken else text
+        kept = [] if taken and not body.strip() else [body]
+        if goes_on:
             out[-1][5] += 1
-            out[-1][6].append(body)
+            out[-1][6] += kept
         else:
-            out.append([conv, turn, out[-1][2] + 1 if row == at else 0, role, known, 1, [body]])
+            out.append([conv, turn, out[-1][2] + 1 if row == at else 0, role, known, 1, kept])
         at = row
     columns = list(zip(*out))
-    texts = [f"<|{ROLES[r[3]]}|>\n" + "\n".join(x for x in r[6] if x) + "\n<|end|>" for r in out]
+    texts = [f"<|{ROLES[r[3]]}|>\n" + "\n".join(r[6]) + "\n<|end|>" for r in out]
     return pa.table({
         "conv_id": pa.array(columns[0], pa.int64()), "turn": pa.array(columns[1], pa.int64()), "part": pa.array(columns[2], pa.int64()), "role": [ROLES[r] for r in columns[3]],
         "known_role": pa.array([None if k is None else ROLES[k] for k in columns[4]], pa.string()), "n_lines": pa.array(columns[5], pa.int64()), "rendered": texts,
@@ -304,7 +334,8 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     """recover() of conversations: (conv_id, turn, part, role, known_role, n_lines, rendered).
 
     Roles are learned from all labelled turns and recovered from the lines alone; known_role is given for comparison. A null
-    text is one empty line; rows of null ids are one conversation, the first, in order of null turns, turns and rows; equal
+    text is one empty line; lines end at \\n only, and what isn't a marker of a conversation that uses markers is rendered as it is;
+    rows of null ids are one conversation, the first, in order of null turns, turns and rows; equal
     (conv_id, turn) rows follow one another; unknown roles teach nothing. Without labelled turns only markers and turn starts
     speak. An empty table gives no rows; other columns play no part.
     """

@@ -865,3 +865,43 @@ def test_mixing_odd_rows(odd, empty):
     out = mixing.mix(odd)
     assert out.columns == odd.columns and out.count() == sum(r.copies for r in rows)
     assert mixing.mixture(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def rendered(rows) -> dict:
+    out = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.conv_id, r.turn, r.part)):
+        body = r.rendered.removeprefix(f"<|{r.role}|>\n").removesuffix("\n<|end|>")
+        out[r.conv_id, r.turn].append((r.role, body))
+    return out
+
+
+def test_chat_loses_no_text(spark):
+    """Code, options, answers and quotes that look like markers, in conversations that have none."""
+    talk = [
+        (1, 0, "user", "Pick one:\nA: Paris\nB: Rome"), (1, 1, "assistant", "def f():\n    return 1\n\nprint(f())"), (1, 2, "user", "Support: call 911"), (1, 3, "assistant", "Answer: 42\nModel: T5"),
+        (2, 0, "user", "You > me"), (2, 1, "assistant", "a - b"), (2, 2, "user", "Me: x"), (2, 3, "assistant", "  indented\r\n\n\ttab\x85next sep\x1c end \n"),
+        (3, 0, "user", "Q: one?\nA: 1\nQ: two?"), (3, 1, "assistant", "2"),
+    ]
+    found = rendered(chat.format_chats(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect())
+    for conv, turn, _, text in talk:
+        assert len(found[conv, turn]) == 1 and found[conv, turn][0][1] == text, (conv, turn, found[conv, turn])
+
+
+@pytest.mark.parametrize("form", ["<|im_start|>{0}\n{1}", "### {0}\n{1}", "**{0}:** {1}", "[{0}] {1}", "{0}: {1}", "{0}\n{1}", "## {0}: {1}"])
+def test_chat_markers_in_every_form(spark, form):
+    """Transcripts in one row each: markers go, roles are found, other lines stay."""
+    lines_ = [("User", "how are you?"), ("Assistant", "well:\n\n  - Note: a list\n  - b"), ("User", "and now?"), ("Assistant", "still well")]
+    merged = "\n".join(form.format(name, text) for name, text in lines_)
+    found = rendered(chat.format_chats(spark.createDataFrame([(1, 0, None, merged)], "conv_id long, turn long, role string, text string")).collect())
+    assert found[1, 0] == [("user", "how are you?"), ("assistant", "well:\n\n  - Note: a list\n  - b"), ("user", "and now?"), ("assistant", "still well")]
+
+
+def test_chat_roles_of_held_out_conversations(spark):
+    """Roles of conversations that taught nothing, from features alone."""
+    from pyspark.sql import functions as F
+
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").withColumn("held", F.crc32(F.col("conv_id").cast("string")) % 5 == 0)
+    lined = chat.lines(talks.withColumn("role", F.when(~F.col("held"), F.col("role"))))
+    found = chat.recover(lined, chat.train(lined)).filter("part = 0").join(talks.filter("held").select("conv_id", "turn", F.col("role").alias("true")).distinct(), ["conv_id", "turn"]).collect()
+    known = [r for r in found if chat.role_index(r.true) is not None]
+    assert sum(chat.ROLES[chat.role_index(r.true)] == r.role for r in known) > 0.95 * len(known)
