@@ -9,8 +9,7 @@ from ..functions import arrays as A
 from ..functions import geometry as G
 from ..functions import numfmt as N
 from ..functions import text as T
-from .score import one_each
-from .signals import spread
+from .score import read_each
 
 TOLERANCE_DEG = 5.0
 
@@ -25,7 +24,7 @@ def prose(azimuths: Column) -> Column:
 
 def score(items: DataFrame, answers: DataFrame) -> DataFrame:
     """items (item_id, azimuths) with predicted azimuths, matches and the flags; a missing answer predicts nothing."""
-    read = one_each(spread(answers.select("item_id", "answer"))).withColumn("said", T.signed_azimuths(F.coalesce("answer", F.lit(""))))
+    read = read_each(answers, {"said": T.signed_azimuths(F.coalesce("answer", F.lit("")))})
     told = items.join(read, "item_id", "left").withColumn("predicted", F.coalesce("said", F.array().cast("array<double>"))).drop("said")
     return flagged(told)
 

@@ -19,27 +19,44 @@ TOLERANCE_DEG = 5.0
 SIDES = ("left", "right", "center")
 
 
-def one_each(answers: DataFrame, order: str | None = None) -> DataFrame:
-    """(item_id, answer): the last answer of each item by `order`, or the greatest where nothing orders them, so that a repeated
-    answer does not repeat its item."""
-    last = F.max_by("answer", order) if order else F.max("answer")
-    return answers.groupBy("item_id").agg(last.alias("answer"))
+#: Ids with several answers that are broadcast at most.
+BROADCAST_ROWS = 4_000_000
 
 
-def score(items: DataFrame, answers: DataFrame, order: str | None = None) -> DataFrame:
-    """A row for each item: a missing answer counts as an empty one, and what is not answered is wrong.
+def read_each(answers: DataFrame, said: dict[str, Column], order: str | None = None) -> DataFrame:
+    """(item_id, *said): what the last answer of each item says, so that a repeated answer doesn't repeat its item.
 
-    Texts are read where the answers are, spread over the cores if their table is small, and only what they say goes to the items.
+    said is read where the answers are, spread over the cores if their table is small, and only that goes to the items. The last answer
+    is that of the greatest `order`, of equal ones by a hash of the text. Where nothing orders them the greatest text counts, so the texts
+    of items with several answers move as well; ids alone tell which these are.
     """
-    told = one_each(spread(answers.select("item_id", "answer", *([order] if order else []))), order)
-    read = told.withColumn("claim", T.final_azimuth(F.coalesce("answer", F.lit("")))).withColumn("predicted", T.signed(F.col("claim")))
+    rows = spread(answers.select("item_id", "answer", *([order] if order else [])))
+    found = F.struct(*[c.alias(n) for n, c in said.items()])
+    if order:
+        place = F.struct(order, F.xxhash64("answer"))
+        return rows.select("item_id", found.alias("said"), place.alias("place")).groupBy("item_id").agg(F.max_by("said", "place").alias("said")).select("item_id", "said.*")
+    several = answers.groupBy("item_id").count().filter("count > 1").select("item_id")
+    n = several.count()
+    if not n:
+        return rows.select("item_id", found.alias("said")).select("item_id", "said.*")
+    met = rows.join(F.broadcast(several.withColumn("several", F.lit(True))) if n <= BROADCAST_ROWS else several.withColumn("several", F.lit(True)), "item_id", "left")
+    text = F.when(F.col("several"), F.coalesce("answer", F.lit("")))
+    moved = met.select("item_id", found.alias("said"), F.coalesce(text, F.lit("")).alias("place"))
+    return moved.groupBy("item_id").agg(F.max_by("said", "place").alias("said")).select("item_id", "said.*")
+
+
+def score(items: DataFrame, answers: DataFrame, order: str | None = None, texts: bool = False) -> DataFrame:
+    """A row for each item: a missing answer counts as an empty one, and what is not answered is wrong. The text of the answer that
+    counts is a column only if asked for."""
+    said = {"claim": T.final_azimuth(F.coalesce("answer", F.lit("")))} | ({"answer": F.col("answer")} if texts else {})
+    read = read_each(answers, said, order).withColumn("predicted", T.signed(F.col("claim")))
     return flagged(items.join(read, "item_id", "left"))
 
 
 def score_verified(items: DataFrame, evidence: DataFrame, answers: DataFrame, order: str | None = None) -> DataFrame:
     """score() with all_passed and inference_passed of each answer against the item's evidence; null for items without evidence."""
     measured = evidence.drop("azimuth").withColumn("measured", F.lit(True))
-    checked = V.verify(score(items, answers, order).withColumn("transcript", F.coalesce("answer", F.lit(""))).join(measured, "item_id", "left"))
+    checked = V.verify(score(items, answers, order, texts=True).withColumn("transcript", F.coalesce("answer", F.lit(""))).join(measured, "item_id", "left"))
     return checked.withColumns({c: F.when(F.col("measured"), F.col(c)) for c in ("all_passed", "inference_passed")}).drop("transcript", "measured", "unparseable")
 
 
@@ -137,7 +154,8 @@ def front_end_baseline(items: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def stated(items: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
     """(item_id, ..., true_side, said): by the first side word. inner drops items without an answer, left keeps them."""
-    return items.join(one_each(answers), "item_id", how).withColumn("true_side", G.side(F.col("azimuth"))).withColumn("said", T.stated_side(F.coalesce("answer", F.lit(""))))
+    said = read_each(answers, {"said": T.stated_side(F.coalesce("answer", F.lit("")))})
+    return items.join(said, "item_id", how).withColumn("true_side", G.side(F.col("azimuth")))
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -162,8 +180,8 @@ def macro_f1(said: Column, true: Column) -> Column:
 
 def paired(items: DataFrame, cue: DataFrame, audio: DataFrame) -> DataFrame:
     """Items with both conditions' correctness by side, missing answers being wrong."""
-    angles = one_each(spread(cue)).select("item_id", T.signed_azimuth(F.coalesce("answer", F.lit(""))).alias("angle"))
-    sides = one_each(spread(audio)).select("item_id", T.stated_side(F.coalesce("answer", F.lit(""))).alias("side_said"))
+    angles = read_each(cue, {"angle": T.signed_azimuth(F.coalesce("answer", F.lit("")))})
+    sides = read_each(audio, {"side_said": T.stated_side(F.coalesce("answer", F.lit("")))})
     both, true = items.join(angles, "item_id", "left").join(sides, "item_id", "left"), G.side(F.col("azimuth"))
     told = both.withColumn("true_side", true).withColumn("cue_correct", F.coalesce(G.side(F.col("angle")) == true, F.lit(False)) & F.col("angle").isNotNull()).withColumn("audio_correct", F.coalesce(F.col("side_said") == true, F.lit(False)))
     return told.drop("angle", "side_said")
