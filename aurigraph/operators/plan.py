@@ -20,11 +20,16 @@ def instrument_name(code: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in INSTRUMENTS.items() for x in pair]), code)
 
 
-def parse_stems(df: DataFrame, name: str) -> DataFrame:
-    """df with track, code, piece_number, piece and instrument from file names; names of another form go."""
+def parse_stems(df: DataFrame, name: str, strict: bool = True) -> DataFrame:
+    """df with track, code, piece_number, piece and instrument from file names. A name of another form and a code that names no
+    instrument are errors; with strict off such names go, and such instruments are null."""
     parts = {"track": (1, "int"), "code": (2, "string"), "piece_number": (3, "int"), "piece": (4, "string")}
-    fit = df.filter(F.col(name).rlike(STEM))
-    return fit.withColumns({k: F.regexp_extract(name, STEM, i).cast(t) for k, (i, t) in parts.items()}).withColumn("instrument", instrument_name(F.col("code")))
+    fits = F.col(name).rlike(STEM)
+    fit = df.withColumn(name, F.when(fits, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("no name of a stem: "), F.coalesce(F.col(name), F.lit("null")))).cast("string"))) if strict else df.filter(fits)
+    told = instrument_name(F.col("code"))
+    if strict:
+        told = F.coalesce(told, F.raise_error(F.concat(F.lit("no instrument has the code "), "code")).cast("string"))
+    return fit.withColumns({k: F.regexp_extract(name, STEM, i).cast(t) for k, (i, t) in parts.items()}).withColumn("instrument", told)
 
 
 def order_key(value: Column, seed: int) -> Column:

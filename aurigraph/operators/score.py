@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import numfmt as N
 from ..functions import text as T
+from ..sources.shared import stored
 from . import verify as V
 from .signals import spread
 
@@ -218,7 +219,7 @@ def bootstrap_many(rows: DataFrame, cluster: str, samples: int, seed: int) -> Da
     """cluster_bootstrap() for any number of clusters: the draws of a replicate are a generator seeded by it, in one task, from the
     broadcast sums of the clusters. Beyond BROADCAST_CLUSTERS each cluster draws instead how often it comes into each replicate
     (Poisson), and sums are added by replicate, which has the same limit for many clusters."""
-    sums = _cluster_sums(rows, cluster)
+    sums = stored(_cluster_sums(rows, cluster), "cluster-sums")
     spark = rows.sparkSession
     order = sums.select(F.xxhash64(F.col(cluster).cast("string")).alias("h"), "n", "cue", "audio")
     if sums.count() > BROADCAST_CLUSTERS:

@@ -28,10 +28,10 @@ def exact_median(v):
     return Q.median(_prices(v), "price", limit=1000).select(F.round("median", 6).alias("median"))
 
 
-@query("exact_quantiles", f"SELECT flag, round(quantile_cont(price, 0.025), 6) AS low, round(quantile_cont(price, 0.5), 6) AS mid, round(quantile_cont(price, 0.9), 6) AS high, max(price) AS top FROM ({_PRICES}) x GROUP BY flag")
+@query("exact_quantiles", f"SELECT flag, round(quantile_cont(price, 0.025), 6) AS low, round(quantile_cont(price, 0.5), 6) AS mid, round(quantile_cont(price, 0.9), 6) AS high, round(quantile_cont(price, 0.98), 6) AS top FROM ({_PRICES}) x GROUP BY flag")
 def exact_quantiles(v):
-    found = Q.quantiles(_prices(v), "price", {"low": 0.025, "mid": 0.5, "high": 0.9, "top": 1.0}, "flag", limit=2000)
-    return found.select("flag", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")], "top")
+    found = Q.quantiles(_prices(v), "price", {"low": 0.025, "mid": 0.5, "high": 0.9, "top": 0.98}, "flag", limit=2000)
+    return found.select("flag", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high", "top")])
 
 
 @query("error_quantiles", SCORED + "SELECT instrument, round(quantile_cont(abs_error, 0.5), 6) AS median_error, round(quantile_cont(abs_error, 0.95), 6) AS p95 FROM scored GROUP BY instrument")

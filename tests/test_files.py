@@ -148,3 +148,13 @@ def test_lines_by_stretch(spark, tmp_path):
     for stretch in (1, 2, 7, 64, 1 << 20):
         got = [(r.path.rsplit("/", 1)[1], r.offset, r.line) for r in ranges.lines(spark, str(tmp_path), stretch).collect()]
         assert sorted(got) == sorted([("t.txt", o, t) for o, t in zip(starts, texts, strict=True)] + [("u.txt", 0, ""), ("u.txt", 1, "")])
+
+
+def test_unknown_stems_are_errors(spark):
+    from aurigraph.operators import plan as P
+
+    stems = spark.createDataFrame([("AuSep_1_vc_07_Piece",), ("odd",), ("AuSep_2_zz_07_Piece",)], "stem string")
+    for bad, said in (("odd", "no name of a stem: odd"), ("AuSep_2_zz_07_Piece", "no instrument has the code zz")):
+        with pytest.raises(Exception, match=said):
+            P.parse_stems(stems.filter(F.col("stem").isin("AuSep_1_vc_07_Piece", bad)), "stem").collect()
+    assert [(r.stem, r.instrument) for r in P.parse_stems(stems, "stem", strict=False).orderBy("stem").collect()] == [("AuSep_1_vc_07_Piece", "cello"), ("AuSep_2_zz_07_Piece", None)]
