@@ -141,3 +141,30 @@ def test_ridge_by_rows_and_by_moments(spark, monkeypatch, most):
         w = np.linalg.solve(xc.T @ xc + 0.7 * np.eye(4), xc.T @ yc)
         for i in np.flatnonzero(~on):
             assert got[int(i)] == pytest.approx((x[i] - x[on].mean(0)) @ w + y[on].mean())
+
+
+def exchanged(df) -> list[list[str]]:
+    """The columns that each shuffle by key moves."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+    todo = [plan.initialPlan() if "Adaptive" in plan.nodeName() else plan]
+    while todo:
+        p = todo.pop()
+        if "Exchange" in p.nodeName() and "hash" in p.outputPartitioning().toString():
+            found.append([p.output().apply(k).name() for k in range(p.output().size())])
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("order", [None, "n"])
+def test_answers_are_read_before_they_move(spark, order):
+    from aurigraph.operators import score as S
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = spark.range(50).select(F.col("id").alias("item_id"), F.lit(5.0).alias("azimuth"))
+        answers = spark.range(50).select(F.col("id").alias("item_id"), F.concat(F.lit("at 5 degrees left "), F.col("id").cast("string")).alias("answer"), F.lit(1).alias("n"))
+        moved = exchanged(S.score(items, answers, order))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved and all("answer" not in columns for columns in moved), moved
