@@ -5,8 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from aurigraph import catalog
 from aurigraph.operators import signals as K
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def plan(spark, query: str) -> str:
+    return catalog.queries()[query](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
 
 def test_signals_are_handed_on_in_parts(spark, monkeypatch):
     rows, held = spark.range(1), []
@@ -19,3 +26,7 @@ def test_signals_are_handed_on_in_parts(spark, monkeypatch):
     assert np.allclose(parts[-1].column("mono")[-1].values.to_numpy(), np.random.default_rng(499).normal(size=8192) * 0.1)
     K.pitches(rows.selectExpr("id", "array(0D) AS mono"), ["id"], 48_000, 80.0, 1000.0)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= K.PART_BYTES
+
+
+def test_reverb_joins_no_signals(spark):
+    assert "Join" not in plan(spark, "reverb")
