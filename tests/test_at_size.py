@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from aurigraph import catalog
+from aurigraph.operators import collect as C
 from aurigraph.operators import signals as K
 
 SMALL = "/root/testdata/sf0.001"
@@ -30,3 +32,9 @@ def test_signals_are_handed_on_in_parts(spark, monkeypatch):
 
 def test_reverb_joins_no_signals(spark):
     assert "Join" not in plan(spark, "reverb")
+
+
+def test_numbers_of_lists_may_be_long(spark):
+    text = "1234567.5, -98765432101, .5, +2., 1e3, 1d, 1e, NaN, , 0x10"
+    got = spark.createDataFrame([(text,)], "t string").select(C.number_list(F.col("t"))).first()[0]
+    assert got == [1234567.5, -98765432101.0, 0.5, 2.0, 1000.0, None, None, None, None, None]
