@@ -109,3 +109,26 @@ def in_ranges(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     met = asked.join(cut, [level, block])
     held = F.coalesce(F.col(value) >= F.col(low), F.lit(True)) & F.coalesce(F.col(value) <= F.col(high), F.lit(True))
     return met.filter(held).drop(level, block)
+
+
+def totals_in_ranges(points: DataFrame, ranges: DataFrame, by: str, value: str, low: str, high: str, unit: float, totals: dict[str, tuple[str, str]]) -> DataFrame:
+    """(by, *totals): what a groupBy(by) of in_ranges() gives, without a row for each pair, of which there may be as many as points times ranges.
+
+    totals: name -> (count, sum, min or max; column of points). Points are added up by value and then by block; a range takes the totals of
+    the few blocks between its ends, and of the values in the two cells at its ends those that an exact comparison finds inside. A range
+    that holds nothing has no row.
+    """
+    merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    merged = [merge[kind](f"t.{name}").alias(name) for name, (kind, _) in totals.items()]
+    own = [F.count(F.lit(1) if c == "*" else c).alias(name) if kind == "count" else merge[kind](c).alias(name) for name, (kind, c) in totals.items()]
+    values = points.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(*own).select("v", _cell(F.col("v"), unit).alias("cell"), F.struct(*totals).alias("t"))
+    first, last = F.coalesce(_cell(F.col(low), unit), F.lit(0).cast("long")), F.coalesce(_cell(F.col(high), unit), F.lit((1 << LEVELS) - 1))
+    held = ranges.filter(F.coalesce(F.col(low) <= F.col(high), F.lit(True))).select(F.col(by).alias("by"), F.col(low).alias("low"), F.col(high).alias("high"), first.alias("first"), last.alias("last"))
+    ends = held.withColumn("cell", F.explode(F.array_distinct(F.array("first", "last")))).join(values, "cell")
+    exact = ends.filter(F.coalesce(F.col("v") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("v") <= F.col("high"), F.lit(True))).select("by", "t")
+    inner = held.filter("first + 1 < last").select("by", F.explode(dyadic(F.col("first") + 1, F.col("last") - 1)).alias("b")).select("by", "b.level", "b.block")
+    used = sorted(r[0] for r in inner.select("level").distinct().collect())  # LEVELS + 1 at most
+    if used:
+        blocks = values.select(F.explode(F.array(*map(F.lit, used))).alias("level"), "cell", "t").groupBy("level", F.call_function("shiftright", F.col("cell"), F.col("level")).alias("block")).agg(F.struct(*merged).alias("t"))
+        exact = exact.unionByName(inner.join(blocks, ["level", "block"]).select("by", "t"))
+    return exact.groupBy(F.col("by").alias(by)).agg(*merged)

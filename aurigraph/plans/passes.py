@@ -49,8 +49,8 @@ def interval_join(v):
     """Customers by the ranges around suppliers' balances: nested, open at either end or both, of one value, empty."""
     k, b = F.col("s_suppkey"), F.col("s_acctbal")
     spans = v.supplier.select(k.alias("span"), F.when(k % 10 != 0, b - k % 7 * 500.0).alias("low"), F.when(k % 15 != 0, b + k % 5 * 300.0 - 200.0).alias("high"))
-    met = J.in_ranges(v.customer, spans, "c_acctbal", "low", "high", 0.01)
-    return met.groupBy("span").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("least"), F.max("c_acctbal").alias("most"), F.sum("c_custkey").alias("keys"))
+    totals = {"n": ("count", "*"), "least": ("min", "c_acctbal"), "most": ("max", "c_acctbal"), "keys": ("sum", "c_custkey")}
+    return J.totals_in_ranges(v.customer, spans, "span", "c_acctbal", "low", "high", 0.01, totals)
 
 
 #: Gauss-Jordan elimination of each group's normal equations, a column a step.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from aurigraph import catalog
 from aurigraph.operators import collect as C
+from aurigraph.operators import joins as J
 from aurigraph.operators import signals as K
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,3 +39,16 @@ def test_numbers_of_lists_may_be_long(spark):
     text = "1234567.5, -98765432101, .5, +2., 1e3, 1d, 1e, NaN, , 0x10"
     got = spark.createDataFrame([(text,)], "t string").select(C.number_list(F.col("t"))).first()[0]
     assert got == [1234567.5, -98765432101.0, 0.5, 2.0, 1000.0, None, None, None, None, None]
+
+
+def test_totals_in_ranges_are_those_of_all_pairs(spark):
+    nan = float("nan")
+    points = spark.createDataFrame([(i, x) for i, x in enumerate([-1e30, -3.25, -1.0, 0.0, 0.001, 0.004, 0.004, 0.01, 2.5, 7.0, 7.001, 1e18, nan, None])], "k long, v double")
+    ends = [None, -1e30, -3.25, -1.0, 0.0, 0.003, 0.004, 0.01, 2.0, 7.0, 1e18, nan]
+    ranges = spark.createDataFrame([(i * 100 + j, a, b) for i, a in enumerate(ends) for j, b in enumerate(ends)], "span long, low double, high double")
+    totals = {"n": ("count", "*"), "least": ("min", "v"), "most": ("max", "v"), "keys": ("sum", "k")}
+    every = ranges.join(points, F.expr("v IS NOT NULL AND (low IS NULL OR v >= low) AND (high IS NULL OR v <= high)")).groupBy("span").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum("k").alias("keys"))
+    for unit in (0.01, 3.0):
+        got = J.totals_in_ranges(points, ranges, "span", "v", "low", "high", unit, totals)
+        assert sorted(map(str, got.collect())) == sorted(map(str, every.collect()))
+    assert J.totals_in_ranges(points, ranges.limit(0), "span", "v", "low", "high", 1.0, totals).isEmpty()
