@@ -4,8 +4,9 @@ A document is its set of shingles of ``WORDS`` words. Two documents link when th
 ``SIMILARITY`` or more. Each set has ``BANDS`` keys of ``ROWS`` least hashes; a pair at the limit shares no key with a chance
 of (1 - 0.8 ** 5) ** 32, 3 in a million. Candidates are verified on their texts, so no link is below the limit.
 
-Equal sets are one node, and pairs within one component are never looked at, as only components are asked for. First every
-node is held against one hub, the one of least hash among all that share a bucket with it, which joins most of a family of
+Equal sets are one node, and pairs within one component are never looked at, as only components are asked for. The first candidates
+are SimHash fingerprints that deletion-variant signatures link, as in op1; each is checked on the texts. Near copies may be many bits
+apart, so bands find the rest. Every node is held against one hub, the one of least hash among all that share a bucket with it, which joins most of a family of
 copies; then against the hub of each of its buckets that is in another component. What is still apart in a bucket of up to
 ``DENSE`` nodes is paired. In a larger one, the nodes outside its largest component are held against all its other nodes: they are
 sent out in blocks of bounded size and the others stream past them, so that no pair but a link is ever a row. No link is lost.
@@ -67,16 +68,17 @@ def band_keys(hashes: np.ndarray, step: int = 512) -> list[int]:
 
 
 def _marks(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, same, size, keys): `same` stands for the set."""
+    """(doc_id, same, size, keys, fp): `same` stands for the set, fp is the SimHash fingerprint as a signed long."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, words) for t in utf8(batch.column("text"))]
+        texts = utf8(batch.column("text"))
+        sets, fps = [shingles(t, words) for t in texts], np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
-            names=["doc_id", "same", "size", "keys"],
+            [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(fps)],
+            names=["doc_id", "same", "size", "keys", "fp"],
         )
 
-    return by_batch(docs, work, "doc_id long, same binary, size long, keys array<long>")
+    return by_batch(docs, work, "doc_id long, same binary, size long, keys array<long>, fp long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -149,8 +151,18 @@ def _blocks(rows: DataFrame) -> Iterator[list[tuple]]:
     yield block
 
 
+def signed_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates by deletion-variant signatures; nodes: (node, fp, ...). Nodes of one fingerprint are held against the least of
+    them, and that against the least one of each fingerprint that is linked."""
+    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "neardup-fingerprints")
+    same = nodes.join(least, "fp").filter(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = [least.select(F.col("fp").alias(n), F.col("least").alias(f"node_{n}")) for n in ("a", "b")]
+    apart = simhash.links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return same.unionByName(apart)
+
+
 def components(nodes: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the nodes that have a link; nodes: (node, size, keys), docs: (doc_id, text) with each node's text."""
+    """(node, component) of the nodes that have a link; nodes: (node, size, keys, fp), docs: (doc_id, text) with each node's text."""
     bucket = Window.partitionBy("key")
     shared = nodes.select("node", "size", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(bucket)).filter("n > 1")
     packed = stored(shared.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("key").alias("keys")), "neardup-buckets")
@@ -173,8 +185,9 @@ def components(nodes: DataFrame, docs: DataFrame, words: int = WORDS, similarity
         found = near if found is None else found.unionByName(near)
         known = stored(connected_components(found), "neardup-components")
 
-    one = rows().withColumn("top", top).groupBy("node", "size").agg(F.min("top").alias("top")).select("node", "size", "top.*")
-    check(one.filter(F.col("node") != F.col("hub")).filter(fits("size", "hub_size")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    check(signed_pairs(nodes))
+    one = rows().withColumn("top", top).groupBy("node", "size", "component").agg(F.min("top").alias("top")).select("node", "size", "component", "top.*")
+    check(one.filter(F.col("component") != F.col("hub_component")).filter(fits("size", "hub_size")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
     each = rows().withColumn("top", top).select("node", "size", "component", "top.*").filter(F.col("component") != F.col("hub_component"))
     check(each.filter(fits("size", "hub_size")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
     # buckets that still hold several components
@@ -205,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = stored(_marks(plain, words), "neardup-marks")
     firsts = stored(marks.groupBy("same").agg(F.min("doc_id").alias("node")), "neardup-nodes")
-    nodes = marks.join(firsts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "size", "keys")
+    nodes = marks.join(firsts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "size", "keys", "fp")
     groups = components(nodes, plain, words, similarity)
     sized = marks.groupBy("same").agg(F.count("*").alias("n"))
     known = stored(firsts.join(groups, "node", "left").join(sized, "same").select("same", F.coalesce("component", "node").alias("component_id"), "n"), "neardup-known")

@@ -20,8 +20,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share 0.8 of their five-word shingles stays: the first row of its smallest doc_id.
 
     Repeated rows of that id are one document. Rows without an id name no group and stay where no other row of the group has one.
-    Null and wordless texts are one group. Candidates come from MinHash bands and not from SimHash, whose fingerprints of such texts
-    differ in about ten of 64 bits; every link is an exact similarity of the texts.
+    Null and wordless texts are one group. Candidates come from the deletion-variant signatures of SimHash fingerprints, as in op1, and, as
+    fingerprints of such texts differ in about ten of 64 bits, from MinHash bands as well; every link is an exact similarity of the texts.
     """
     return neardup.one_of_each(docs)
 

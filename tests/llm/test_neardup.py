@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as P
 import pytest
 from aurigraph.llm import neardup, simhash
+from pyspark.sql import functions as F
 
 
 def _shingles(text: str) -> set[str]:
@@ -62,3 +63,20 @@ def test_stage_drops_planted_near_copies(spark):
     kept = P.near_dedup(spark, rows, "")
     assert kept.columns == rows.columns
     assert {r.doc_id for r in kept.collect()} == set(_components(texts).values())
+
+
+def test_signatures_find_candidates_of_the_stage(spark, monkeypatch):
+    """Near copies within op1's bits are found without any band, and a link of fingerprints alone is none."""
+    monkeypatch.setattr(neardup, "band_keys", lambda hashes: [])
+    texts = _planted()
+    bits = lambda a, b: (simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count()
+    near = [(a, b) for a in texts for b in texts if a < b and texts[a].split() and bits(a, b) <= 2]
+    assert near
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    nodes = rows.filter(F.trim("text").rlike(r"\S")).select(F.col("doc_id").alias("node"), F.lit(0).alias("size"), F.array().cast("array<long>").alias("keys"), F.col("doc_id").alias("row"))
+    marked = nodes.join(simhash.fingerprints(rows).withColumnRenamed("doc_id", "node"), "node")
+    found = {(r.node, r.component) for r in neardup.components(marked, rows).collect()}
+    of = dict(found)
+    assert all(of.get(a) == of.get(b) is not None for a, b in near if _similar(texts[a], texts[b]) >= 0.8)
+    plain = _components(texts)
+    assert found and all(plain[node] == plain[component] for node, component in found)
