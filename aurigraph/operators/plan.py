@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import numfmt as N
+from .signals import spread
 
 #: Instrument names by code.
 INSTRUMENTS = {"vn": "violin", "va": "viola", "vc": "cello", "db": "double bass", "fl": "flute", "ob": "oboe", "cl": "clarinet", "sax": "saxophone", "bn": "bassoon", "tpt": "trumpet", "hn": "horn", "tbn": "trombone", "tba": "tuba"}
@@ -61,14 +62,16 @@ def uncovered(groups: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").unionByName(b.join(a, key, "left_anti"))
 
 
-def render_plans(stems: DataFrame, splits: DataFrame, angles: list[float], recipes: list, clip_s: float, key: str = "piece_id") -> DataFrame:
-    """Stem x angle x recipe of the stems that are long enough. Angles and recipes are literals, so nothing but the small
-    splits is joined and each stem's rows are made where the stem is."""
+def render_plans(stems: DataFrame, splits: DataFrame, angles: list[float], recipes: list, clip_s: float, key: str = "piece_id", more: dict[str, Column] | None = None) -> DataFrame:
+    """Stem x angle x recipe of the stems that are long enough, made where the stem is, over all cores. What hangs on angle and recipe alone
+    (labels, and `more`: columns over azimuth and processing) is told once for each pair of them, in a small table that is broadcast."""
     steps = [F.array(*[F.struct(F.lit(kind).alias("kind"), F.create_map(*[F.lit(x) for p in params.items() for x in p]).cast("map<string,double>").alias("params")) for kind, params in r]).cast("array<struct<kind: string, params: map<string, double>>>") for r in recipes]
-    long_enough = stems.filter(F.col("frames") >= clip_s * F.col("sample_rate")).join(splits, key)
-    grid = long_enough.withColumn("azimuth", F.explode(F.array(*map(F.lit, angles)))).withColumn("processing", F.explode(F.array(*steps)))
-    base = F.concat(F.col("stem_id").cast("string"), F.lit("_amp_"), N.angle_label(F.col("azimuth")), F.lit("_0ms"))
-    return grid.withColumn("render_id", F.when(F.size("processing") == 0, base).otherwise(F.concat(base, F.lit("_"), N.processing_label(F.col("processing")))))
+    long_enough = spread(stems).filter(F.col("frames") >= clip_s * F.col("sample_rate")).join(splits, key)
+    base = F.concat(F.lit("_amp_"), N.angle_label(F.col("azimuth")), F.lit("_0ms"))
+    ending = F.when(F.size("processing") == 0, base).otherwise(F.concat(base, F.lit("_"), N.processing_label(F.col("processing"))))
+    pairs = stems.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, angles))).alias("azimuth")).select("azimuth", F.explode(F.array(*steps)).alias("processing"))
+    grid = pairs.withColumns({"ending": ending} | (more or {}))
+    return long_enough.crossJoin(F.broadcast(grid)).withColumn("render_id", F.concat(F.col("stem_id").cast("string"), "ending")).drop("ending")
 
 
 def padded(number: Column, digits: int = 5) -> Column:

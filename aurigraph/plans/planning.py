@@ -58,8 +58,8 @@ PLANS = _SPLIT + f""", plans AS (SELECT s.stem_id, s.piece_id, p.split, CAST(a.a
 """
 
 
-def _plans(v):
-    return P.render_plans(v.stems, _splits(v), ANGLES, RECIPES, CLIP_S)
+def _plans(v, **more):
+    return P.render_plans(v.stems, _splits(v), ANGLES, RECIPES, CLIP_S, more=more)
 
 
 @query("render_plan_expand", PLANS + "SELECT stem_id, split, azimuth, render_id FROM plans")
@@ -74,7 +74,7 @@ def opaque_ids(v):
 
 @query("expected_cues", PLANS + """SELECT render_id, round(CASE WHEN r = 2 THEN degrees(atan(1.2 * tan(radians(azimuth)))) ELSE azimuth END, 6) + 0.0 AS azimuth_deg, CASE WHEN r = 3 THEN 300.0 ELSE 0.0 END AS itd_us, CASE WHEN r = 3 THEN 'delayed' ELSE 'amplitude' END AS regime, true AS coherence_stays_high FROM plans""")
 def expected_cues(v):
-    done = _plans(v).withColumn("e", G.expected_cues(F.col("azimuth"), F.col("processing")))
+    done = _plans(v, e=G.expected_cues(F.col("azimuth"), F.col("processing")))
     return done.select("render_id", (F.round("e.azimuth_deg", 6) + 0.0).alias("azimuth_deg"), "e.itd_us", "e.regime", "e.coherence_stays_high")
 
 

@@ -52,3 +52,9 @@ def test_totals_in_ranges_are_those_of_all_pairs(spark):
         got = J.totals_in_ranges(points, ranges, "span", "v", "low", "high", unit, totals)
         assert sorted(map(str, got.collect())) == sorted(map(str, every.collect()))
     assert J.totals_in_ranges(points, ranges.limit(0), "span", "v", "low", "high", 1.0, totals).isEmpty()
+
+
+def test_grid_tells_its_cues_once(spark):
+    for query in ("expected_cues", "render_plan_expand"):
+        above, found, grid = plan(spark, query).partition("Join Cross")
+        assert found and "lambda" not in above
