@@ -88,8 +88,8 @@ def dense_examples(v):
     """Synthetic cue examples for every order, between the grid's angles; where a first draw is too near one, SQL leaves its azimuth open.
     Each target states the azimuth that it was made for."""
     grid = [float(a) for a in range(-25, 30, 5)]
-    angles = K.per_row(v.orders.select(F.col("o_orderkey").alias("id")), ["id"], ["id"], lambda i: {"azimuth": C.draw_clear(i, grid, 7, 25.0), "first": C.draw_clear(i, [], 7, 25.0)}, "azimuth double, first double")
-    made = C.dense_examples(angles, ["a.wav", "b.wav", "c.wav"], ["cello", "flute"]).join(angles.select("id", "first"), "id")
+    angles = K.per_row(K.spread(v.orders).select(F.col("o_orderkey").alias("id")), ["id"], ["id"], lambda i: {"azimuth": C.draw_clear(i, grid, 7, 25.0), "first": C.draw_clear(i, [], 7, 25.0)}, "azimuth double, first double")
+    made = C.dense_examples(angles, ["a.wav", "b.wav", "c.wav"], ["cello", "flute"], keep=("first",))
     clear = F.abs(F.col("first") - F.round(F.col("first") / 5) * 5) > 0.2
     said = F.abs(T.signed_azimuth(F.col("target")) - F.col("azimuth")) <= 1
     return made.select("id", F.when(clear, F.round("azimuth", 6)).alias("azimuth"), "audio_path", "instrument", said.alias("reads_back"))

@@ -58,3 +58,7 @@ def test_grid_tells_its_cues_once(spark):
     for query in ("expected_cues", "render_plan_expand"):
         above, found, grid = plan(spark, query).partition("Join Cross")
         assert found and "lambda" not in above
+
+
+def test_dense_examples_are_drawn_once(spark):
+    assert "Join" not in plan(spark, "dense_examples")
