@@ -69,7 +69,7 @@ def quantiles(df: DataFrame, value: str, at: dict[str, float], *by: str, limit:
     """A row for each group of `by` (one row without any) with a column for each name of `at`: the quantile of that share, linear between
     neighbouring ranks. Nulls are left out, NaN is above all numbers, a group without values has nulls; null keys are a group.
     """
-    rows = df.select(F.struct(F.lit(0).alias("all"), *by).alias("g"), F.col(value).cast("double").alias("v"))
+    rows = stored(df.select(F.struct(F.lit(0).alias("all"), *by).alias("g"), F.col(value).cast("double").alias("v")), "quantile-numbers")  # read in each pass
     counts = rows.groupBy("g").agg(F.count("v").alias("n"), F.count_if(~F.isnan("v") & F.col("v").isNotNull()).alias("m"))
     counts = stored(counts, "quantile-counts")
     shares = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in at.items()]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from aurigraph import catalog
 from aurigraph.operators import collect as C
 from aurigraph.operators import joins as J
+from aurigraph.operators import quantiles as Q
 from aurigraph.operators import signals as K
 
 SMALL = "/root/testdata/sf0.001"
@@ -62,3 +63,10 @@ def test_grid_tells_its_cues_once(spark):
 
 def test_dense_examples_are_drawn_once(spark):
     assert "Join" not in plan(spark, "dense_examples")
+
+
+def test_quantiles_read_their_numbers_once(spark):
+    rows = spark.range(1000).selectExpr("id % 3 AS k", "CAST(id AS DOUBLE) * 7 % 101 AS x")
+    found = Q.quantiles(rows, "x", {"m": 0.5}, "k")
+    assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.groupBy("k").agg(F.percentile("x", F.lit(0.5))).collect()))
