@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,19 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write, a checkpoint or a collect deletes the shuffle files that it made as soon as it has ended, instead of whenever the
+    driver's garbage is next collected. For steps that store what they make: a frame that is run once more makes its shuffles anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or with underscores after it, such that df has no column of that name."""
     taken = {c.lower() for c in df.columns}

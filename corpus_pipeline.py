@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from aurigraph.llm import decontaminate, mixing, neardup, quality, sharding
-from aurigraph.llm.common import discard, stored, table
+from aurigraph.llm.common import discard, shuffles_dropped, stored, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        made = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        discard(docs)  # the stage before, once this one is written
-        docs = made
+    with shuffles_dropped(spark):
+        for name, stage in STAGES[:-1]:
+            made = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            discard(docs)  # the stage before, once this one is written
+            docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
