@@ -292,12 +292,12 @@ _LAST = "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'It is at 5 degrees to t
     SCORED.replace("{answers}", "last_answers").replace("WITH texts AS", f"WITH last_answers AS ({_LAST}), texts AS", 1) + f"SELECT {REPORT} FROM scored",
 )
 def streamed_report(v):
-    """Answers that come in three files and two runs, a fourth of them again in a later file and some once more out of order; each item's last one counts."""
+    """Answers that come in three parts and two runs, a fourth of them again in a later part and some once more out of order; each item's last one counts."""
     source, log = shared.folder(v.spark, "arrivals"), shared.folder(v.spark, "log")
     again = v.answers.filter("item_id % 4 = 0").select("item_id", F.lit("It is at 5 degrees to the left.").alias("answer"))
     parts = [v.answers.withColumn("place", F.lit(2).cast("long")), again.withColumn("place", F.lit(3).cast("long")), v.answers.filter("item_id % 8 = 0").select("item_id", F.lit("It is at 20 degrees to the right.").alias("answer"), F.lit(1).cast("long").alias("place"))]
     for part, last in zip(parts, (True, False, True), strict=True):
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.write.mode("append").parquet(source)
         if last:
             answers.collect(events.read(v.spark, source, "item_id long, answer string, place long"), log, f"{log}-checkpoint")
     return answers.report(v.items, log)

@@ -1,6 +1,6 @@
 """Answers that arrive as a stream and may come again: of each item the last one counts, as in the batch report.
 
-The state of an item is the place of its last answer, kept for a time to live; an arrival that is not later than that changes nothing.
+The state of an item is its last answer, an aggregate that Spark keeps for a time to live; an arrival that is not later changes nothing.
 What changes is appended to a committed log, a job for each batch of the query, so a batch that runs again after a failure adds nothing.
 The report reads the last entry of each item from the log and joins it to the items, so an item counts once, and without an answer too.
 When an item's state has expired an old answer can enter the log again, but not the report, which goes by the place as well.
@@ -8,77 +8,44 @@ When an item's state has expired an old answer can enter the log again, but not
 
 from __future__ import annotations
 
-import time
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import score as S
 from ..sources import committed
 
 CHANGES = "item_id long, place long, answer string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: How long the place of an item's last answer is remembered.
+#: How long the place of an item's last answer is remembered, at least; at most twice that time.
 TTL_MS = 7 * 24 * 3600 * 1000
 
 
-class LastAnswer(StatefulProcessor):
-    """One row for an item when a later answer has come."""
-
-    def __init__(self, ttl_ms: int = TTL_MS):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "place long, answer string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in rows:
-            for place, answer in zip(part["place"].tolist(), part["answer"].tolist(), strict=True):
-                if best is None or (place, answer or "") > (best[0], best[1] or ""):
-                    best = (place, answer)
-        known = self.last.get() if self.last.exists() else None
-        if best is not None and (known is None or (best[0], best[1] or "") > (known[0], known[1] or "")):
-            self.last.update(best)
-            yield pd.DataFrame({"item_id": [key[0]], "place": [best[0]], "answer": [best[1]]})
-
-    def close(self) -> None:
-        pass
-
-
 def changes(answers: DataFrame, order: str = "place", ttl_ms: int = TTL_MS) -> DataFrame:
-    """The stream (item_id, place, answer) of answers later than what an item had; equal places go by the text."""
+    """The stream (item_id, place, answer) of answers later than what an item had; equal places go by the text.
+
+    Time is the time of the batch, in slots as long as the time to live. An answer belongs to the windows of two slots that begin with its
+    slot and with the one before. It is told when it is the last of the latter window and came with this batch, so what an item had in
+    this slot and in the one before is remembered, and a window is dropped once it has ended.
+    """
     answers.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    told = answers.select(F.col("item_id").cast("long").alias("item_id"), F.col(order).cast("long").alias("place"), "answer")
-    return told.groupBy("item_id").transformWithStateInPandas(LastAnswer(ttl_ms), CHANGES, "Update", "ProcessingTime")
+    told = answers.select(F.col("item_id").cast("long").alias("item_id"), F.col(order).cast("long").alias("place"), "answer", F.current_timestamp().alias("arrived")).withWatermark("arrived", "0 seconds")
+    slots = F.window("arrived", f"{2 * ttl_ms} milliseconds", f"{ttl_ms} milliseconds")
+    came = F.unix_millis("arrived")  # of equal answers the one that came first
+    last = told.groupBy("item_id", slots.alias("slots")).agg(F.max(F.struct("place", F.coalesce("answer", F.lit("")).alias("text"), (-came).alias("before"), "answer")).alias("last"))
+    now = F.current_timestamp()
+    ending = F.unix_millis(F.col("slots.end")) - F.unix_millis(now) <= ttl_ms
+    return last.filter(ending & (F.col("last.before") == -F.unix_millis(now))).select("item_id", "last.place", "last.answer")
 
 
 def collect(answers: DataFrame, log: str, checkpoint: str, order: str = "place", ttl_ms: int = TTL_MS, name: str = "answers") -> None:
-    """Append what changes to the log until all that is there has been read; go on later with the same checkpoint.
-
-    With a time to live Spark runs batches for the clock's sake without end, so the query is stopped once two in a row have found no
-    input: the first may be one that was planned before the last stop, and runs again.
-    """
+    """Append what changes to the log until all that is there has been read; go on later with the same checkpoint."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        if not held.isEmpty():
-            committed.write(held.select(F.lit("").alias("output"), committed.as_json("item_id", "place", "answer").alias("line")), log, f"{name}-{number}")
-        held.unpersist()
+        committed.write(batch.select(F.lit("").alias("output"), committed.as_json("item_id", "place", "answer").alias("line")), log, f"{name}-{number}")  # no line, no version
 
     committed.register(answers.sparkSession)
-    query = changes(answers, order, ttl_ms).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).start()
-    idle: set[int] = set()
-    while query.isActive and len(idle) < 2:
-        if (seen := query.lastProgress) is not None:
-            idle = idle | {seen["batchId"]} if seen["numInputRows"] == 0 else set()
-        time.sleep(0.05)
-    if (failed := query.exception()) is not None:
-        raise failed
-    query.stop()
+    query = changes(answers, order, ttl_ms).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def latest(spark: SparkSession, log: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,26 @@ def test_the_stream_reports_as_the_batch_does(spark, tmp_path):
     assert entries == 8  # late and lesser answers never got there
 
 
+def test_state_of_answers_is_kept_by_spark_and_expires(spark, tmp_path):
+    """No Python call a key; within the time to live a lesser answer adds nothing, long after it only an entry."""
+    source, log, checkpoint = (str(tmp_path / n) for n in ("in", "log", "check"))
+    rows = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit("a").alias("answer"), F.lit(5).cast("long").alias("place"))
+    late = spark.createDataFrame([(1, "b", 4)], rows.schema)
+    stream = lambda: events.read(spark, source, "item_id long, answer string, place long")
+    rows.write.mode("append").parquet(source)
+    assert "Pandas" not in answers.changes(stream())._jdf.queryExecution().logical().toString()
+    answers.collect(stream(), log, checkpoint)
+    late.write.mode("append").parquet(source)
+    answers.collect(stream(), log, checkpoint)
+    assert committed.read(spark, log).count() == 20_000
+    log, checkpoint = log + "-short", checkpoint + "-short"
+    for at in range(4):
+        late.withColumn("place", F.lit(9 - at).cast("long")).write.mode("append").parquet(source + "-short")
+        answers.collect(events.read(spark, source + "-short", "item_id long, answer string, place long"), log, checkpoint, ttl_ms=100)
+        time.sleep(0.3)
+    assert committed.read(spark, log).count() == 4 and answers.latest(spark, log).first().place == 9
+
+
 @pytest.fixture(scope="module")
 def weighted(spark):
     rows = [("a", float(i % 50), float(i % 7)) for i in range(1000)] + [("b", 1.0, 1.0), ("b", 2.0, 1.0), ("b", 3.0, 2.0), ("c", 5.0, 0.0), ("d", None, 1.0), ("d", 7.0, None), ("d", 8.0, 1.0), (None, 4.0, 1.0), ("e", float("nan"), 5.0), ("e", 1.0, 1.0)]
