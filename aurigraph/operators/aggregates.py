@@ -1,7 +1,8 @@
 """Aggregates whose partial states merge: weighted medians as sorted runs, and sketches of answers that are stored and merged.
 
 A run is a pair of arrays, ascending values and the weight of each; a task makes one of its own rows for each group, with equal values
-added up, so a group moves as runs and not as rows. The median of a group is read from its merged runs.
+added up, so a group moves as runs and not as rows. The median of a group is read from its merged runs: by cue_weighted_median, which holds
+a group's runs in one task, or by medians_of_runs, which adds them up where Spark puts them and holds none.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 from pyspark.sql.types import ArrayType, DoubleType, Row, StringType, StructField, StructType
 
+from ..sources.shared import stored
+
 #: Values that a task holds for all its groups before it hands on their runs.
-HELD = 1 << 20
+HELD = 1 << 18
+#: Parts that a value grows through to e times itself; medians_of_runs sorts the values of one part of a group.
+PARTS = 256
 RUN = "values array<double>, weights array<double>"
 
 
@@ -118,10 +123,30 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("cue_runs", CueRuns)
 
 
+def medians_of_runs(runs: DataFrame, by: str) -> DataFrame:
+    """(by, median) of (by, values, weights), as cue_weighted_median gives it, for groups of any size.
+
+    The weights of a value are added up by group and value, and these sums by parts of the values; the part in which half of the weight is
+    reached is the only one that is sorted. A group without weight has a null median.
+    """
+    each = runs.select(F.col(by).alias("k"), F.explode_outer(F.arrays_zip(F.col("values").alias("v"), F.col("weights").alias("w"))).alias("r")).select("k", "r.v", "r.w")
+    heavy = (F.col("w") > 0) & ~F.isnan("w")
+    summed = each.select("k", F.when(heavy, F.col("v")).alias("v"), F.when(heavy, F.col("w")).otherwise(0.0).alias("w")).groupBy("k", "v").agg(F.sum("w").alias("w"))
+    part = F.when(F.isnan("v"), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum("v") * F.log1p(F.abs("v")) * PARTS))
+    sums = stored(summed.withColumn("part", part), "weighted-values")
+    so_far, whole = Window.partitionBy("k").orderBy("part"), Window.partitionBy("k")
+    parts = sums.groupBy("k", "part").agg(F.sum("w").alias("w")).withColumns({"upto": F.sum("w").over(so_far), "half": F.sum("w").over(whole) / 2})
+    there = parts.filter("upto >= half").groupBy("k").agg(F.min(F.struct("part", (F.col("upto") - F.col("w")).alias("below"), "half")).alias("r")).select(F.col("k").alias("group"), F.col("r.part").alias("at"), "r.below", "r.half")
+    met = sums.join(there, F.col("k").eqNullSafe(F.col("group")) & F.col("part").eqNullSafe(F.col("at")))
+    reached = F.col("below") + F.sum("w").over(Window.partitionBy("k").orderBy("v")) >= F.col("half")
+    found = met.withColumn("reached", reached).groupBy("k").agg(F.coalesce(F.min(F.when(F.col("reached"), F.col("v"))), F.max("v")).alias("m"))
+    return found.select(F.col("k").alias(by), F.when(~F.isnan("m"), F.col("m")).alias("median"))
+
+
 def weighted_median(df: DataFrame, by: str, value: str, weight: str) -> DataFrame:
     """(by, median): the least value of each group up to which half of its weight lies. Weights of 0 and less count for nothing; NaN
     is above all numbers. The median is null where it is NaN, and in a group without any weight that has a value."""
-    return runs(df, by, value, weight).groupBy(by).agg(cue_weighted_median("values", "weights").alias("median"))
+    return medians_of_runs(runs(df, by, value, weight), by)
 
 
 #: Fixed by the size of the sketches: relative error of a count, and of a rank.

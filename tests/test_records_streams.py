@@ -123,6 +123,16 @@ def test_weighted_medians_merge(spark, weighted, monkeypatch):
     assert plan.index("Exchange hashpartitioning") < plan.index("PythonUDTF")  # runs are made below the shuffle
 
 
+def test_medians_of_large_groups_stay_out_of_python(spark, weighted):
+    """The same medians as the aggregate's, groups without weight too, and no Python above the runs."""
+    rows = weighted.unionByName(spark.createDataFrame([("n", -3.5, 1.0), ("n", -0.25, 0.5), ("n", 9.0, 0.25), ("i", float("-inf"), 1.0), ("i", 1e300, 2.0), ("s", 1.0, 0.1), ("s", 1.0 + 1e-9, 0.7), ("s", 1.0 + 2e-9, 0.2)], weighted.schema))
+    made = A.runs(rows, "k", "v", "w")
+    want = {tuple(r) for r in made.groupBy("k").agg(A.cue_weighted_median("values", "weights")).collect()}
+    found = A.medians_of_runs(made, "k")
+    assert {tuple(r) for r in found.collect()} == want and ("c", None) in want and ("e", None) in want
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketches_merge_in_any_order(spark):
     rows = spark.range(40_000).select((F.col("id") % 4).alias("build"), (F.col("id") % 3).alias("split"), F.when(F.col("id") % 500 == 0, None).otherwise(F.pmod(F.hash("id"), F.lit(9000)) / 7.0).alias("answer"))
     states = A.sketched(rows, "answer", "build", "split")
