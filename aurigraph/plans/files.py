@@ -219,9 +219,9 @@ def summary_file(v):
 
 @query("training_files", "SELECT item_id, condition, condition = 'cues' AS has_cues, CASE WHEN azimuth <> 0 THEN azimuth > 0 END AS is_left FROM {items}, (SELECT unnest(['cues', 'audio_only']) AS condition) c")
 def training_files(v):
-    """Training examples of both conditions as JSON lines; only those with cues tell the level difference."""
+    """Training examples of both conditions as packed JSON lines; only those with cues tell the level difference."""
     path = shared.folder(v.spark, "sft")
-    records.write_examples(training_examples(v).withColumn("audio_path", F.lit("a.wav")), path)
+    records.write_examples(training_examples(v).withColumn("audio_path", F.lit("a.wav")), path, packed=True)
     back = v.spark.read.schema("item_id long, audio_path string, prompt string, target string, condition string").json(path)
     return back.select("item_id", "condition", F.col("prompt").contains(" dB").alias("has_cues"), (F.when(F.col("target").rlike("degrees to the left.$"), True).when(F.col("target").rlike("degrees to the right.$"), False)).alias("is_left"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from . import committed
 
+#: Lines of a packed file of training examples at most.
+EXAMPLES = 100_000
 EVIDENCE = ("ild_db", "high_frequency_ild_db", "ild_flatness_db", "itd_us", "itd_peak_strength", "coherence", "estimated_azimuth_deg", "estimated_regime", "active_bins", "f0_hz", "binaural_azimuth_deg")
 _TEXT = {"estimated_regime": "string", "active_bins": "int"}
 _EVIDENCE = "struct<" + ", ".join(f"{c}: {_TEXT.get(c, 'double')}" for c in EVIDENCE) + ">"
@@ -160,9 +162,14 @@ def write_reports(reports: DataFrame, labels: str, items: int, path: str) -> Non
     rows.select(F.lit(labels).alias("labels"), F.lit(items).alias("items"), "reports").coalesce(1).write.json(path, ignoreNullFields=False)
 
 
-def write_examples(examples: DataFrame, path: str) -> None:
-    """Training examples as JSON lines, keys in a fixed order."""
-    examples.select("item_id", "audio_path", "prompt", "target", "condition").write.json(path)
+def write_examples(examples: DataFrame, path: str, packed: bool = False) -> None:
+    """Training examples as JSON lines, keys in a fixed order. Packed files take a fraction of the space, as prompts repeat each other; as
+    one is read by one task, none has more than EXAMPLES lines."""
+    writer = examples.select("item_id", "audio_path", "prompt", "target", "condition").write
+    if packed:
+        writer.option("maxRecordsPerFile", EXAMPLES).json(path, compression="gzip")
+    else:
+        writer.json(path)
 
 
 def write_surveys(surveys: DataFrame, path: str) -> None:

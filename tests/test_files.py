@@ -158,3 +158,16 @@ def test_unknown_stems_are_errors(spark):
         with pytest.raises(Exception, match=said):
             P.parse_stems(stems.filter(F.col("stem").isin("AuSep_1_vc_07_Piece", bad)), "stem").collect()
     assert [(r.stem, r.instrument) for r in P.parse_stems(stems, "stem", strict=False).orderBy("stem").collect()] == [("AuSep_1_vc_07_Piece", "cello"), ("AuSep_2_zz_07_Piece", None)]
+
+
+def test_training_examples_are_packed(spark, tmp_path, monkeypatch):
+    """What repeats in prompts is not stored again for each item; files stay small enough for a task, and all lines read back."""
+    monkeypatch.setattr(records, "EXAMPLES", 800)
+    law = "A law that every prompt states. " * 20
+    made = spark.range(0, 4000, 1, 2).select(F.col("id").alias("item_id"), F.lit("a.wav").alias("audio_path"), F.concat(F.lit(law), F.col("id")).alias("prompt"), F.lit("t\nü").alias("target"), F.lit("cues").alias("condition"))
+    path = tmp_path / "sft"
+    records.write_examples(made, str(path), packed=True)
+    files = [f for f in path.iterdir() if f.name.startswith("part-")]
+    assert len(files) == 6 and sum(f.stat().st_size for f in files) < 4000 * len(law) / 10
+    back = spark.read.schema(made.schema).json(str(path))
+    assert back.count() == 4000 and back.exceptAll(made).isEmpty()
