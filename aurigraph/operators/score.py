@@ -55,9 +55,10 @@ def score(items: DataFrame, answers: DataFrame, order: str | None = None, texts:
 
 
 def score_verified(items: DataFrame, evidence: DataFrame, answers: DataFrame, order: str | None = None) -> DataFrame:
-    """score() with all_passed and inference_passed of each answer against the item's evidence; null for items without evidence."""
+    """score() with all_passed and inference_passed of each answer against the item's evidence; null for items without evidence.
+    The azimuth that an answer states is read once, for the score and for the checks."""
     measured = evidence.drop("azimuth").withColumn("measured", F.lit(True))
-    checked = V.verify(score(items, answers, order, texts=True).withColumn("transcript", F.coalesce("answer", F.lit(""))).join(measured, "item_id", "left"))
+    checked = V.verify(score(items, answers, order, texts=True).withColumn("transcript", F.coalesce("answer", F.lit(""))).join(measured, "item_id", "left"), azimuth="claim")
     return checked.withColumns({c: F.when(F.col("measured"), F.col(c)) for c in ("all_passed", "inference_passed")}).drop("transcript", "measured", "unparseable")
 
 

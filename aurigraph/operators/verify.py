@@ -37,17 +37,17 @@ def _in_place(magnitude: Column, side: Column, measured: Column) -> tuple[Column
     return (there == "center") | (side == there), _within(magnitude, F.abs(measured), AZIMUTH_DEG)
 
 
-def with_claims(df: DataFrame, transcript: str = "transcript") -> DataFrame:
-    """df with a column for each kind of claim."""
+def with_claims(df: DataFrame, transcript: str = "transcript", azimuth: str | None = None) -> DataFrame:
+    """df with a column for each kind of claim; azimuth: a column that has the text's final azimuth already."""
     t = F.col(transcript)
-    found = {"azimuth": T.final_azimuth(t), "ild": T.ild_claim(t), "itd": T.itd_claim(t), "coherence": T.coherence_claim(t), "regime": T.regime_claim(t), "f0": T.f0_claim(t), "premise": T.premise_claim(t)}
+    found = {"azimuth": T.final_azimuth(t) if azimuth is None else F.col(azimuth), "ild": T.ild_claim(t), "itd": T.itd_claim(t), "coherence": T.coherence_claim(t), "regime": T.regime_claim(t), "f0": T.f0_claim(t), "premise": T.premise_claim(t)}
     return df.withColumns({f"claim_{k}": v for k, v in found.items()})
 
 
-def verify(df: DataFrame, transcript: str = "transcript") -> DataFrame:
+def verify(df: DataFrame, transcript: str = "transcript", azimuth: str | None = None) -> DataFrame:
     """df (a transcript and the evidence columns) with checks, all_passed, inference_passed and unparseable.
 
-    Checks stand in a fixed order. Without any check, or any of inference, the flag is false.
+    Checks stand in a fixed order. Without any check, or any of inference, the flag is false. azimuth: as in with_claims().
     """
     c = {k: F.col(f"claim_{k}") for k in ("azimuth", "ild", "itd", "coherence", "regime", "f0", "premise")}
     measured, f0 = F.col("estimated_azimuth_deg"), F.col("f0_hz")
@@ -66,7 +66,7 @@ def verify(df: DataFrame, transcript: str = "transcript") -> DataFrame:
     ]
     checks = F.filter(F.array(*[F.when(there, check).otherwise(F.lit(None).cast(_CHECK)) for there, check in made]), lambda x: x.isNotNull())
     used = F.filter(F.array(*[F.when(there, F.struct(x["start"].alias("start"), x["end"].alias("end"))) for there, x in ((c["azimuth"].isNotNull(), c["azimuth"]), (c["ild"].isNotNull(), c["ild"]), (c["itd"].isNotNull(), c["itd"]), (c["coherence"].isNotNull(), c["coherence"]), (c["regime"].isNotNull(), c["regime"]), (c["f0"].isNotNull() & f0_known, c["f0"]), (c["premise"].isNotNull(), c["premise"]))]), lambda x: x.isNotNull())
-    done = with_claims(spread(df), transcript).withColumn("checks", checks).withColumn("used", used)
+    done = with_claims(spread(df), transcript, azimuth).withColumn("checks", checks).withColumn("used", used)
     inference = F.filter("checks", lambda x: x["kind"] == "inference")
 
     def held(some: Column) -> Column:

@@ -70,3 +70,9 @@ def test_quantiles_read_their_numbers_once(spark):
     found = Q.quantiles(rows, "x", {"m": 0.5}, "k")
     assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.groupBy("k").agg(F.percentile("x", F.lit(0.5))).collect()))
+
+
+def test_a_verified_answer_is_searched_for_its_azimuth_once(spark):
+    from aurigraph.functions import text as T
+
+    assert sum(T.EITHER in step for step in plan(spark, "score_verified").splitlines()) == 1
