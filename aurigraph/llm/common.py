@@ -52,7 +52,10 @@ def discard(*tables: DataFrame) -> None:
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Within it, a write, a checkpoint or a collect deletes the shuffle files that it made as soon as it has ended, instead of whenever the
-    driver's garbage is next collected. For steps that store what they make: a frame that is run once more makes its shuffles anew."""
+    driver's garbage is next collected. For steps that store what they make: a frame that is run once more makes its shuffles anew.
+
+    Not for steps in which a query may end while one of its stages still runs, as Spark lets it where the other side of a join turns out
+    empty: that stage's next task finds its shuffle gone, which stops the Spark context. Those call garbage_collected() between steps."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, "false")
     spark.conf.set(name, "true")
@@ -62,6 +65,11 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def garbage_collected(spark: SparkSession) -> None:
+    """Let the driver find the shuffles that no frame or running stage needs any more, so that Spark deletes their files."""
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or with underscores after it, such that df has no column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("p"), F.col("b").alias("q"))).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars on their least nodes: no larger end has two edges or is the smaller end of another."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("larger")), F.struct(F.col("b").alias("node"), F.lit(1).alias("larger")))).alias("end"))
+    per = ends.groupBy("end.node").agg(F.sum("end.larger").alias("n"), F.min("end.larger").alias("least"))
+    return per.filter("n > 1 OR n = 1 AND least = 0").isEmpty()
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes that have an edge; component is the least node. edges: (a, b), any orientation."""
-    now = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    seen = None
+    """(node, component) for the nodes that have an edge, stored; component is the least node. edges: (a, b), any orientation.
+
+    No round follows once the edges are stars, and a round's tables go with it.
+    """
+    now = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "components-edges")
     for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or seen == tuple(state):
+        if _settled(now):
             break
-        seen = tuple(state)
-        now = cut(_small_star(_large_star(now)))
+        large = stored(_large_star(now), "components-large")
+        discard(now)
+        now = stored(_small_star(large), "components-edges")
+        discard(large)
     else:
         raise RuntimeError(f"components had not settled after {most_rounds} rounds")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+    found = stored(now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()), "components")
+    discard(now)
+    return found

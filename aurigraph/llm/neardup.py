@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import by_batch, discard, meet, stored, utf8
+from .common import by_batch, discard, garbage_collected, meet, stored, utf8
 from .components import connected_components
 
 WORDS = 5
@@ -167,7 +167,7 @@ def components(nodes: DataFrame, docs: DataFrame, words: int = WORDS, similarity
     shared = nodes.select("node", "size", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(bucket)).filter("n > 1")
     packed = stored(shared.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("key").alias("keys")), "neardup-buckets")
     top = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))).over(bucket)
-    found, known = None, None
+    known = None
 
     def fits(a: str, b: str) -> F.Column:  # else the sets cannot be that similar
         return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
@@ -178,12 +178,18 @@ def components(nodes: DataFrame, docs: DataFrame, words: int = WORDS, similarity
         return of.select("node", "size", (F.lit(None).cast("long") if known is None else F.col("component")).alias("c"), F.explode("keys").alias("key")).select("key", "node", "size", F.coalesce("c", "node").alias("component"))
 
     def check(pairs: DataFrame) -> None:
-        nonlocal found, known
-        near = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, words, similarity)
+        link(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, words, similarity))
+
+    def link(near: DataFrame) -> None:
+        """The components with these links as well: what was known goes in as stars, not as all links found so far."""
+        nonlocal known
+        garbage_collected(docs.sparkSession)  # the shuffles of a pass go with it
         if near.isEmpty():
             return
-        found = near if found is None else found.unionByName(near)
-        known = stored(connected_components(found), "neardup-components")
+        before = known
+        stars = near if before is None else near.unionByName(before.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+        known = connected_components(stars)
+        discard(*[t for t in (near, before) if t is not None])
 
     check(signed_pairs(nodes))
     one = rows().withColumn("top", top).groupBy("node", "size", "component").agg(F.min("top").alias("top")).select("node", "size", "component", "top.*")
@@ -200,13 +206,9 @@ def components(nodes: DataFrame, docs: DataFrame, words: int = WORDS, similarity
     large = rows().withColumn("n", F.count("*").over(bucket)).filter(F.col("n") > DENSE).withColumn("own", F.count("*").over(Window.partitionBy("key", "component")))
     tagged = stored(large.withColumn("top", F.max(F.struct("own", "component")).over(bucket)).filter(F.col("own") < F.col("n")).select("key", "node", "component", (F.col("component") != F.col("top.component")).alias("away")), "neardup-crowded")
     if not tagged.isEmpty():
-        near = _streamed(tagged, docs, words, similarity)
-        if not near.isEmpty():
-            found = near if found is None else found.unionByName(near)
-            known = stored(connected_components(found), "neardup-components")
-    if known is None:
-        return packed.select("node", F.col("node").alias("component")).limit(0)
-    return known
+        link(_streamed(tagged, docs, words, similarity))
+    discard(packed, apart, tagged)
+    return docs.sparkSession.createDataFrame([], "node long, component long") if known is None else known
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -366,7 +366,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         counts, joined = exact_links(graph, points, threshold)
         if audit(points, counts, threshold) >= goal:
             break
-    groups = stored(connected_components(joined), "descent-components")
+    groups = connected_components(joined)
     named = groups.join(points.select("node", "first"), "node")
     least = stored(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size")), "descent-least")
     of = meet(groups, least, "component", "size", groups.count()).select("node", "component_id")

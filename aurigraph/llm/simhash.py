@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marks = stored(fingerprints(docs, id_col, text_col, words), "simhash-marks")
     nodes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    groups = stored(connected_components(links(nodes.select("fp"), max_bits)), "simhash-groups")
+    groups = connected_components(links(nodes.select("fp"), max_bits))
     # the component's least doc_id, not its least fingerprint; a component of very many fingerprints is a hot key
     named = groups.join(nodes.select(F.col("fp").alias("node"), "first"), "node")
     least = stored(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size")), "simhash-least")

@@ -8,11 +8,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 import xxhash
 
 from aurigraph.llm import chat, components, decontaminate, htmltext, jpeg, langid, mixing, pii, quality, sharding, simhash
+from aurigraph.llm.common import discard, shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,6 +99,22 @@ def test_links_with_crowded_buckets(spark, monkeypatch, bits):
     assert {i: got.get(i, i) for i in ids} == want
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that already are stars are settled, others are not, and what a round made is deleted."""
+    rounds, large = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or large(edges))
+    shared_dir(spark)  # the first call names the folder, later ones Spark's own in it
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "aurigraph"
+    before = set(folder.glob("components*"))
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for rows, want, most in (([(1, 2), (3, 1), (8, 7), (2, 1), (5, 5)], {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}, 0), ([], {}, 0), ([(1, 2), (2, 3)], {1: 1, 2: 1, 3: 1}, 1), ([(1, 3), (2, 3)], {1: 1, 2: 1, 3: 1}, 1)):
+        rounds.clear()
+        found = components.connected_components(frame(rows))
+        assert {r.node: r.component for r in found.collect()} == want and len(rounds) == most
+        assert len(set(folder.glob("components*")) - before) == 1
+        discard(found)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     found = {r.node: r.component for r in components.connected_components(edges).collect()}
