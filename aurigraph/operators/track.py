@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -21,16 +21,6 @@ CHAINS = {
 SPREADS = ("ild_db", "estimated_azimuth_deg", "coherence", "itd_us", "ild_flatness_db")
 
 
-def steps_of(chains: dict[str, list]) -> Column:
-    """array<struct<chain, processing>> of chains by name."""
-    kind = "array<struct<kind: string, params: map<string, double>>>"
-
-    def steps(chain: list) -> Column:
-        return F.array(*[F.struct(F.lit(k).alias("kind"), F.create_map(*[F.lit(x) for p in q.items() for x in p]).cast("map<string,double>").alias("params")) for k, q in chain]).cast(kind)
-
-    return F.array(*[F.struct(F.lit(name).alias("chain"), steps(chain).alias("processing")) for name, chain in chains.items()])
-
-
 def windows(tracks: DataFrame, rate: int, window_s: float = WINDOW_S, floor_db: float = QUIET_DB) -> DataFrame:
     """(track, start, level, left, right): the loud windows of tracks (track, left, right); a rest at the end goes."""
     n = round(window_s * rate)
@@ -45,17 +35,15 @@ def controls(loud: DataFrame, rate: int, angles: tuple[float, ...] = ANGLES, cha
     return sweep(some, ["track", "start"], rate, angles, CHAINS if chains is None else chains)
 
 
-def sweep(monos: DataFrame, keep: list[str], rate: int, angles: tuple[float, ...], chains: dict[str, list]) -> DataFrame:
-    """Each mono signal at each angle through each chain, measured, with the error of its azimuth."""
-    grid = monos.withColumn("azimuth", F.explode(F.array(*map(F.lit, angles)))).select(*keep, "mono", "azimuth", F.inline(steps_of(chains)))
-    keys = [*keep, "chain", "azimuth"]
-    done = signals.measured(signals.processed(signals.rendered(grid, [*keys, "processing"], rate, "amplitude"), keys, rate), keys, rate)
-    return done.withColumn("error", F.abs(F.col("estimated_azimuth_deg") - F.col("azimuth")))
+def sweep(monos: DataFrame, keep: list[str], rate: int, angles: tuple[float, ...], chains: dict[str, list], cues: tuple[str, ...] | None = None) -> DataFrame:
+    """Each mono signal at each angle through each chain, measured, with the error of its azimuth; or with no more than the cues named."""
+    done = signals.swept(monos, keep, rate, angles, chains, cues=cues)
+    return done.withColumn("error", F.abs(F.col("estimated_azimuth_deg") - F.col("azimuth"))) if "estimated_azimuth_deg" in done.columns else done
 
 
-def wet_sweep(monos: DataFrame, keep: list[str], rate: int, angles: tuple[float, ...], wets: tuple[float, ...], rt60_s: float = 0.6) -> DataFrame:
-    """sweep() over how wet a reverb is, `chain` being the share as text."""
-    return sweep(monos, keep, rate, angles, {str(w): [("reverb", {"rt60_s": rt60_s, "wet": w})] if w else [] for w in wets}).withColumn("wet", F.col("chain").cast("double")).drop("chain")
+def wet_sweep(monos: DataFrame, keep: list[str], rate: int, angles: tuple[float, ...], wets: tuple[float, ...], rt60_s: float = 0.6, cues: tuple[str, ...] | None = None) -> DataFrame:
+    """sweep() over how wet a reverb is."""
+    return sweep(monos, keep, rate, angles, {str(w): [("reverb", {"rt60_s": rt60_s, "wet": w})] if w else [] for w in wets}, cues).withColumn("wet", F.col("chain").cast("double")).drop("chain")
 
 
 def summary(tracks: DataFrame, loud: DataFrame, planted: DataFrame, rate: int) -> DataFrame:
